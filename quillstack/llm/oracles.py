@@ -36,9 +36,9 @@ o AS (
   SELECT *, row_number() OVER f AS k, {mixing.SHARE} * sum(source_size) OVER () - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
     sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS over_
   FROM s WINDOW f AS (ORDER BY cap / w, source NULLS LAST)),
-a AS (SELECT arg_min({{'k': k, 'l': left_, 'o': over_}}, k) AS at FROM o WHERE cap / w >= left_ / over_),
+a AS (SELECT arg_min({{'k': k, 'l': left_, 'o': over_}}, k) AS lvl FROM o WHERE cap / w >= left_ / over_),
 t AS (
-  SELECT source, source_size, CASE WHEN k < at.k THEN cap ELSE coalesce(least(cap, w * at.l / at.o), cap) END AS target FROM o, a),
+  SELECT source, source_size, CASE WHEN k < lvl.k THEN cap ELSE coalesce(least(cap, w * lvl.l / lvl.o), cap) END AS target FROM o, a),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5), floor({mixing.MOST} * t.source_size))::BIGINT AS quota,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
