@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstack.llm.arrow_text import map_texts
 
 #: Pre-tokens remembered by a task, and the longest that is remembered.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 600_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -75,20 +75,28 @@ class BytePairs:
         import regex
 
         self.tokens, self.table = tokens, table
+        self.ranks = {t: i for i, t in enumerate(tokens) if t}  # of the pairs that tier two meets
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a pre-token: adjacent parts are merged while some pair is a token, least rank and leftmost first."""
+        """Ids of a pre-token: adjacent parts are merged while some pair is a token, least rank and leftmost first.
+
+        Heap entries are single integers: rank, start and end of the pair, each in its own bits.
+        """
         if (whole := self.table.get(piece)) is not None:
             return (whole,)
-        get, n = self.table.get, len(piece)
+        get, n = self.ranks.get, len(piece)
+        bits = n.bit_length()
+        low = (1 << bits) - 1
         end = list(range(1, n + 1))  # of the part that starts at i; 0 once it is merged into its left
         left = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapify(heap)
         while heap:
-            _, i, stop = heappop(heap)
+            pair = heappop(heap)
+            stop = pair & low
+            i = pair >> bits & low
             j = end[i]
             if not j or j >= n or end[j] != stop:  # one of the two has changed since
                 continue
@@ -96,9 +104,9 @@ class BytePairs:
             if stop < n:
                 left[stop] = i
                 if (r := get(piece[i : end[stop]])) is not None:
-                    heappush(heap, (r, i, end[stop]))
+                    heappush(heap, (r << bits | i) << bits | end[stop])
             if (k := left[i]) >= 0 and (r := get(piece[k:stop])) is not None:
-                heappush(heap, (r, k, stop))
+                heappush(heap, (r << bits | k) << bits | stop)
         out, i = [], 0
         while i < n:
             out.append(get(piece[i : end[i]]))

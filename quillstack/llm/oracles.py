@@ -41,10 +41,10 @@ t AS (
   SELECT source, source_size, CASE WHEN k < lvl.k THEN cap ELSE coalesce(least(cap, w * lvl.l / lvl.o), cap) END AS target FROM o, a),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5), floor({mixing.MOST} * t.source_size))::BIGINT AS quota,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(quota % source_size - at, size)) END::BIGINT AS taken
+  CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(quota % source_size - pos, size)) END::BIGINT AS taken
 FROM p
 """
 
