@@ -127,7 +127,7 @@ def mixed_words(mix: Mix) -> DataFrame:
     pieces = pieces.withColumn("_hi", F.least(F.col("offset") + F.col("size") - F.col("block") * size, F.lit(size)))
     slots = mix.schedule.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "words")
     joined = pieces.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
-    part = F.coalesce(F.greatest(F.least("words", "_hi") - F.col("_lo"), F.lit(0)), F.lit(0))
+    part = F.greatest(F.least(F.coalesce("words", F.lit(0)), F.col("_hi")) - F.col("_lo"), F.lit(0))  # least() would pass over a null
     taken = joined.groupBy("doc_id", "source", "size", "offset").agg(F.sum(part).alias("taken")).drop("offset")
     rows = taken.unionByName(mix.docs.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
     keys = mix.sources.select(F.col("source").alias("_source"), "source_size", "target")
