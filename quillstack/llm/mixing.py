@@ -22,7 +22,7 @@ from quillstack.llm.common import empty_text, materialize, running_total
 GOLDEN = 0.6180339887498949
 #: Weights of the sources in code-point order, repeating; share of all words; most that a source gives.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-BLOCK_WORDS, RANGE_ROWS = 4096, 64
+BLOCK_WORDS, RANGE_ROWS, SEED = 4096, 64, 29
 #: Cells of [0, 1) through which points find their source, and slots ranked together.
 CELLS, SLOT_RANGE = 1024, 4096
 
@@ -31,7 +31,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 @dataclass
 class Mix:
-    """docs: doc_id, source, size, offset (its place in the source's stream); sources: source, source_size,
+    """docs: doc_id, source, size, draw (its random number), offset (its place in the source's stream); sources: source, source_size,
     target, quota, blocks, slots; schedule: slot, source, rank, block, words (taken from the block's start)."""
 
     docs: DataFrame
@@ -65,14 +65,18 @@ def golden_point(k: Column) -> Column:
     return sum_ - F.floor(sum_)
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = 29) -> Mix:
+def random_number(seed: int) -> Column:
+    """48 random bits that follow from the doc_id alone."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
+
+
+def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
     """The mix of ``docs`` (doc_id, text, source). Null texts have no words; a null source comes last;
     rows equal in doc_id and size are interchangeable; other columns are ignored."""
     spark = docs.sparkSession
     ranges = max(1, docs.count() // RANGE_ROWS)
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    draw = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")  # 48 bits
-    rows = docs.select("doc_id", "source", draw.alias("_draw"), F.regexp_count(empty_text(), F.lit(WORDS)).cast("long").alias("size"))
+    rows = docs.select("doc_id", "source", random_number(seed).alias("_draw"), F.regexp_count(empty_text(), F.lit(WORDS)).cast("long").alias("size"))
     rows = materialize(rows.withColumn("_range", F.expr(f"(_draw * {ranges}D / {1 << 48}D)").cast("long")), "mix-sizes")
 
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
@@ -88,7 +92,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     inside = Window.partitionBy("source", "_range").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_at")))
-    placed = placed.select("doc_id", "source", "size", (F.col("_start") + F.col("_in")).alias("offset"))
+    placed = placed.select("doc_id", "source", "size", F.col("_draw").alias("draw"), (F.col("_start") + F.col("_in")).alias("offset"))
 
     return Mix(materialize(placed, "mix-docs"), sources, materialize(_schedule(spark, sources, block_words), "mix-schedule"), block_words)
 
@@ -118,8 +122,8 @@ def _schedule(spark, sources: DataFrame, block_words: int) -> DataFrame:
     return every.select("slot", "source", "rank", "block", F.least(length, F.col("quota") - before).alias("words"))
 
 
-def mixed_words(mix: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document: the words that the slots' blocks take of it."""
+def _taken(mix: Mix) -> DataFrame:
+    """The rows of mix.docs with the words that the slots' blocks take of each."""
     size = mix.block_words
     some = mix.docs.where("size > 0")
     pieces = some.withColumn("block", F.explode(F.expr(f"sequence(offset div {size}, (offset + size - 1) div {size})")))
@@ -128,18 +132,30 @@ def mixed_words(mix: Mix) -> DataFrame:
     slots = mix.schedule.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "words")
     joined = pieces.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     part = F.greatest(F.least(F.coalesce("words", F.lit(0)), F.col("_hi")) - F.col("_lo"), F.lit(0))  # least() would pass over a null
-    taken = joined.groupBy("doc_id", "source", "size", "offset").agg(F.sum(part).alias("taken")).drop("offset")
-    rows = taken.unionByName(mix.docs.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    return joined.groupBy(*mix.docs.columns).agg(F.sum(part).alias("taken"))
+
+
+def mixed_words(mix: Mix) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every document."""
+    rows = _taken(mix).unionByName(mix.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     keys = mix.sources.select(F.col("source").alias("_source"), "source_size", "target")
     rows = rows.join(keys, F.col("source").eqNullSafe(F.col("_source")))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, **plan) -> DataFrame:
+def mixed_rows(docs: DataFrame, seed: int = SEED, **plan) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; the document that a source's target cuts is
     taken whole or not at all, whichever is nearer. Documents without words have none to give and go.
-    Rows that share a doc_id share its count."""
-    taken = mixed_words(plan_mix(docs, **plan)).where("taken > 0").groupBy(F.col("doc_id").alias("_id"))
-    times = taken.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.join(materialize(times, "mix-times"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*[F.col(c) for c in docs.columns])
+
+    What is taken of a source is a whole number of rounds and then the first part of its random order, so a
+    row for each source, with the last document of that part, says it all: texts aren't shuffled. Rows that
+    share a doc_id are taken alike.
+    """
+    taken = _taken(plan_mix(docs, seed=seed, **plan)).withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    most = taken.groupBy("source", "times").agg(F.max(F.struct("draw", "doc_id")).alias("last")).groupBy("source")
+    most = most.agg(F.min("times").alias("_least"), F.max("times").alias("_times"), F.max_by("last", "times").alias("_last")).where("_times > 0")
+    cuts = materialize(most.withColumnRenamed("source", "_source"), "mix-cuts")
+    rows = docs.where(F.col("text").rlike(WORDS)).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    before = F.struct(random_number(seed).alias("draw"), F.col("doc_id")) <= F.col("_last")
+    times = F.when(before, F.col("_times")).otherwise(F.col("_least"))
+    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(c) for c in docs.columns])
