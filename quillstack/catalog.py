@@ -1,10 +1,610 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the test tables and their DuckDB twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstack import sqltext as sq
+from quillstack.functions import markdown as md
+from quillstack.functions import text as tx
+from quillstack.functions import tokens as tk
+from quillstack.operators import expand as ex
+from quillstack.operators import history, links, listing_rules
+from quillstack.operators import index as ix
+from quillstack.operators.layout import layout_graph
+from quillstack.plans import search as se
+from quillstack.plans.query import parse
+from quillstack.sources import notes as nt
+from quillstack.sources.samples import BASE_MS, HOUR_MS, NOW_MS, conversation_versions, document_notes, event_edits, table
+from quillstack.streaming import edits as st
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+LIMIT = 20
+
+
+def query(oracle: str | None = None):
+    """Registers a query by its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+notes = document_notes
+
+
+def built(n: DataFrame) -> ix.Index:
+    """The index of some notes, kept for the many branches of a search plan."""
+    return ix.build_index(n).cache()
+
+
+# ---- text ----------------------------------------------------------------------------------------
+
+
+@query(f"{sq.ALL} SELECT note_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM token GROUP BY note_id")
+def tokens_documents(spark, d):
+    return ix.tokens(notes(spark, d)).groupBy("note_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
+
+
+@query(f"{sq.ALL} SELECT DISTINCT w AS word, {sq.fold('w')} AS folded FROM word WHERE w <> ''")
+def fold_vocab(spark, d):
+    words = notes(spark, d).select(F.explode(tx.raw_words(F.concat_ws(" ", "title", "body", ix.tag_text(F.col("tags"))))).alias("word")).distinct()
+    return words.where("word <> ''").select("word", tx.fold("word").alias("folded"))
+
+
+_NAMES = "SELECT unnest(regexp_extract_all(c_mktsegment || c_custkey || 'OrderId_' || c_name, '" + sq.WORD + "')) AS w FROM customer UNION ALL SELECT unnest(regexp_extract_all(url, '" + sq.WORD + "')) FROM pages"
+
+
+@query(f"SELECT w AS word, {sq.parts('w')} AS parts, count(*) AS n FROM (SELECT regexp_replace(w, '[''’_]+$', '') AS w FROM ({_NAMES})) WHERE len({sq.parts('w')}) > 1 GROUP BY w")
+def compound_split(spark, d):
+    names = table(spark, d, "customer").select(F.concat("c_mktsegment", "c_custkey", F.lit("OrderId_"), "c_name").alias("t"))
+    words = names.union(table(spark, d, "pages").select("url")).select(F.explode(tx.raw_words(F.col("t"))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", tx.compound_parts(F.col("word")).alias("parts"), "n").where(F.size("parts") > 1)
+
+
+@query(f"{sq.ALL} SELECT term, stem FROM vocab")
+def stem_vocab(spark, d):
+    return ix.vocabulary(ix.postings(notes(spark, d))).select("term", "stem")
+
+
+@query(f"{sq.ALL} SELECT g AS gram, count(*) AS terms FROM (SELECT unnest({sq.trigrams('term')}) AS g FROM vocab) GROUP BY g")
+def trigram_index(spark, d):
+    return ix.vocabulary(ix.postings(notes(spark, d))).select(F.explode(tx.trigrams(F.col("term"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("terms"))
+
+
+_COUNT = "len(regexp_extract_all(body, '[\\p{L}\\p{N}''’_-]+'))"
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, {_COUNT} AS words, greatest(1, floor({_COUNT} / 220 + 0.5))::INT AS minutes FROM notes")
+def word_counts(spark, d):
+    n = notes(spark, d).select("note_id", tx.word_count(F.col("body")).alias("words"))
+    return n.select("note_id", "words", tx.reading_minutes(F.col("words")).alias("minutes"))
+
+
+_TITLE = "regexp_replace(regexp_replace(regexp_replace(t, '^#{1,6}\\s+', ''), '^[-*]\\s+\\[[ xX]\\]\\s*', ''), '^[-*>]\\s+', '')"
+
+
+@query(
+    f"WITH {sq.DOC_NOTES}, f AS (SELECT note_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1] AS t FROM notes) "
+    f"SELECT note_id, CASE WHEN coalesce(c, '') = '' THEN 'Untitled' ELSE c END AS title FROM (SELECT note_id, left(trim(regexp_replace({_TITLE}, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', '\\1', 'g')), 120) AS c FROM f)"
+)
+def derived_titles(spark, d):
+    return notes(spark, d).select("note_id", tx.derive_title(F.col("body"), "Untitled").alias("title"))
+
+
+_FROM = "list_filter(list_transform(range(1, len({0}) + 1), lambda i: {{'i': i, 'b': regexp_full_match({0}[i], '\\s*')}}), lambda x: NOT x.b)[1].i"
+_REST = "array_to_string(l2[coalesce({0}, len(l2) + 1):], chr(10))".format(_FROM.format("l2"))
+_CLEAN = "l3"
+for _p, _to in (("(?m)^#{1,6}\\s+", ""), ("(?m)^\\s*[-*]\\s+\\[[ xX]\\]\\s*", ""), ("(?m)^\\s*[-*>]\\s+", ""), ("[*_`]", ""), ("\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]", "\\1")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_to}', 'g')"
+
+
+@query(
+    f"WITH {sq.DOC_NOTES}, a AS (SELECT note_id, string_split(body, chr(10)) AS l1 FROM notes), b AS (SELECT note_id, l1[coalesce({_FROM.format('l1')} + 1, len(l1) + 1):] AS l2 FROM a), "
+    f"c AS (SELECT note_id, {_REST} AS l3 FROM b), e AS (SELECT note_id, regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '^\\s+|\\s+$', '', 'g'), '\\s*\\n\\s*', '  ', 'g'), '^\\s+|\\s+$', '', 'g') AS f FROM c) "
+    "SELECT note_id, CASE WHEN length(f) > 180 THEN regexp_replace(left(f, 180), '\\s+$', '') || '…' ELSE f END AS preview FROM e"
+)
+def previews(spark, d):
+    return notes(spark, d).select("note_id", tx.preview(F.col("body")).alias("preview"))
+
+
+_MIN = f"(({NOW_MS} - updated_at) // 60000)"
+_WHEN = "make_timestamp(updated_at * 1000)"
+
+
+@query(
+    f"WITH {sq.DOC_NOTES} SELECT note_id, CASE WHEN {_MIN} < 1 THEN 'now' WHEN {_MIN} < 60 THEN {_MIN} || 'm' WHEN {_MIN} < 1440 THEN ({_MIN} // 60) || 'h' WHEN {_MIN} < 10080 THEN strftime({_WHEN}, '%a') "
+    f"WHEN year({_WHEN}) = year(make_timestamp({NOW_MS} * 1000)) THEN strftime({_WHEN}, '%-d %b') ELSE strftime({_WHEN}, '%-d %b %Y') END AS age, strftime({_WHEN}, '%-d %b, %H:%M') AS full_time, "
+    f"round(1 + 0.28 / (1 + greatest(0.0, ({NOW_MS} - updated_at) / 864e5) / 21), 9) AS boost FROM notes"
+)
+def note_times(spark, d):
+    at = F.col("updated_at")
+    return notes(spark, d).select("note_id", tx.relative_time(at, NOW_MS).alias("age"), tx.full_time(at).alias("full_time"), F.round(tx.recency_boost(at, NOW_MS), 9).alias("boost"))
+
+
+# ---- index ---------------------------------------------------------------------------------------
+
+
+@query(f"{sq.ALL} SELECT * FROM post")
+def postings_tf(spark, d):
+    return ix.postings(notes(spark, d))
+
+
+@query(f"{sq.ALL} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM vocab, stats")
+def doc_freq(spark, d):
+    i = ix.build_index(notes(spark, d))
+    return i.vocab.join(F.broadcast(i.stats)).select("term", "df", F.round(tx.inverse_frequency(F.col("df"), F.col("n")), 9).alias("idf"))
+
+
+@query(f"{sq.ALL} SELECT note_id, len_title::BIGINT AS len_title, len_body::BIGINT AS len_body, len_tag::BIGINT AS len_tag, has_open, has_done, link_count::BIGINT AS link_count FROM docs")
+def field_lengths(spark, d):
+    i = ix.build_index(notes(spark, d))
+    return i.docs.select("note_id", "len_title", "len_body", "len_tag", "has_open", "has_done", F.col("link_count").cast("long").alias("link_count"))
+
+
+@query(f"{sq.ALL} SELECT n, round(avg_title, 9) AS avg_title, round(avg_body, 9) AS avg_body, round(avg_tag, 9) AS avg_tag FROM stats")
+def avg_lens(spark, d):
+    s = ix.build_index(notes(spark, d)).stats
+    return s.select("n", *[F.round(f"avg_{k}", 9).alias(f"avg_{k}") for k in ("title", "body", "tag")])
+
+
+_CHANGED = "documents WHERE doc_id % 10 = 3"
+
+
+@query(f"{sq.ALL.replace('coalesce(text,', 'coalesce(CASE WHEN doc_id % 10 = 3 THEN reverse(text) ELSE text END,').replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 4)')} SELECT * FROM post")
+def index_maintained(spark, d):
+    """Postings after a tenth of the notes changed and another tenth was removed, without a rebuild."""
+    old = notes(spark, d)
+    changed = table(spark, d, "documents").where("doc_id % 10 = 3").withColumn("note_id", F.col("doc_id").cast("string"))
+    suffix = F.expr("substring(body, length(coalesce(text, '')) + 1)")
+    fresh = old.join(changed.select("note_id", "text"), "note_id").withColumn("body", F.concat(F.reverse(F.coalesce("text", F.lit(""))), suffix)).drop("text").select(old.columns)
+    fresh = history.with_derived(fresh).select(old.columns)
+    now = old.join(fresh.select("note_id"), "note_id", "left_anti").unionByName(fresh)
+    i = ix.upsert(ix.build_index(old), now, fresh)
+    gone = old.where(F.col("note_id").cast("long") % 10 == 4).select("note_id")
+    return ix.remove(i, now.join(gone, "note_id", "left_anti"), gone).postings
+
+
+# ---- expansion and search ------------------------------------------------------------------------
+
+EXPANDED = {
+    "stem_expand": ["thing", "hered", "de", "ined", "ents"],
+    "prefix_expand": ["th", "the", "que", "d", "un"],
+    "fuzzy_expand": ["thta", "thtion", "quu", "leaxu", "ofthe", "erinre"],
+    "decompound": ["thethat", "openthe", "deladem", "ofthat"],
+}
+
+
+def _expansion(name: str):
+    texts = [(t, t) for t in EXPANDED[name]]
+    parsed = {i: parse(t, NOW_MS) for i, t in texts}
+    sql = f"{sq.ALL},{sq.expansion(parsed)} SELECT query_id, i::INT AS i, surface, round(weight, 6) AS weight FROM expn"
+
+    def run(spark, d) -> DataFrame:
+        asked = spark.createDataFrame([(i, 0, t, None) for i, t in texts], "query_id string, i int, term string, next string")
+        vocab = ix.vocabulary(ix.postings(notes(spark, d))).cache()
+        return ex.expand(asked, vocab, sorted({len(t) for _, t in texts})).withColumn("weight", F.round("weight", 6))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _name in EXPANDED:
+    _expansion(_name)
+
+_PAIRS = {i: parse(t, NOW_MS) for i, t in [("a", "th at"), ("b", "o pen"), ("c", "d oc")]}
+
+
+@query(f"{sq.ALL},{sq.expansion(_PAIRS)} SELECT query_id, i::INT AS i, surface, round(weight, 6) AS weight FROM expn WHERE weight = {ex.JOINED}")
+def recompound(spark, d):
+    asked = spark.createDataFrame([(i, k, t, q.terms[k + 1] if k + 1 < len(q.terms) else None) for i, q in _PAIRS.items() for k, t in enumerate(q.terms)], "query_id string, i int, term string, next string")
+    vocab = ix.vocabulary(ix.postings(notes(spark, d))).cache()
+    return ex.expand(asked, vocab, [1, 2, 3]).where(F.col("weight") == ex.JOINED)
+
+
+SEARCHES = {
+    "bm25f_single": [("the", "the"), ("que", "que"), ("tion", "tion"), ("src7", "src7")],
+    "bm25f_multi": [("a", "the that of"), ("b", "de la que"), ("c", "und der nicht"), ("d", "open doc 42")],
+    "title_bonus": [("whole", "doc 17"), ("start", "doc"), ("number", "170")],
+    "typed_prefixes": [("t", "t"), ("th", "th"), ("tha", "tha"), ("that", "that")],
+    "misspelled": [("a", "thta"), ("b", "dco open"), ("c", "tihng")],
+    "phrases": [("a", '"of the"'), ("b", '"de la" que'), ("c", '"that"')],
+    "exclusions": [("a", "the -that"), ("b", "the -open -src3"), ("c", "doc -done")],
+    "scopes": [("active", "the"), ("archive", "the in:archive"), ("trash", "the in:trash"), ("all", "the in:all")],
+    "tag_nested": [("lang", "tag:en the"), ("leaf", "#de/src3 doc"), ("both", "t:fr tag:fr/src1 doc")],
+    "states": [(s, f"is:{s} doc") for s in ("pinned", "todo", "done", "locked", "linked", "orphan", "untagged")],
+    "date_bounds": [("after", "updated:>2024-02 the"), ("before", "created:<2024-01-20 the"), ("span", "created:2024-01-10 updated:<2024-03-01 doc"), ("recent", "updated:9w doc")],
+}
+
+
+def _search(name: str):
+    texts = SEARCHES[name]
+
+    def run(spark, d) -> DataFrame:
+        n = notes(spark, d)
+        rows = se.search(built(n), n, texts, NOW_MS, LIMIT)
+        return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
+
+    run.__name__ = f"search_{name}"
+    query(sq.ranked(texts, NOW_MS, LIMIT))(run)
+
+
+for _name in SEARCHES:
+    _search(_name)
+
+
+@query(sq.ranked([("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive"))
+def search_scope_override(spark, d):
+    n = notes(spark, d)
+    rows = se.search(built(n), n, [("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive")
+    return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
+
+
+LISTED = [("all", ""), ("todo", "is:todo"), ("tag", "tag:en"), ("both", "is:done #es"), ("excluded", "-the"), ("trash", "in:trash"), ("dated", "updated:>2024-03-01 is:pinned")]
+
+
+@query(sq.listed(LISTED, NOW_MS, 50))
+def listing_filtered(spark, d):
+    n = notes(spark, d)
+    return se.search(built(n), n, LISTED, NOW_MS, 50).select("query_id", "place", "note_id")
+
+
+def _sorted(key: str, ascending: bool):
+    col = {"title": "title", "created": "created_at", "updated": "updated_at"}[key]
+    way = "ASC" if ascending else "DESC"
+    sql = f"WITH {sq.DOC_NOTES} SELECT row_number() OVER (ORDER BY pinned DESC, {col} {way}, note_id) AS place, note_id FROM notes WHERE trashed_at IS NULL QUALIFY place <= 200"
+
+    def run(spark, d) -> DataFrame:
+        return listing_rules.placed(notes(spark, d).where("trashed_at is null"), key, ascending, 200)
+
+    run.__name__ = f"listing_by_{key}_{way.lower()}"
+    query(sql)(run)
+
+
+for _key, _asc in (("updated", False), ("created", True), ("title", True), ("title", False)):
+    _sorted(_key, _asc)
+
+
+@query()
+def search_excerpts(spark, d):
+    """Snippets with their highlights for ranked and listed queries."""
+    n = notes(spark, d)
+    return se.search(built(n), n, [("a", "the that"), ("b", "open"), ("c", "is:pinned")], NOW_MS, LIMIT, excerpts=True)
+
+
+@query()
+def token_offsets(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", F.explode(tk.tokenize_udf("text")).alias("t"))
+    return t.select("item_id", "t.*")
+
+
+# ---- links, tags, graph --------------------------------------------------------------------------
+
+
+@query(f"WITH {sq.DOC_NOTES},{sq.TAGS} SELECT note_id, tags FROM tags")
+def tag_extract(spark, d):
+    return notes(spark, d).select("note_id", F.sort_array(links.extract_tags(F.col("body"))).alias("tags"))
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, trim(t) AS target, {sq.key('t')} AS key, trim(t) AS label FROM (SELECT note_id, unnest(regexp_extract_all({sq.CLEAN}, '\\[\\[([^\\]|\\n]+)(?:\\|([^\\]\\n]*))?\\]\\]', 1)) AS t FROM notes)")
+def link_extract(spark, d):
+    return notes(spark, d).select("note_id", F.explode(links.extract_links(F.col("body"))).alias("l")).select("note_id", "l.*")
+
+
+_TREE = f"""WITH {sq.DOC_NOTES},{sq.TAGS},
+p AS (SELECT DISTINCT note_id, unnest(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[1:i], '/'))) AS path FROM (SELECT note_id, string_split(unnest(tags), '/') AS s FROM tags JOIN notes USING (note_id) WHERE trashed_at IS NULL))
+SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS parent, string_split(path, '/')[-1] AS name, len(string_split(path, '/'))::INT AS depth, count(*) AS notes FROM p GROUP BY path"""
+
+
+@query(_TREE)
+def tag_tree(spark, d):
+    return links.tag_tree(notes(spark, d))
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY parent ORDER BY notes DESC, name)::INT AS place FROM ({_TREE})")
+def tag_tree_sorted(spark, d):
+    return links.tag_tree_order(links.tag_tree(notes(spark, d)))
+
+
+_GRAPH = f"WITH {sq.DOC_NOTES},{sq.LINKS}"
+
+
+@query(f"{_GRAPH} SELECT * FROM edge")
+def graph_edges(spark, d):
+    return links.edges(notes(spark, d))
+
+
+@query(f"{_GRAPH} SELECT dst AS note_id, count(*) AS backlinks FROM edge GROUP BY dst")
+def backlink_counts(spark, d):
+    return links.backlink_counts(links.edges(notes(spark, d)))
+
+
+@query(f"{_GRAPH} SELECT note_id, title FROM notes WHERE note_id IN (SELECT src FROM edge WHERE dst = '70')")
+def backlinks_of_note(spark, d):
+    return links.backlinks(notes(spark, d), "70").select("note_id", "title")
+
+
+@query(f"{_GRAPH} SELECT key, count(DISTINCT src) AS sources FROM target WHERE dst IS NULL GROUP BY key")
+def unresolved_links(spark, d):
+    return links.unresolved(notes(spark, d))
+
+
+@query(f"{_GRAPH} SELECT key, key AS label FROM target WHERE dst IS NULL GROUP BY key ORDER BY min({{'u': -updated_at, 's': src}}) LIMIT {links.INVITATIONS}")
+def invitations(spark, d):
+    return links.invitations(notes(spark, d))
+
+
+@query(f"{_GRAPH} SELECT n.note_id, title FROM notes n JOIN byk ON dst = n.note_id WHERE key = 'doc 21'")
+def resolve_link(spark, d):
+    return links.resolve(notes(spark, d), "  Dóc   21 ").select("note_id", "title")
+
+
+@query(f"{_GRAPH} SELECT n.note_id, ((SELECT count(*) FROM link l WHERE l.note_id = n.note_id) + (SELECT count(*) FROM edge e WHERE e.dst = n.note_id))::INT AS link_count FROM notes n")
+def link_counts(spark, d):
+    return links.link_counts(notes(spark, d)).withColumn("link_count", F.col("link_count").cast("int"))
+
+
+@query(f"{_GRAPH} SELECT note_id FROM notes n WHERE trashed_at IS NULL AND note_id NOT IN (SELECT note_id FROM link) AND note_id NOT IN (SELECT dst FROM edge)")
+def orphans(spark, d):
+    return links.orphans(notes(spark, d))
+
+
+_NODES = f"""{_GRAPH}, degree AS (SELECT note_id, count(*) AS degree FROM (SELECT src AS note_id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1),
+node AS (SELECT note_id, updated_at, title, coalesce(degree, 0) AS degree FROM notes LEFT JOIN degree USING (note_id) WHERE trashed_at IS NULL AND NOT archived ORDER BY degree DESC, updated_at DESC, note_id LIMIT {links.GRAPH_NODES})"""
+
+
+@query(f"{_NODES} SELECT note_id, degree, title AS label FROM node")
+def top_nodes(spark, d):
+    return links.graph_nodes(notes(spark, d)).select("note_id", "degree", "label")
+
+
+@query(f"{_NODES} SELECT src, dst FROM edge WHERE src IN (SELECT note_id FROM node) AND dst IN (SELECT note_id FROM node)")
+def drawn_edges(spark, d):
+    n = notes(spark, d)
+    return links.graph_edges(n, links.graph_nodes(n))
+
+
+@query(
+    f"{_NODES}, e AS (SELECT src, dst FROM edge WHERE src IN (SELECT note_id FROM node) AND dst IN (SELECT note_id FROM node)) SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM e UNION SELECT dst FROM e)) AS connected, "
+    "(SELECT count(*) FROM node) AS shown, (SELECT count(*) FROM notes WHERE trashed_at IS NULL AND NOT archived) - (SELECT count(*) FROM node) AS hidden, (SELECT count(*) FROM e) AS edges"
+)
+def graph_stats(spark, d):
+    return links.graph_stats(notes(spark, d))
+
+
+@query()
+def graph_layout(spark, d):
+    n = notes(spark, d)
+    nodes = links.graph_nodes(n)
+    order = nodes.withColumn("ord", -F.col("degree") * 10**13 - F.col("updated_at"))
+    return layout_graph(order, links.graph_edges(n, nodes))
+
+
+SUGGESTED = [("prefix", "sma"), ("inside", "ring"), ("blank", ""), ("none", "zzzz")]
+
+
+@query(
+    f"WITH q AS (SELECT * FROM {sq._values(SUGGESTED, 'query_id, q')}) SELECT query_id, row_number() OVER w AS place, p_partkey::VARCHAR AS note_id, p_name AS title FROM part JOIN q ON contains(lower(p_name), q) WHERE trim(p_name) <> '' "
+    "WINDOW w AS (PARTITION BY query_id ORDER BY CASE WHEN q = '' THEN 2 WHEN starts_with(lower(p_name), q) THEN 0 ELSE 1 END, p_size DESC, p_partkey::VARCHAR) QUALIFY place <= 8"
+)
+def title_suggestions(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("note_id"), F.col("p_name").alias("title"), F.col("p_size").alias("updated_at"), F.lit(None).cast("bigint").alias("trashed_at"))
+    return links.title_suggestions(p, SUGGESTED)
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT count(*) FILTER (trashed_at IS NULL AND NOT archived) AS active, count(*) FILTER (trashed_at IS NULL AND archived) AS archived, count(*) FILTER (trashed_at IS NOT NULL) AS trashed FROM notes")
+def library_counts(spark, d):
+    return links.library_counts(notes(spark, d))
+
+
+@query(f"{_GRAPH} SELECT note_id, title FROM notes UNION ALL SELECT 'new', 'Doc 999999'")
+def follow_link(spark, d):
+    """Following a link that leads nowhere makes its note; following one that leads somewhere doesn't."""
+    n = links.follow(notes(spark, d), "Doc 999999", NOW_MS, "new")
+    return links.follow(n, "doc 999999", NOW_MS, "again").select("note_id", "title")
+
+
+@query(
+    "SELECT src, dst, count(*) AS n FROM (SELECT page_id AS src, regexp_replace(unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)), '^https?://([^/]+).*$', '\\1') AS dst FROM pages) GROUP BY ALL"
+)
+def page_links(spark, d):
+    """A second link graph: hosts that pages link to."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("url"))
+    return p.groupBy("src", F.regexp_replace("url", r"^https?://([^/]+).*$", "$1").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- history and store ---------------------------------------------------------------------------
+
+_VERSIONS = f"v AS (SELECT conv_id::VARCHAR AS note_id, (turn + 1)::INT AS rev, {BASE_MS} + turn * 60000 AS \"at\", role AS title, coalesce(text, '') AS body, turn AS ord FROM conversations)"
+
+
+@query(f"WITH {_VERSIONS}, r AS (SELECT note_id, ((rev + 1) // 2)::INT AS rev, \"at\", title, body, ord FROM v) SELECT note_id, rev, \"at\", title, body FROM r QUALIFY row_number() OVER (PARTITION BY note_id, rev ORDER BY ord DESC) = 1")
+def version_dedupe(spark, d):
+    log = conversation_versions(spark, d).withColumn("rev", F.expr("(rev + 1) div 2").cast("int"))
+    return history.dedupe_versions(log)
+
+
+_WORDS = _COUNT
+
+
+@query(
+    f"WITH {_VERSIONS} SELECT note_id, rev, \"at\", {_WORDS}::INT AS words, ({_WORDS} - lag({_WORDS}) OVER w)::INT AS delta, lead(rev) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY note_id ORDER BY rev, \"at\")"
+)
+def version_deltas(spark, d):
+    return history.version_deltas(conversation_versions(spark, d))
+
+
+@query(f"WITH {_VERSIONS} SELECT note_id, rev, \"at\" FROM v QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY rev DESC, \"at\" DESC) <= 3")
+def history_compact(spark, d):
+    return history.compact(conversation_versions(spark, d), 3).select("note_id", "rev", "at")
+
+
+@query(f"WITH {_VERSIONS} SELECT note_id, title, body, \"at\" AS created_at, \"at\" AS updated_at, false AS pinned, rev FROM v QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY rev DESC, \"at\" DESC) = 1")
+def recover_latest(spark, d):
+    return history.recover(conversation_versions(spark, d)).select("note_id", "title", "body", "created_at", "updated_at", "pinned", "rev")
+
+
+@query(f"WITH {_VERSIONS} SELECT note_id, rev, \"at\", title, body FROM v")
+def version_log_roundtrip(spark, d):
+    """Versions written as JSON lines, some torn or foreign, and read again."""
+    v = conversation_versions(spark, d)
+    lines = nt.encode_versions(v).withColumn("ord", F.lit(0))
+    torn = lines.withColumn("line", F.expr("substring(line, 1, length(line) - 5)"))
+    odd = lines.withColumn("line", F.lit('{"rev": "x", "body": 1}')).unionByName(lines.withColumn("line", F.lit("  ")))
+    return nt.decode_versions(lines.unionByName(torn).unionByName(odd)).drop("ord")
+
+
+_PURGED_AT = NOW_MS - 1000 * HOUR_MS
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, trashed_at FROM notes WHERE trashed_at IS NULL OR {_PURGED_AT} - trashed_at <= {30 * 86_400_000}")
+def trash_purge(spark, d):
+    return history.purge(notes(spark, d), _PURGED_AT).select("note_id", "trashed_at")
+
+
+@query(
+    f"WITH {sq.DOC_NOTES} SELECT note_id, CASE note_id::INT % 5 WHEN 0 THEN {NOW_MS} WHEN 1 THEN NULL ELSE trashed_at END AS trashed_at, rev + CASE WHEN note_id::INT % 5 <= 1 THEN 1 ELSE 0 END AS rev, "
+    f"CASE WHEN note_id::INT % 5 = 0 THEN {NOW_MS} ELSE updated_at END AS updated_at FROM notes"
+)
+def trash_and_restore(spark, d):
+    n = notes(spark, d)
+    pick = lambda k: n.where(F.col("note_id").cast("int") % 5 == k).select("note_id")
+    out = history.trash(history.trash(n, pick(0), NOW_MS, touch=True), pick(1), NOW_MS, restore=True)
+    return out.select("note_id", "trashed_at", "rev", "updated_at")
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id FROM notes WHERE trashed_at IS NULL AND note_id::INT % 7 <> 0")
+def destroy_and_empty(spark, d):
+    n = notes(spark, d)
+    return history.empty_trash(history.destroy(n, n.where(F.col("note_id").cast("int") % 7 == 0).select("note_id"))).select("note_id")
+
+
+@query(
+    f"WITH {sq.DOC_NOTES} SELECT note_id, CASE WHEN note_id::INT % 4 = 0 THEN 'new ' || title ELSE title END AS title, rev + CASE WHEN note_id::INT % 4 IN (0, 1) THEN 1 ELSE 0 END AS rev, "
+    f"CASE WHEN note_id::INT % 4 IN (0, 1) THEN {NOW_MS} ELSE updated_at END AS updated_at, CASE WHEN note_id::INT % 4 = 2 THEN NOT pinned ELSE pinned END AS pinned, "
+    "CASE WHEN note_id::INT % 4 = 1 THEN ['x/y'] ELSE list_sort([lang || '/' || source]) END AS tags FROM notes JOIN documents ON doc_id = note_id::BIGINT"
+)
+def apply_edits(spark, d):
+    n = notes(spark, d)
+    k = F.col("note_id").cast("int") % 4
+    e = n.where(k < 3).select("note_id", F.when(k == 0, F.concat(F.lit("new "), "title")).alias("title"), F.when(k == 1, F.lit("text #x/y")).alias("body"), F.when(k == 2, ~F.col("pinned")).alias("pinned"))
+    return history.apply_edits(n, e, NOW_MS).select("note_id", "title", "rev", "updated_at", "pinned", F.sort_array("tags").alias("tags"))
+
+
+_FILE = f"'---' || {sq.NL} || " + f" || {sq.NL} || ".join(
+    f"'{k}: ' || {v}" for k, v in (("id", "note_id"), ("title", "title"), ("created", "created_at"), ("updated", "updated_at"), ("rev", "rev"), ("pinned", "pinned"), ("archived", "archived"), ("locked", "locked"), ("trashed", "coalesce(trashed_at::VARCHAR, '')"))
+) + f" || {sq.NL} || '---' || {sq.NL} || body"
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, md5({_FILE}) AS digest FROM notes")
+def serialized_notes(spark, d):
+    return notes(spark, d).select("note_id", F.md5(nt.serialize()).alias("digest"))
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, title, md5(regexp_replace(body, '^\\n', '')) AS body, created_at, updated_at, pinned, archived, locked, trashed_at, rev FROM notes")
+def serialize_roundtrip(spark, d):
+    files = notes(spark, d).select(F.concat(F.lit("f"), "note_id").alias("file_id"), nt.serialize().alias("raw"))
+    return nt.parse_notes(files).select("note_id", "title", F.md5("body").alias("body"), "created_at", "updated_at", "pinned", "archived", "locked", "trashed_at", "rev")
+
+
+@query(
+    f"WITH {sq.DOC_NOTES}, {_VERSIONS}, f AS (SELECT *, note_id::INT % 10 = 0 AS blank FROM notes), l AS (SELECT note_id, max(rev) AS rev FROM v GROUP BY note_id) SELECT note_id, CASE WHEN {_PURGED_AT} - trashed_at > {30 * 86_400_000} THEN 'purged' ELSE 'ok' END AS status, rev FROM f WHERE NOT blank "
+    "UNION ALL SELECT f.note_id, CASE WHEN l.rev IS NULL THEN 'unreadable' ELSE 'recovered' END, l.rev FROM f LEFT JOIN l USING (note_id) WHERE blank"
+)
+def load_report(spark, d):
+    """Files of which a tenth is blank, read with recovery from the version log."""
+    n = notes(spark, d)
+    raw = F.when(F.col("note_id").cast("int") % 10 != 0, nt.serialize()).otherwise(F.lit(" \n"))
+    return nt.load(n.select(F.col("note_id").alias("file_id"), raw.alias("raw")), conversation_versions(spark, d), _PURGED_AT).select("note_id", "status", "rev")
+
+
+_EXPORT = f"CASE WHEN lower(trim(regexp_replace(string_split(body, {sq.NL})[1], '^#{{1,6}}\\s+', ''))) = lower(title) THEN body ELSE '# ' || title || {sq.NL} || {sq.NL} || body END"
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, md5({_EXPORT}) AS digest FROM notes")
+def export_texts(spark, d):
+    return notes(spark, d).select("note_id", F.md5(history.export_text(F.col("title"), F.col("body"))).alias("digest"))
+
+
+@query(f"WITH {sq.DOC_NOTES} SELECT md5(string_agg({_EXPORT}, {sq.NL} || {sq.NL} || '---' || {sq.NL} || {sq.NL} ORDER BY updated_at DESC, note_id)) AS digest FROM notes WHERE trashed_at IS NULL")
+def export_all(spark, d):
+    return history.export_all(notes(spark, d)).select(F.md5("document").alias("digest"))
+
+
+@query(
+    "WITH b AS (SELECT p_partkey::VARCHAR AS note_id, left(trim(regexp_replace(regexp_replace(p_name || ': ' || p_brand, '[\\\\/:*?\"<>|]', ' ', 'g'), '\\s+', ' ', 'g')), 60) AS base, p_size FROM part), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY p_size DESC, note_id) AS i FROM b) SELECT note_id, base || CASE WHEN i > 1 THEN ' ' || i ELSE '' END || '.md' AS filename FROM r"
+)
+def export_filenames(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("note_id"), F.concat("p_name", F.lit(": "), "p_brand").alias("title"), F.col("p_size").alias("updated_at"))
+    return history.export_filenames(p)
+
+
+@query("SELECT 'NAME' AS \"column\", 5 AS length, false AS too_long, false AS price, false AS spaced UNION ALL SELECT 'SUBTITLE', 32, true, true, false UNION ALL SELECT 'KEYWORDS', 4, false, false, true")
+def listing_check(spark, d):
+    row = spark.createDataFrame([("Notes", "free notes for everyone everyday", "a, b")], "NAME string, SUBTITLE string, KEYWORDS string")
+    return nt.check_listing(row, {"NAME": 30, "SUBTITLE": 30, "KEYWORDS": 100}, ("NAME", "SUBTITLE", "KEYWORDS"))
+
+
+# ---- streaming-shaped ----------------------------------------------------------------------------
+
+_SESSIONS = "e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS ({0} ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER ({0} ORDER BY ts, event_id) AS s FROM e)"
+_LAST = "max(ts) + INTERVAL 5 MINUTE"
+
+
+@query(f"WITH {_SESSIONS.format('PARTITION BY user_id')} SELECT user_id::VARCHAR AS note_id, min(ts) AS \"from\", {_LAST} AS \"to\", count(*) AS edits, arg_max(event_type, {{'t': ts, 'i': event_id}}) AS body FROM s GROUP BY user_id, s")
+def debounce_per_note(spark, d):
+    return st.coalesce_edits(event_edits(spark, d), "5 minutes")
+
+
+@query(
+    f"WITH {_SESSIONS.format('')}, w AS (SELECT s, min(ts) AS f, {_LAST} AS t FROM s GROUP BY s) "
+    "SELECT user_id::VARCHAR AS note_id, any_value(f) AS \"from\", any_value(t) AS \"to\", count(*) AS edits, arg_max(event_type, {'t': ts, 'i': event_id}) AS body FROM s JOIN w USING (s) GROUP BY user_id, s"
+)
+def debounce_library(spark, d):
+    return st.coalesce_edits(event_edits(spark, d), "5 minutes", per_note=False)
+
+
+@query(f"WITH {_VERSIONS} SELECT note_id, rev, \"at\", title, body FROM v QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY rev DESC, \"at\" DESC) = 1")
+def latest_snapshot(spark, d):
+    return st.latest_snapshot(conversation_versions(spark, d).drop("ord"))
+
+
+# ---- markdown ------------------------------------------------------------------------------------
+
+_LINE = (
+    "CASE WHEN regexp_full_match(x, '\\s*') THEN 'blank' WHEN regexp_full_match(x, '(?:---+|\\*\\*\\*+|___+)\\s*') THEN 'divider' WHEN regexp_full_match(x, '#{1,3}\\s+.*') THEN 'heading' WHEN regexp_full_match(x, '\\s*[-*]\\s+\\[[ xX]\\]\\s*.*') THEN 'task' "
+    "WHEN regexp_full_match(x, '\\s*[-*•]\\s+.*') THEN 'bullet' WHEN regexp_full_match(x, '\\s*[0-9]+[.)]\\s+.*') THEN 'numbered' WHEN regexp_full_match(x, '>\\s?.*') THEN 'quote' ELSE 'paragraph' END"
+)
+
+
+@query(f"WITH {sq.DOC_NOTES}, l AS (SELECT note_id, unnest(string_split(body, {sq.NL})) AS x FROM notes) SELECT note_id, {_LINE} AS kind, count(*) AS n, sum(length(x))::BIGINT AS characters FROM l GROUP BY ALL")
+def markdown_blocks(spark, d):
+    b = notes(spark, d).select("note_id", F.explode(md.blocks_udf("body")).alias("b"))
+    return b.groupBy("note_id", "b.kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.end") - F.col("b.start")).alias("characters"))
+
+
+@query()
+def markdown_inline(spark, d):
+    p = table(spark, d, "benchmark").select("item_id", F.explode(md.inline_udf("text")).alias("s"))
+    return p.select("item_id", "s.*")
+
+
+@query()
+def editor_operations(spark, d):
+    n = notes(spark, d).where(F.length("body") < 400)
+    ops = [("return", None), ("task", None), ("prefix", "quote"), ("inline", "**"), ("indent", None), ("outdent", None)]
+    arms = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(a).cast("string").alias("arg")) for o, a in ops])
+    rows = n.select("note_id", "body", F.explode(arms).alias("o")).select("note_id", "body", "o.*")
+    return rows.select("note_id", "op", md.edit_udf("op", "body", F.length("body") - 3, F.length("body") - 1, "arg").alias("text"))
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Several ranked queries over the documents in one plan."""
+    return QUERIES["search_bm25f_multi"](spark, sf_dir)
