@@ -189,7 +189,7 @@ def _expansion(name: str):
     def run(spark, d) -> DataFrame:
         asked = spark.createDataFrame([(i, 0, t, None) for i, t in texts], "query_id string, i int, term string, next string")
         vocab = ix.vocabulary(ix.postings(notes(spark, d))).cache()
-        return ex.expand(asked, vocab, sorted({len(t) for _, t in texts})).withColumn("weight", F.round("weight", 6))
+        return ex.expand(asked, vocab, [t for _, t in texts]).withColumn("weight", F.round("weight", 6))
 
     run.__name__ = name
     query(sql)(run)
@@ -205,7 +205,7 @@ _PAIRS = {i: parse(t, NOW_MS) for i, t in [("a", "th at"), ("b", "o pen"), ("c",
 def recompound(spark, d):
     asked = spark.createDataFrame([(i, k, t, q.terms[k + 1] if k + 1 < len(q.terms) else None) for i, q in _PAIRS.items() for k, t in enumerate(q.terms)], "query_id string, i int, term string, next string")
     vocab = ix.vocabulary(ix.postings(notes(spark, d))).cache()
-    return ex.expand(asked, vocab, [1, 2, 3]).where(F.col("weight") == ex.JOINED)
+    return ex.expand(asked, vocab, sorted({t for q in _PAIRS.values() for t in q.terms})).where(F.col("weight") == ex.JOINED)
 
 
 SEARCHES = {

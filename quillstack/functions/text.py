@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillstack.types import kind
 
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’_]*"
+#: A word: apostrophes and underscores belong to it between letters and digits.
+WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}'’_]*[\p{L}\p{N}])?"
 COUNTED_WORD = r"[\p{L}\p{N}'’_-]+"
 #: White space as the query language understands it, beyond ASCII too.
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -53,8 +54,15 @@ _FROM, _TO, MANY = _fold_rules()
 
 
 def fold(c: Column | str) -> Column:
-    """``fold_text`` inside the JVM, exact for texts without a character of MANY (Hangul, voiced kana, some Indic)."""
-    return F.lower(F.translate(c if isinstance(c, Column) else F.col(c), _FROM, _TO))
+    """``fold_text`` inside the JVM, exact for texts for which ``folds_oddly`` is false. ASCII needs no table."""
+    c = c if isinstance(c, Column) else F.col(c)
+    plain = (F.octet_length(c) == F.char_length(c)) & ~F.contains(c, F.lit("'"))
+    return F.lower(F.when(plain, c).otherwise(F.translate(c, _FROM, _TO)))
+
+
+def folds_oddly(c: Column) -> Column:
+    """Whether a text has a character of MANY; the long list is only tried where its range occurs at all."""
+    return c.rlike(r"[\x{600}-\x{10FFFF}]") & c.rlike(MANY)
 
 
 @F.pandas_udf(kind("string"))
@@ -68,21 +76,26 @@ def trim(c: Column) -> Column:
 
 
 def raw_words(c: Column) -> Column:
-    """Words in order, trailing apostrophes and underscores taken off."""
-    return F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"['’_]+\z", ""))
+    """Words in order."""
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
 #: Boundaries inside a word, each written as what stands on its two sides.
 BOUNDARIES = [r"([a-z])([A-Z])", r"([A-Z])([A-Z][a-z])", r"([0-9])([^0-9 ])", r"([^0-9 ])([0-9])"]
 
 
+#: What every compound word has somewhere.
+HAS_BOUNDARY = r"[a-z][A-Z]|[A-Z][A-Z][a-z]|[0-9_'’]"
+
+
 def compound_parts(word: Column) -> Column:
     """Parts of a word at camel-case, acronym and digit edges and at _ ' ’; empty unless there are several."""
     w = F.regexp_replace(word, r"[_'’]", " ")
     for b in BOUNDARIES:
         w = F.regexp_replace(w, b, "$1 $2")
     parts = F.filter(F.split(w, " "), lambda x: x != "")
-    return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.when(word.rlike(HAS_BOUNDARY), F.when(F.size(parts) > 1, parts).otherwise(none)).otherwise(none)
 
 
 def let(x: Column, f) -> Column:

@@ -39,10 +39,12 @@ def prefix_layer(terms: DataFrame, vocab: DataFrame, lengths: list[int]) -> Data
     return met.select("term", "surface", (PREFIX * F.pow(F.length("term") / F.length("surface"), F.lit(PREFIX_POWER))).alias("weight"))
 
 
-def near_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def near_terms(terms: DataFrame, vocab: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """term, surface, distance: vocabulary within the edit budget that shares enough trigrams, the nearest FUZZY_MOST."""
     asked = terms.select("term", tx.max_edits(F.col("term")).alias("budget"), tx.trigrams(F.col("term")).alias("g")).where("budget > 0")
     grams = asked.select("term", "budget", F.greatest(F.lit(1), F.size("g") - 3 * F.col("budget")).alias("needed"), F.explode("g").alias("gram"))
+    if lengths:
+        vocab = vocab.where(F.length("term").between(min(lengths) - 2, max(lengths) + 2))
     words = vocab.select(F.col("term").alias("surface"), F.explode(tx.trigrams(F.col("term"))).alias("gram"))
     shared = words.join(grams, "gram").where(F.abs(F.length("surface") - F.length("term")) <= F.col("budget"))
     some = shared.groupBy("term", "surface", "budget", "needed").agg(F.count(F.lit(1)).alias("shared")).where("shared >= needed and surface <> term")
@@ -52,16 +54,14 @@ def near_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return near.withColumn("i", place).where(F.col("i") <= FUZZY_MOST).select("term", "surface", "distance")
 
 
-def fuzzy_layer(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def fuzzy_layer(unknown: DataFrame, vocab: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """Only for words that the vocabulary doesn't have."""
-    unknown = terms.join(vocab.select("term"), "term", "left_anti")
-    return near_terms(unknown, vocab).select("term", "surface", (FUZZY / F.col("distance")).alias("weight"))
+    return near_terms(unknown, vocab, lengths).select("term", "surface", (FUZZY / F.col("distance")).alias("weight"))
 
 
-def parts_layer(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def parts_layer(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     """The first split of an unknown word into two known ones of three letters at least."""
-    unknown = terms.where(F.length("term") >= 6).join(vocab.select("term"), "term", "left_anti")
-    cuts = unknown.select("term", F.explode(F.sequence(F.lit(3), F.length("term") - 3)).alias("i"))
+    cuts = unknown.where(F.length("term") >= 6).select("term", F.explode(F.sequence(F.lit(3), F.length("term") - 3)).alias("i"))
     halves = cuts.select("term", "i", F.substring("term", F.lit(1), F.col("i")).alias("a"), F.expr("substring(term, i + 1)").alias("b"))
     known = vocab.select("term")
     both = halves.join(known.withColumnRenamed("term", "a"), "a").join(known.withColumnRenamed("term", "b"), "b")
@@ -69,12 +69,22 @@ def parts_layer(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return first.select("term", F.explode(F.array("s.a", "s.b")).alias("surface"), F.lit(PARTS).alias("weight"))
 
 
-def expand(asked: DataFrame, vocab: DataFrame, lengths: list[int]) -> DataFrame:
-    """query_id, i, surface, weight from (query_id, i, term, next): the best weight of each surface of each term."""
+def expand(asked: DataFrame, vocab: DataFrame, words: list[str]) -> DataFrame:
+    """query_id, i, surface, weight from (query_id, i, term, next): the best weight of each surface of each term.
+
+    words: the distinct terms asked for, as the caller has them. Which of them the vocabulary knows is found
+    first, in one look at it; the layers for unknown words are planned only if there are any.
+    """
+    spark = vocab.sparkSession
+    known = {r["term"] for r in vocab.where(F.col("term").isin(words)).select("term").collect()}  # as many as were asked
+    lost = sorted(set(words) - known)
     terms = asked.select("term").distinct()
-    layers = exact_layer(terms, vocab)
-    for more in (stem_layer(terms, vocab), prefix_layer(terms, vocab, lengths), fuzzy_layer(terms, vocab), parts_layer(terms, vocab)):
-        layers = layers.unionByName(more)
+    layers = exact_layer(terms, vocab).unionByName(stem_layer(terms, vocab)).unionByName(prefix_layer(terms, vocab, sorted({len(w) for w in words})))
+    if lost:
+        unknown = spark.createDataFrame([(w,) for w in lost], "term string")
+        layers = layers.unionByName(parts_layer(unknown, vocab))
+        if lengths := [len(w) for w in lost if len(w) > 3]:
+            layers = layers.unionByName(fuzzy_layer(unknown, vocab, lengths))
     own = asked.join(layers, "term").select("query_id", "i", "surface", "weight")
     pairs = asked.where("next is not null").select("query_id", "i", F.concat("term", "next").alias("surface")).join(vocab.select(F.col("term").alias("surface")), "surface")
     joined = pairs.select("query_id", F.explode(F.array("i", F.col("i") + 1)).alias("i"), "surface", F.lit(JOINED).alias("weight"))

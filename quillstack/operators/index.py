@@ -50,7 +50,7 @@ def tokens(notes: DataFrame) -> DataFrame:
         return whole.select("note_id", "field", fold(F.col("raw")).alias("term")).where("term <> ''")
 
     # The few texts with letters that fold into several go through Python; nothing else does.
-    many = F.col("text").rlike(tx.MANY)
+    many = tx.folds_oddly(F.col("text"))
     return terms(texts.where(~many), tx.fold).unionByName(terms(texts.where(many), tx.fold_udf))
 
 

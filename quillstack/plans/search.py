@@ -19,6 +19,8 @@ from quillstack.plans.query import Query, parse
 FIELDS = (("title", 3.4, 0.35), ("body", 1.0, 0.75), ("tag", 2.2, 0.3))  # field, weight, length normalisation
 K1, COVERAGE_POWER, COVERAGE_BASE, COVERAGE_PART = 1.35, 1.6, 0.35, 0.65
 TITLE_EQUAL, TITLE_PREFIX, PINNED, ARCHIVED, PHRASE = 2.2, 1.7, 1.15, 0.75, 1.5
+#: Expansions of a batch up to this number are broadcast.
+EXPANSIONS_AT_HAND = 50_000
 
 _ASKED = "query_id string, typed string, n_terms int, has_phrase boolean, scope string, wanted array<string>, states array<string>, dates array<struct<field:string,op:string,at:bigint>>, excluded array<string>, patterns array<string>"
 
@@ -70,13 +72,21 @@ def _asked(spark, queries: dict[str, Query], scope: str | None) -> DataFrame:
     return spark.createDataFrame(rows, _ASKED)
 
 
+def _at_hand(rows: DataFrame, most: int = EXPANSIONS_AT_HAND) -> tuple[DataFrame, bool]:
+    """The expansions as a local table if there are few, so that postings are looked up where they lie; else as they are."""
+    some = rows.limit(most + 1).collect()
+    return (rows.sparkSession.createDataFrame(some, rows.schema), True) if len(some) <= most else (rows, False)
+
+
 def rank(index: Index, notes: DataFrame, queries: dict[str, Query], now: int, limit: int = 200, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """query_id, place, note_id, score of the queries that have terms, and the expansions that were used."""
     spark = notes.sparkSession
     terms = [(i, k, t, q.ranked_terms[k + 1] if k + 1 < len(q.ranked_terms) else None) for i, q in queries.items() for k, t in enumerate(q.ranked_terms)]
     asked = spark.createDataFrame(terms, "query_id string, i int, term string, next string")
-    expansions = expand(asked, index.vocab, sorted({len(t[2]) for t in terms}))
-    hits = expansions.join(index.vocab.select(F.col("term").alias("surface"), "df"), "surface").join(index.postings.withColumnRenamed("term", "surface"), "surface")
+    expansions = expand(asked, index.vocab, sorted({t[2] for t in terms})).join(index.vocab.select(F.col("term").alias("surface"), "df"), "surface")
+    expansions, small = _at_hand(expansions)
+    post = index.postings.withColumnRenamed("term", "surface")
+    hits = (F.broadcast(expansions) if small else expansions).join(post, "surface")
     ask = _asked(spark, queries, scope)
     rows = hits.join(index.docs, "note_id").join(ask, "query_id").where(passes()).join(F.broadcast(index.stats))  # one row
     weighted = sum((w * F.col(f"tf_{k}") / (1 - b + b * F.col(f"len_{k}") / F.col(f"avg_{k}")) for k, w, b in FIELDS), F.lit(0.0))
