@@ -92,13 +92,13 @@ def upsert(index: Index, notes: DataFrame, changed: DataFrame) -> Index:
     Only the changed notes are tokenised; statistics are recomputed, so replaced rows leave no trace.
     """
     ids = changed.select("note_id").distinct()
-    post = index.postings.join(ids, "note_id", "left_anti").unionByName(postings(changed))
+    post = postings(changed).unionByName(index.postings.join(ids, "note_id", "left_anti"))
     docs = documents(notes, post)
     return Index(post, docs, vocabulary(post), averages(docs))
 
 
 def remove(index: Index, notes: DataFrame, ids: DataFrame) -> Index:
     """The index without the notes named by ``ids`` (note_id); ``notes`` are those that remain."""
-    post = index.postings.join(ids.select("note_id").distinct(), "note_id", "left_anti")
+    post = index.postings.join(ids.select("note_id").distinct(), "note_id", "left_anti").select(index.postings.columns)
     docs = documents(notes, post)
     return Index(post, docs, vocabulary(post), averages(docs))

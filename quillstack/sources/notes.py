@@ -37,8 +37,7 @@ def parse_notes(files: DataFrame, now: int = 0) -> DataFrame:
     end = F.when(opened, F.locate(f"\n{RULE}", F.col("raw"), len(RULE) + 1)).otherwise(0)
     rows = files.withColumn("_end", end)
     head = F.when(F.col("_end") > 0, F.expr(f"substring(raw, {len(RULE) + 2}, greatest(0, _end - {len(RULE) + 2}))"))
-    body = F.when(F.col("_end") > 0, F.regexp_replace(F.expr(f"substring(raw, _end + {len(RULE) + 1})"), r"\A\n", "")).otherwise(F.col("raw"))
-    # The closing rule's own line ends with the newline that stands first here.
+    body = F.when(F.col("_end") > 0, F.regexp_replace(F.expr(f"substring(raw, _end + {len(RULE) + 2})"), r"\A\n", "")).otherwise(F.col("raw"))
     entry = F.transform(F.split(head, "\n"), lambda x: F.struct(tx.trim(F.regexp_extract(x, r"(?s)\A([^:]+):(.*)\z", 1)).alias("k"), tx.trim(F.regexp_extract(x, r"(?s)\A([^:]+):(.*)\z", 2)).alias("v")))
     rows = rows.select("file_id", entry.alias("h"), body.alias("body"), (F.col("_end") > 0).alias("has"))
 
@@ -60,9 +59,14 @@ def parse_notes(files: DataFrame, now: int = 0) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """file_id, raw of the .md files in a folder; whole files, in parallel."""
+    """file_id, raw of the .md files in a folder; whole files, in parallel. Empty files, which Spark's readers
+    pass over, come from the folder's listing with raw null."""
     rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return rows.select(F.regexp_replace("_metadata.file_name", r"\.md\z", "").alias("file_id"), F.col("value").alias("raw"))
+    rows = rows.select(F.regexp_replace("_metadata.file_name", r"\.md\z", "").alias("file_id"), F.col("value").alias("raw"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [(f.getPath().getName(), f.getLen()) for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    blank = [(n.removesuffix(".md"), None) for n, size in names if n.endswith(".md") and not size]
+    return rows.unionByName(spark.createDataFrame(blank, rows.schema))
 
 
 def decode_versions(lines: DataFrame) -> DataFrame:

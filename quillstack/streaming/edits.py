@@ -25,7 +25,7 @@ def coalesce_edits(edits: DataFrame, gap: str = "600 milliseconds", lateness: st
         out = rows.groupBy("note_id", burst).agg(F.count(F.lit(1)).alias("edits"), last)
         return out.select("note_id", F.col("session_window.start").alias("from"), F.col("session_window.end").alias("to"), "edits", F.col("last.body").alias("body"))
     item = F.struct("note_id", F.struct("ts", "event_id", "body").alias("e"))
-    every = rows.groupBy(burst).agg(F.collect_list(item).alias("items"))
+    every = rows.groupBy(F.col("note_id").isNotNull().alias("library"), burst).agg(F.collect_list(item).alias("items"))
     flat = every.select("session_window", F.explode("items").alias("i"))
     if edits.isStreaming:  # a second aggregation of a stream would need its own state: the burst's rows are at hand
         ids = F.array_distinct(F.transform("items", lambda x: x["note_id"]))
@@ -96,7 +96,7 @@ def maintain_index(stream: DataFrame, path: str, checkpoint: str):
         last = batch.groupBy("note_id").agg(F.max_by(F.struct(*cols), F.struct("updated_at", "rev")).alias("v")).select("note_id", "v.*")
         fresh = postings(last)
         before = newest_before(spark, f"{path}/postings", number)
-        rows = fresh if before is None else before.join(last.select("note_id"), "note_id", "left_anti").unionByName(fresh)
+        rows = fresh if before is None else fresh.unionByName(before.join(last.select("note_id"), "note_id", "left_anti"))
         _swap(spark, rows, f"{path}/postings", number)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
