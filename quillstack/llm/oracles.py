@@ -16,6 +16,23 @@ SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """
 
+_OP3 = """
+WITH table_ AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) r(n))),
+h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, '0x' || md5('17:' || coalesce(doc_id::VARCHAR, 'null'))[1:12] AS draw FROM documents),
+d AS (
+  SELECT doc_id, source, draw::BIGINT AS draw, length(x) // 2 + 8 AS size,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+      lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) AS text_crc32
+  FROM h, table_),
+f AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) - 1
+    + ('0x' || md5('17/' || coalesce('=' || source, 'null'))[1:8])::BIGINT / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY source) AS frac FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS FIRST, draw, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM f)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard, (pos - (pos * 24 // n * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM p
+"""
+
 _OP4 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -83,4 +100,4 @@ FROM d LEFT JOIN g USING (row)
 """
 
 
-ORACLES = {"op2_exact_topk": _OP2, "op4_exact_dedup": _OP4, "op6_source_mixing": _op6(), "op7_secret_scan": _op7()}
+ORACLES = {"op2_exact_topk": _OP2, "op3_stratified_sharding": _OP3, "op4_exact_dedup": _OP4, "op6_source_mixing": _op6(), "op7_secret_scan": _op7()}
