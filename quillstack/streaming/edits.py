@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstack.operators.history import latest, purge
 from quillstack.operators.index import Index, build_index, postings
 
-#: How late an edit may come; the reference's timers have no such notion.
+#: How late an edit may come.
 LATENESS = "10 minutes"
 
 
