@@ -17,6 +17,7 @@ from quillstack.plans import search as se
 from quillstack.plans.query import parse
 from quillstack.sources import notes as nt
 from quillstack.sources.samples import BASE_MS, HOUR_MS, NOW_MS, conversation_versions, document_notes, event_edits, table
+from quillstack.sources.settings import merge_settings
 from quillstack.streaming import edits as st
 
 QUERIES: dict = {}
@@ -128,6 +129,20 @@ def note_times(spark, d):
     return notes(spark, d).select("note_id", tx.relative_time(at, NOW_MS).alias("age"), tx.full_time(at).alias("full_time"), F.round(tx.recency_boost(at, NOW_MS), 9).alias("boost"))
 
 
+_LABELLED = f"SELECT note_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS t FROM (SELECT note_id, trim(left(string_split(body, {sq.NL})[1], 60)) AS t FROM notes)"
+
+
+@query(f"WITH {sq.DOC_NOTES}, l AS ({_LABELLED}) SELECT note_id, CASE WHEN length(t) <= 20 THEN t ELSE regexp_replace(left(t, 19), '\\s+\\S*$', '') || '…' END AS label FROM l")
+def graph_labels(spark, d):
+    return notes(spark, d).select("note_id", tx.graph_label(F.substring(F.substring_index("body", "\n", 1), 1, 60)).alias("label"))
+
+
+@query("SELECT * FROM (VALUES (1, 'title', true), (2, 'updated', true), (3, 'updated', false), (4, 'updated', false)) AS v(i, sortKey, sortAsc)")
+def settings_merge(spark, d):
+    raw = [(1, '{"sortKey": "title", "sortAsc": true, "other": 1}'), (2, '{"sortAsc": true}'), (3, '{"sortKey": "tit'), (4, None)]
+    return merge_settings(spark.createDataFrame(raw, "i int, raw string")).drop("raw")
+
+
 # ---- index ---------------------------------------------------------------------------------------
 
 
