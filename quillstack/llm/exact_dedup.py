@@ -79,15 +79,25 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def distinct_rows(docs: DataFrame) -> DataFrame:
+def distinct_rows(docs: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``docs`` with one row for each distinct text, the one with the largest doc_id, in the same columns.
 
-    The entries of the index carry their row along, so the texts are shuffled once. A null text and an
-    empty one are copies. Ties of doc_id are settled by the remaining columns' values in order.
+    The index names the document that stays; a row looks itself up by hash, digest and doc_id, so that copies
+    of a hot text go to different tasks. A null text and an empty one are copies. Rows that repeat doc_id and
+    text are one row, the one with the largest values of the remaining columns in order.
     """
+    index = build_index(docs, capacity, max_depth)
+    keys = ["_hash", "_sha", "_none", "_id"]
+
+    def key(hash_, sha, doc_id):  # plain equality in place of null-safe equality keeps one shuffle for grouping and join
+        return [hash_.alias("_hash"), sha.alias("_sha"), doc_id.isNull().alias("_none"), F.coalesce(doc_id, F.lit(0)).alias("_id")]
+
     rest = [c for c in docs.columns if c != "text"]
-    row = F.struct(F.col("doc_id").alias("_first"), F.col("text").isNotNull().alias("_has"), *[F.col(c) for c in rest])
-    entries = docs.select(F.xxhash64(empty_text()).alias("_hash"), empty_text().alias("_text"), row.alias("_row"))
-    entries = entries.groupBy("_hash", "_text").agg(F.max("_row").alias("_row"))
-    text = F.when(F.col("_row._has"), F.col("_text"))
-    return entries.select(*[text.alias(c) if c == "text" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    row = F.struct(F.col("text").isNotNull().alias("has"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    rows = docs.select(*key(F.xxhash64(empty_text()), F.sha2(empty_text(), 256), F.col("doc_id")), empty_text().alias("_text"), row.alias("_row"))
+    # Texts of a group are equal, as its digests are: the first one is any of them.
+    rows = rows.groupBy(*keys).agg(F.first("_text").alias("_text"), F.max("_row").alias("_row"))
+    stay = index.select(*key(F.col("hash"), F.col("text_sha256"), F.col("keep_id")))
+    found = rows.join(stay, keys)
+    text, at = F.when(F.col("_row.has"), F.col("_text")), {c: i for i, c in enumerate(rest)}
+    return found.select(*[text.alias(c) if c == "text" else F.col(f"_row.c{at[c]}").alias(c) for c in docs.columns])
