@@ -13,6 +13,13 @@ from quillstack.functions.fuzzy import osa_udf
 
 STEM, PREFIX, PREFIX_POWER, FUZZY, PARTS, JOINED = 0.85, 0.7, 0.35, 0.55, 0.75, 0.9
 PREFIX_MOST, PREFIX_SEEN, FUZZY_MOST = 24, 192, 12
+#: Characters of a caller's words up to which tables made of them are broadcast, so that the vocabulary stays where it lies.
+LETTERS_AT_HAND = 1_000_000
+
+
+def asked_table(rows: DataFrame, letters: int) -> DataFrame:
+    """``rows``, made of a caller's words with so many letters in all, marked for broadcast if they are few."""
+    return F.broadcast(rows) if letters <= LETTERS_AT_HAND else rows
 
 
 def exact_layer(terms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -40,13 +47,17 @@ def prefix_layer(terms: DataFrame, vocab: DataFrame, lengths: list[int]) -> Data
 
 
 def near_terms(terms: DataFrame, vocab: DataFrame, lengths: list[int] | None = None) -> DataFrame:
-    """term, surface, distance: vocabulary within the edit budget that shares enough trigrams, the nearest FUZZY_MOST."""
+    """term, surface, distance: vocabulary within the edit budget that shares enough trigrams, the nearest FUZZY_MOST.
+
+    lengths: of all the terms, if the caller has them at hand.
+    """
+    letters = sum(lengths) if lengths else LETTERS_AT_HAND + 1
     asked = terms.select("term", tx.max_edits(F.col("term")).alias("budget"), tx.trigrams(F.col("term")).alias("g")).where("budget > 0")
     grams = asked.select("term", "budget", F.greatest(F.lit(1), F.size("g") - 3 * F.col("budget")).alias("needed"), F.explode("g").alias("gram"))
     if lengths:
         vocab = vocab.where(F.length("term").between(min(lengths) - 2, max(lengths) + 2))
     words = vocab.select(F.col("term").alias("surface"), F.explode(tx.trigrams(F.col("term"))).alias("gram"))
-    shared = words.join(grams, "gram").where(F.abs(F.length("surface") - F.length("term")) <= F.col("budget"))
+    shared = words.join(asked_table(grams, letters), "gram").where(F.abs(F.length("surface") - F.length("term")) <= F.col("budget"))
     some = shared.groupBy("term", "surface", "budget", "needed").agg(F.count(F.lit(1)).alias("shared")).where("shared >= needed and surface <> term")
     near = some.where(F.levenshtein("term", "surface") <= 2 * F.col("budget"))  # a swap is two plain edits
     near = near.withColumn("distance", osa_udf("term", "surface", "budget")).where("distance <= budget")
@@ -78,10 +89,11 @@ def expand(asked: DataFrame, vocab: DataFrame, words: list[str]) -> DataFrame:
     spark = vocab.sparkSession
     known = {r["term"] for r in vocab.where(F.col("term").isin(words)).select("term").collect()}  # as many as were asked
     lost = sorted(set(words) - known)
-    terms = asked.select("term").distinct()
+    letters = sum(map(len, words))
+    terms = asked_table(spark.createDataFrame([(w,) for w in words], "term string"), letters)
     layers = exact_layer(terms, vocab).unionByName(stem_layer(terms, vocab)).unionByName(prefix_layer(terms, vocab, sorted({len(w) for w in words})))
     if lost:
-        unknown = spark.createDataFrame([(w,) for w in lost], "term string")
+        unknown = asked_table(spark.createDataFrame([(w,) for w in lost], "term string"), letters)
         layers = layers.unionByName(parts_layer(unknown, vocab))
         if lengths := [len(w) for w in lost if len(w) > 3]:
             layers = layers.unionByName(fuzzy_layer(unknown, vocab, lengths))

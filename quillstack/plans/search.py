@@ -21,6 +21,8 @@ K1, COVERAGE_POWER, COVERAGE_BASE, COVERAGE_PART = 1.35, 1.6, 0.35, 0.65
 TITLE_EQUAL, TITLE_PREFIX, PINNED, ARCHIVED, PHRASE = 2.2, 1.7, 1.15, 0.75, 1.5
 #: Expansions of a batch up to this number are broadcast.
 EXPANSIONS_AT_HAND = 50_000
+#: Queries of a batch up to this number are broadcast.
+QUERIES_AT_HAND = 10_000
 
 _ASKED = "query_id string, typed string, n_terms int, has_phrase boolean, scope string, wanted array<string>, states array<string>, dates array<struct<field:string,op:string,at:bigint>>, excluded array<string>, patterns array<string>"
 
@@ -38,7 +40,7 @@ def tag_filter(wanted: Column) -> Column:
     def met(w: Column) -> Column:
         return F.exists("tags", lambda t: (t == w) | t.startswith(F.concat(w, F.lit("/"))))
 
-    return F.forall(wanted, met)
+    return (F.size(wanted) == 0) | F.forall(wanted, met)  # most queries have none
 
 
 def state_filter(states: Column) -> Column:
@@ -49,7 +51,7 @@ def state_filter(states: Column) -> Column:
             out = out & ((s != name) | rule)
         return out
 
-    return F.forall(states, met)
+    return (F.size(states) == 0) | F.forall(states, met)  # most queries have none
 
 
 def date_filter(dates: Column) -> Column:
@@ -57,7 +59,7 @@ def date_filter(dates: Column) -> Column:
         at = F.when(d["field"] == "created", F.col("created_at")).otherwise(F.col("updated_at"))
         return F.when(d["op"] == ">", at >= d["at"]).otherwise(at <= d["at"])
 
-    return F.forall(dates, met)
+    return (F.size(dates) == 0) | F.forall(dates, met)  # most queries have none
 
 
 def passes() -> Column:
@@ -72,6 +74,11 @@ def _asked(spark, queries: dict[str, Query], scope: str | None) -> DataFrame:
     return spark.createDataFrame(rows, _ASKED)
 
 
+def _at_hand_asked(spark, queries: dict[str, Query], scope: str | None) -> DataFrame:
+    ask = _asked(spark, queries, scope)
+    return F.broadcast(ask) if len(queries) <= QUERIES_AT_HAND else ask
+
+
 def _at_hand(rows: DataFrame, most: int = EXPANSIONS_AT_HAND) -> tuple[DataFrame, bool]:
     """The expansions as a local table if there are few, so that postings are looked up where they lie; else as they are."""
     some = rows.limit(most + 1).collect()
@@ -87,21 +94,26 @@ def rank(index: Index, notes: DataFrame, queries: dict[str, Query], now: int, li
     expansions, small = _at_hand(expansions)
     post = index.postings.withColumnRenamed("term", "surface")
     hits = (F.broadcast(expansions) if small else expansions).join(post, "surface")
-    ask = _asked(spark, queries, scope)
+    ask = _at_hand_asked(spark, queries, scope)
     rows = hits.join(index.docs, "note_id").join(ask, "query_id").where(passes()).join(F.broadcast(index.stats))  # one row
     weighted = sum((w * F.col(f"tf_{k}") / (1 - b + b * F.col(f"len_{k}") / F.col(f"avg_{k}")) for k, w, b in FIELDS), F.lit(0.0))
     part = F.col("weight") * tx.inverse_frequency(F.col("df"), F.col("n")) * (weighted / (K1 + weighted))
-    scored = rows.select("query_id", "note_id", "i", part.alias("part")).groupBy("query_id", "note_id").agg(F.sum("part").alias("raw"), F.size(F.collect_set("i")).alias("matched"))
-
-    full = scored.join(index.docs.select("note_id", "folded_title", "updated_at", "pinned", "archived"), "note_id").join(ask, "query_id")
-    coverage = F.pow(F.col("matched") / F.col("n_terms"), F.lit(COVERAGE_POWER))
     title = F.when(F.col("folded_title") == F.col("typed"), TITLE_EQUAL).when(F.col("folded_title").startswith(F.col("typed")), TITLE_PREFIX).otherwise(1.0)
-    score = F.col("raw") * (COVERAGE_BASE + COVERAGE_PART * coverage) * title * tx.recency_boost(F.col("updated_at"), now)
-    score = score * F.when(F.col("pinned"), PINNED).otherwise(1.0) * F.when(F.col("archived"), ARCHIVED).otherwise(1.0) * F.when(F.col("has_phrase"), PHRASE).otherwise(1.0)
-    full = full.withColumn("score", score)
+    factor = title * tx.recency_boost(F.col("updated_at"), now)
+    factor = factor * F.when(F.col("pinned"), PINNED).otherwise(1.0) * F.when(F.col("archived"), ARCHIVED).otherwise(1.0) * F.when(F.col("has_phrase"), PHRASE).otherwise(1.0)
+    # What a score needs of note and query is of fixed width and goes along, so that neither is joined again.
+    parts = rows.select("query_id", "note_id", "i", part.alias("part"), factor.alias("factor"), "n_terms", "updated_at")
+    sums = [F.sum("part").alias("raw"), *[F.max(c).alias(c) for c in ("factor", "n_terms", "updated_at")]]
+    lots = -(-max((len(q.ranked_terms) for q in queries.values()), default=0) // 63)  # the terms met, a bit each
+    met = [F.bit_or(F.when(F.expr(f"i div 63 = {k}"), F.expr("shiftleft(1L, i % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"met_{k}") for k in range(lots)]
+    scored = parts.groupBy("query_id", "note_id").agg(*sums, *met)
+    matched = sum((F.bit_count(f"met_{k}") for k in range(lots)), F.lit(0))
+    coverage = F.pow(matched / F.col("n_terms"), F.lit(COVERAGE_POWER))
+    score = F.col("raw") * (COVERAGE_BASE + COVERAGE_PART * coverage) * F.col("factor")
+    full = scored.select("query_id", "note_id", "updated_at", score.alias("score"))
     checked = [i for i, q in queries.items() if q.phrases or q.excluded]
     if checked:
-        texts = full.where(F.col("query_id").isin(checked)).join(notes.select("note_id", "title", "body"), "note_id").where(text_filter()).select(full.columns)
+        texts = full.where(F.col("query_id").isin(checked)).join(ask.select("query_id", "excluded", "patterns"), "query_id").join(notes.select("note_id", "title", "body"), "note_id").where(text_filter()).select(full.columns)
         full = full.where(~F.col("query_id").isin(checked)).unionByName(texts)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated_at"), "note_id"))
     return full.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "note_id", "score"), expansions
@@ -120,8 +132,8 @@ def text_filter() -> Column:
 
 def listing(index: Index, queries: dict[str, Query], limit: int = 200, scope: str | None = None) -> DataFrame:
     """query_id, place, note_id of queries without terms: what passes the filters, latest first. Exclusions don't apply."""
-    ask = _asked(index.docs.sparkSession, queries, scope)
-    met = index.docs.join(F.broadcast(ask), passes())  # the caller's list of queries
+    ask = F.broadcast(_asked(index.docs.sparkSession, queries, scope))
+    met = index.docs.join(ask, passes())  # the caller's list of queries
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "note_id"))
     return met.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "note_id")
 
