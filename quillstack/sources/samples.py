@@ -22,10 +22,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as notes: each with a tag, a wikilink, every third an open or a done task, flags by doc_id."""
+    """``documents`` as notes: each with a tag, most with a wikilink, every third an open or a done task, flags by doc_id."""
     d = table(spark, sf_dir, "documents")
     body = F.concat(
-        F.coalesce("text", F.lit("")), F.lit("\n#"), "lang", F.lit("/"), "source", F.lit("\n[[doc "), (F.col("doc_id") * 7 % 1200).cast("string"), F.lit("]]"),
+        F.coalesce("text", F.lit("")), F.lit("\n#"), "lang", F.lit("/"), "source",
+        F.when(F.col("doc_id") % 23 != 22, F.concat(F.lit("\n[[doc "), (F.col("doc_id") * 7 % 1200).cast("string"), F.lit("]]"))).otherwise(""),
         F.when(F.col("doc_id") % 3 == 0, "\n- [ ] open").when(F.col("doc_id") % 3 == 1, "\n- [x] done").otherwise(""),
     )
     rows = d.select(

@@ -69,7 +69,7 @@ WORD = "[\\p{L}\\p{N}][\\p{L}\\p{N}''’_]*"
 DOC_NOTES = f"""
 notes AS (
   SELECT doc_id::VARCHAR AS note_id, 'doc ' || doc_id AS title,
-    coalesce(text, '') || {NL} || '#' || lang || '/' || source || {NL} || '[[doc ' || (doc_id * 7 % 1200) || ']]'
+    coalesce(text, '') || {NL} || '#' || lang || '/' || source || CASE WHEN doc_id % 23 <> 22 THEN {NL} || '[[doc ' || (doc_id * 7 % 1200) || ']]' ELSE '' END
       || CASE doc_id % 3 WHEN 0 THEN {NL} || '- [ ] open' WHEN 1 THEN {NL} || '- [x] done' ELSE '' END AS body,
     {BASE_MS} + doc_id * {HOUR_MS} AS created_at, {BASE_MS} + doc_id * 7919 % 2000 * {HOUR_MS} AS updated_at,
     doc_id % 17 = 0 AS pinned, doc_id % 11 = 0 AS archived, doc_id % 19 = 0 AS locked, CASE WHEN doc_id % 13 = 0 THEN {BASE_MS} + doc_id * 7919 % 2000 * {HOUR_MS} END AS trashed_at,

@@ -1,5 +1,7 @@
 """Ranked search over a small collection."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,13 @@ def test_library_verbs(spark, library):
     edited = library.update(spark.createDataFrame([("sail", "Sailing trip\nnow with #tag")], "note_id string, body string"), NOW).notes.where("note_id = 'sail'").first()
     assert edited["rev"] == 2 and edited["tags"] == ["tag"] and edited["updated_at"] == NOW
     assert {r["path"]: r["notes"] for r in library.tags.collect()}["work"] == 4
+
+
+def test_coverage_counts_more_terms_than_a_long_has_bits(spark):
+    words = [f"zq{a}{b}o" for a in "abcdefgh" for b in "abcdefghi"][:70]
+    row = {"note_id": "n", "title": "", "body": " ".join(words), "created_at": NOW, "updated_at": NOW, "tags": [], "links": [], "pinned": False, "archived": False, "locked": False, "trashed_at": None, "rev": 1}
+    notes = spark.createDataFrame([row], NOTE)
+    index = ix.build_index(notes).cache()
+    found = {r["query_id"]: r["score"] for r in search(index, notes, [("all", " ".join(words)), ("most", " ".join([*words, "yyyyyyyyyy"]))], NOW).collect()}
+    full = 70 * math.log(4 / 3) / 2.35 * 1.28
+    assert found["all"] == pytest.approx(full) and found["most"] == pytest.approx(full * (0.35 + 0.65 * (70 / 71) ** 1.6))
