@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillstack.llm import byte_bpe, exact_dedup, licenses, lm_scoring, mixing, quality, secrets, sharding, simhash, topk
 from quillstack.llm.common import connected_components, running_total
 
-from sample_docs import rows
+from sample_docs import SCHEMA, rows
 
 DATA = rows()
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -183,6 +183,13 @@ def test_distinct_rows_keeps_columns(cluttered, empty):
     assert exact_dedup.distinct_rows(empty).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [1, 50_000])
+def test_distinct_rows_settles_ties(spark, capacity):
+    data = [(7, "tie", "a", "s", 1), (7, "tie", "b", None, 1), (7, "tie", "b", None, 1), (3, "tie", "z", "z", 9), (None, "alone", "en", "s", 1), (None, "alone", None, None, None), (5, None, "en", "s", 0), (5, "", "de", "s", 0), (0, "zero", "en", "s", 1), (None, "zero", "zz", "s", 1), (-4, "below", "en", "s", 1), (None, "below", "zz", "s", 1)]
+    kept = exact_dedup.distinct_rows(spark.createDataFrame(data, SCHEMA), capacity)
+    assert {tuple(r) for r in kept.collect()} == {(7, "tie", "b", None, 1), (None, "alone", "en", "s", 1), (5, "", "de", "s", 0), (0, "zero", "en", "s", 1), (-4, "below", "en", "s", 1)} and kept.count() == 5
+
+
 # ---- 5 licenses ----------------------------------------------------------------------------------
 
 
