@@ -5,8 +5,8 @@ masked: window embeddings, one per offset, are added and squashed, and a softmax
 follows; within its class a token has its share of the corpus counts. A document's score is the sum of
 the log-probabilities of all its tokens.
 
-What the model is made of grows with the corpus: token counts over all documents, and windows at a fixed
-rate from every document. Every task trains on its own documents from common weights, and the tasks'
+What the model is made of grows with the corpus: token counts over all documents, and a window around
+every token of every document in each round. Every task trains on its own documents from common weights, and the tasks'
 weights are averaged, each block of them in a task of its own, as often as there are rounds.
 """
 
@@ -26,8 +26,9 @@ from quillstack.llm.common import empty_text, materialize
 #: Tokens with a count of their own, tokens with an embedding of their own, classes, of which the first hold a token each.
 VOCABULARY, EMBEDDED, CLASSES, SINGLES = 20_000, 2048, 64, 31
 OFFSETS, WIDTH = (-2, -1, 1, 2), 16
-#: One window in so many is trained on, in every document; windows a step; step size; rounds of averaging.
-EVERY, STEP_ROWS, STEP, ROUNDS = 16, 256, 0.15, 2
+#: Windows a step; step size; rounds of averaging. Windows scored at once, few enough to stay in the cache.
+STEP_ROWS, STEP, ROUNDS = 256, 0.15, 2
+SCORE_ROWS = 1024
 BLOCK = 2048
 
 
@@ -113,26 +114,30 @@ class Network:
 
     def step(self, windows: np.ndarray, classes: np.ndarray, rate: float) -> None:
         h = self.hidden(windows)
-        z = self.logits(h)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p = self.logits(h)
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(p)), classes] -= 1
         back = (p @ self.out.T) * (1 - h * h)
         self.out -= rate / len(p) * (h.T @ p)
         self.prior -= rate / len(p) * p.sum(axis=0)
         self.bias -= rate / len(p) * back.sum(axis=0)
-        for k in range(len(OFFSETS)):  # each row by its own windows' mean, so that rare tokens move as frequent ones do
-            rows, inv, n = np.unique(windows[:, k], return_inverse=True, return_counts=True)
-            for w in range(WIDTH):
-                self.embed[k][rows, w] -= rate * (np.bincount(inv, weights=back[:, w], minlength=len(rows)) / np.sqrt(n)).astype(np.float32)
-
-
-def windows_of(rows: np.ndarray, edge: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Embedding rows around each position (all, or ``at``); ``edge`` beyond the text's ends."""
+        # Each row moves by its own windows' mean, so that rare tokens move as frequent ones do; all offsets in one sort.
+        keys = (windows + np.arange(len(OFFSETS)) * self.embed.shape[1]).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(back[order // len(OFFSETS)], first, axis=0)
+        by = rate / np.sqrt(np.diff(np.append(first, len(keys))))
+        self.embed.reshape(-1, WIDTH)[keys[first]] -= by[:, None].astype(np.float32) * sums
+
+
+def windows_of(rows: np.ndarray, edge: int) -> np.ndarray:
+    """Embedding rows around each position; ``edge`` beyond the text's ends."""
     reach = max(map(abs, OFFSETS))
     wide = np.concatenate([np.full(reach, edge), rows, np.full(reach, edge)])
-    at = np.arange(len(rows)) if at is None else at
-    return np.stack([wide[at + reach + o] for o in OFFSETS], axis=1)
+    return np.stack([wide[reach + o : reach + o + len(rows)] for o in OFFSETS], axis=1)
 
 
 def score_text(text: str, lexicon: Lexicon, net: Network) -> tuple[int, float]:
@@ -142,8 +147,8 @@ def score_text(text: str, lexicon: Lexicon, net: Network) -> tuple[int, float]:
     if len(ids):
         rows, classes = lexicon.rows[ids], lexicon.classes[ids]
         windows = windows_of(rows, lexicon.n_rows - 1)
-        for i in range(0, len(ids), 8192):
-            total += net.log_probs(windows[i : i + 8192], classes[i : i + 8192]).sum()
+        for i in range(0, len(ids), SCORE_ROWS):
+            total += net.log_probs(windows[i : i + SCORE_ROWS], classes[i : i + SCORE_ROWS]).sum()
         total += lexicon.share[ids].sum()
     return len(ids), float(total)
 
@@ -180,7 +185,7 @@ def _train_tasks(docs: DataFrame, shared, rate: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, first = shared.value
         net = first.unflat(first.flat().copy())
-        rng_at, wait, kept = 0, [], 0
+        wait, kept = [], 0
         trained = 0
 
         def learn(parts):
@@ -193,16 +198,14 @@ def _train_tasks(docs: DataFrame, shared, rate: float) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
                     ids = lexicon.encode(tokens_of(t))
-                    pick = np.arange(len(t) % EVERY, len(ids), EVERY)
-                    if len(pick):
-                        wait.append((windows_of(lexicon.rows[ids], lexicon.n_rows - 1, pick), lexicon.classes[ids[pick]]))
-                        kept += len(pick)
+                    if len(ids):
+                        wait.append((windows_of(lexicon.rows[ids], lexicon.n_rows - 1), lexicon.classes[ids]))
+                        kept += len(ids)
                     if kept >= 16 * STEP_ROWS:
                         trained += learn(wait)
                         wait, kept = [], 0
         if wait:
             trained += learn(wait)
-        del rng_at
         if trained:
             w = net.flat()
             for k in range(0, len(w), BLOCK):

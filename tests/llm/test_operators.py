@@ -455,6 +455,30 @@ def test_lm_scores_are_sums_over_all_tokens(spark, docs, cluttered, empty):
     assert len(lm_scoring.score_documents(cluttered).collect()) == len(DATA) and lm_scoring.score_documents(empty).count() == 0
 
 
+def test_lm_trains_on_every_token_of_every_document(spark):
+    data = [(i, " ".join(["red", "blue", "green"][: i % 4] * (1 + i // 20))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    shared = spark.sparkContext.broadcast(lm_scoring.train(docs, 0))
+    trained = lm_scoring._train_tasks(docs, shared, 0.1).where("block = 0").agg({"n": "sum"}).first()[0]
+    assert trained == sum(len(t.split()) for _, t in data)
+
+
+def test_lm_step_moves_each_row_by_its_own_windows():
+    r = np.random.default_rng(3)
+    net = lm_scoring.Network.start(20, np.zeros(lm_scoring.CLASSES))
+    windows, classes = r.integers(0, 20, (50, len(lm_scoring.OFFSETS))), r.integers(0, lm_scoring.CLASSES, 50)
+    h = np.tanh(sum(net.embed[k][windows[:, k]] for k in range(len(lm_scoring.OFFSETS))) + net.bias)
+    p = np.exp(net.logits(h))
+    p = p / p.sum(axis=1, keepdims=True) - np.eye(lm_scoring.CLASSES)[classes]
+    back, want = (p @ net.out.T) * (1 - h * h), net.embed.astype(float)
+    for k in range(len(lm_scoring.OFFSETS)):
+        for row in range(20):
+            own = windows[:, k] == row
+            want[k, row] -= 0.1 * back[own].sum(axis=0) / np.sqrt(max(1, own.sum()))
+    net.step(windows, classes, 0.1)
+    assert np.allclose(net.embed, want, atol=1e-5)
+
+
 def test_lm_learns_from_both_sides(spark):
     r = random.Random(8)
     data = [(i, " ".join(r.choice(["red blue green one", "un deux trois quatre"]) for _ in range(60))) for i in range(300)]
