@@ -1,7 +1,7 @@
 """License scanning by ordered signature rules.
 
 A text becomes its lower-case words joined by single blanks. Rules are regular expressions over that line,
-ordered by priority; a rule runs only where its keyword occurs, which most texts fail at once. Of two
+ordered by priority; a rule runs only where its keyword occurs, a part of every match, which most texts fail at once. Of two
 detections, one inside the other's interval is suppressed, unless it alone has the higher priority.
 """
 
@@ -17,54 +17,56 @@ from quillstack.llm.arrow_text import map_texts
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: License families: label, keyword, names (alternatives), versions. Names are written as the line has them.
+#: License families: label, names (alternatives, each the keyword of its own rules), versions. Names are written as the line has them.
 FAMILIES = [
-    ("apache", "apache", ["apache", "apache software"], ["2 0", "1 1", "1 0"]),
-    ("mit", "mit", ["mit", "expat"], []),
-    ("bsd-3-clause", "bsd", ["bsd 3 clause", "new bsd", "modified bsd", "revised bsd"], []),
-    ("bsd-2-clause", "bsd", ["bsd 2 clause", "simplified bsd", "freebsd"], []),
-    ("bsd-4-clause", "bsd", ["bsd 4 clause", "original bsd"], []),
-    ("bsd", "bsd", ["bsd"], []),
-    ("gpl", "gpl", ["gpl", "gnu gpl"], ["3 0", "2 0", "1 0", "3", "2", "1"]),
-    ("lgpl", "lgpl", ["lgpl", "gnu lgpl"], ["3 0", "2 1", "2 0", "3", "2"]),
-    ("agpl", "agpl", ["agpl", "gnu agpl"], ["3 0", "1 0", "3"]),
-    ("gpl", "general public", ["gnu general public", "general public"], ["3 0", "2 0", "1 0", "3", "2", "1"]),
-    ("lgpl", "general public", ["gnu lesser general public", "lesser general public", "gnu library general public"], ["3 0", "2 1", "2 0", "3", "2"]),
-    ("agpl", "general public", ["gnu affero general public", "affero general public"], ["3 0", "1 0", "3"]),
-    ("gfdl", "free documentation", ["gnu free documentation", "free documentation"], ["1 3", "1 2", "1 1"]),
-    ("mpl", "mozilla", ["mozilla public"], ["2 0", "1 1", "1 0"]),
-    ("epl", "eclipse", ["eclipse public"], ["2 0", "1 0"]),
-    ("cddl", "development and distribution", ["common development and distribution"], ["1 1", "1 0"]),
-    ("cpl", "common public", ["common public"], ["1 0"]),
-    ("eupl", "european union public", ["european union public"], ["1 2", "1 1", "1 0"]),
-    ("artistic", "artistic", ["artistic", "clarified artistic"], ["2 0", "1 0"]),
-    ("bsl-1.0", "boost", ["boost software", "boost"], ["1 0"]),
-    ("isc", "isc", ["isc"], []),
-    ("zlib", "zlib", ["zlib", "zlib libpng"], []),
-    ("unlicense", "unlicense", ["unlicense", "the unlicense"], []),
-    ("wtfpl", "what the", ["do what the fuck you want to public"], ["2"]),
-    ("psf", "python", ["python software foundation", "psf"], ["2"]),
-    ("ofl", "open font", ["sil open font", "open font"], ["1 1", "1 0"]),
-    ("ncsa", "ncsa", ["university of illinois ncsa open source", "ncsa"], []),
-    ("ms-pl", "microsoft public", ["microsoft public"], []),
-    ("ms-rl", "microsoft reciprocal", ["microsoft reciprocal"], []),
-    ("odbl", "open database", ["open database", "open data commons open database"], ["1 0"]),
-    ("pddl", "public domain dedication", ["public domain dedication and", "open data commons public domain dedication and"], ["1 0"]),
-    ("osl", "open software", ["open software"], ["3 0", "2 1", "2 0", "1 0"]),
-    ("afl", "academic free", ["academic free"], ["3 0", "2 1", "2 0", "1 2"]),
-    ("ecl", "educational community", ["educational community"], ["2 0", "1 0"]),
-    ("cecill", "cecill", ["cecill", "cecill free software"], ["2 1", "2 0"]),
-    ("postgresql", "postgresql", ["postgresql"], []),
-    ("openssl", "openssl", ["openssl"], []),
-    ("ruby", "ruby", ["ruby"], []),
-    ("php", "php", ["php"], ["3 01", "3 0"]),
-    ("vim", "vim", ["vim"], []),
-    ("w3c", "w3c", ["w3c software notice and", "w3c"], []),
-    ("ssp", "server side public", ["server side public"], ["1"]),
-    ("busl", "business source", ["business source"], ["1 1"]),
-    ("elastic", "elastic", ["elastic"], ["2 0"]),
-    ("openrail", "openrail", ["openrail", "responsible ai"], []),
+    ("apache", ["apache", "apache software"], ["2 0", "1 1", "1 0"]),
+    ("mit", ["mit", "expat"], []),
+    ("bsd-3-clause", ["bsd 3 clause", "new bsd", "modified bsd", "revised bsd"], []),
+    ("bsd-2-clause", ["bsd 2 clause", "simplified bsd", "freebsd"], []),
+    ("bsd-4-clause", ["bsd 4 clause", "original bsd"], []),
+    ("bsd", ["bsd"], []),
+    ("gpl", ["gpl", "gnu gpl"], ["3 0", "2 0", "1 0", "3", "2", "1"]),
+    ("lgpl", ["lgpl", "gnu lgpl"], ["3 0", "2 1", "2 0", "3", "2"]),
+    ("agpl", ["agpl", "gnu agpl"], ["3 0", "1 0", "3"]),
+    ("gpl", ["gnu general public", "general public"], ["3 0", "2 0", "1 0", "3", "2", "1"]),
+    ("lgpl", ["gnu lesser general public", "lesser general public", "gnu library general public"], ["3 0", "2 1", "2 0", "3", "2"]),
+    ("agpl", ["gnu affero general public", "affero general public"], ["3 0", "1 0", "3"]),
+    ("gfdl", ["gnu free documentation", "free documentation"], ["1 3", "1 2", "1 1"]),
+    ("mpl", ["mozilla public"], ["2 0", "1 1", "1 0"]),
+    ("epl", ["eclipse public"], ["2 0", "1 0"]),
+    ("cddl", ["common development and distribution"], ["1 1", "1 0"]),
+    ("cpl", ["common public"], ["1 0"]),
+    ("eupl", ["european union public"], ["1 2", "1 1", "1 0"]),
+    ("artistic", ["artistic", "clarified artistic"], ["2 0", "1 0"]),
+    ("bsl-1.0", ["boost software", "boost"], ["1 0"]),
+    ("isc", ["isc"], []),
+    ("zlib", ["zlib", "zlib libpng"], []),
+    ("unlicense", ["unlicense", "the unlicense"], []),
+    ("wtfpl", ["do what the fuck you want to public"], ["2"]),
+    ("psf", ["python software foundation", "psf"], ["2"]),
+    ("ofl", ["sil open font", "open font"], ["1 1", "1 0"]),
+    ("ncsa", ["university of illinois ncsa open source", "ncsa"], []),
+    ("ms-pl", ["microsoft public"], []),
+    ("ms-rl", ["microsoft reciprocal"], []),
+    ("odbl", ["open database", "open data commons open database"], ["1 0"]),
+    ("pddl", ["public domain dedication and", "open data commons public domain dedication and"], ["1 0"]),
+    ("osl", ["open software"], ["3 0", "2 1", "2 0", "1 0"]),
+    ("afl", ["academic free"], ["3 0", "2 1", "2 0", "1 2"]),
+    ("ecl", ["educational community"], ["2 0", "1 0"]),
+    ("cecill", ["cecill", "cecill free software"], ["2 1", "2 0"]),
+    ("postgresql", ["postgresql"], []),
+    ("openssl", ["openssl"], []),
+    ("ruby", ["ruby"], []),
+    ("php", ["php"], ["3 01", "3 0"]),
+    ("vim", ["vim"], []),
+    ("w3c", ["w3c software notice and", "w3c"], []),
+    ("ssp", ["server side public"], ["1"]),
+    ("busl", ["business source"], ["1 1"]),
+    ("elastic", ["elastic"], ["2 0"]),
+    ("openrail", ["openrail", "responsible ai"], []),
 ]
+#: Short SPDX identifiers that are not a family's first name, without versions but where the version tells families apart.
+SPDX = {"gfdl": ["gfdl"], "mpl": ["mpl"], "epl": ["epl"], "cddl": ["cddl"], "cpl": ["cpl"], "eupl": ["eupl"], "bsl-1.0": ["bsl 1 0"], "wtfpl": ["wtfpl"], "psf": ["psf", "python"], "ofl": ["ofl"], "ncsa": ["ncsa"], "ms-pl": ["ms pl"], "ms-rl": ["ms rl"], "odbl": ["odbl"], "pddl": ["pddl"], "osl": ["osl"], "afl": ["afl"], "ecl": ["ecl"], "ssp": ["sspl"], "busl": ["busl"]}
 #: Creative Commons parts, as deeds and short forms name them.
 CC_PARTS = {"cc-by": "attribution", "cc-by-sa": "attribution sharealike", "cc-by-nd": "attribution noderivatives", "cc-by-nc": "attribution noncommercial", "cc-by-nc-sa": "attribution noncommercial sharealike", "cc-by-nc-nd": "attribution noncommercial noderivatives"}
 CC_VERSIONS = ["4 0", "3 0", "2 5", "2 0", "1 0"]
@@ -82,7 +84,9 @@ NOTICES = [
     ("public-domain", "public domain", r"in the public domain", 0.5),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 0.8),
     ("proprietary", "proprietary", r"proprietary and confidential", 0.7),
-    ("proprietary", "redistribut", r"(?:may not|do not|not to) (?:be )?(?:copied|redistributed?|reproduced?)", 0.5),
+    ("proprietary", "copied", r"(?:may not|do not|not to) (?:be )?copied", 0.5),
+    ("proprietary", "redistribute", r"(?:may not|do not|not to) (?:be )?redistributed?", 0.5),
+    ("proprietary", "reproduce", r"(?:may not|do not|not to) (?:be )?reproduced?", 0.5),
     ("proprietary", "without", r"without (?:the )?(?:prior |express )*(?:written )?permission", 0.4),
     ("terms", "terms of use", r"terms of use", 0.3),
     ("trademark", "trademark", r"registered trademarks? of", 0.3),
@@ -102,15 +106,20 @@ def build_rules() -> list[Rule]:
     """All rules, highest priority first: identifiers, named versions, grants, names, notices."""
     edge = r"(?<![^ ]){}(?![^ ])"
     rows: list[tuple[int, str, str, str, float]] = []
-    for label, keyword, names, versions in FAMILIES:
+    for label, names, versions in FAMILIES:
         for name in names:
             for v in versions:
-                rows.append((40, f"{label}-{v.replace(' ', '.')}", keyword, rf"{name} licen[sc]e(?: \S+)? (?:version|v) ?{v}", 1.0))
-                rows.append((38, f"{label}-{v.replace(' ', '.')}", keyword, rf"{name}(?: licen[sc]e)? v?{v}", 0.9))
-            rows.append((30, label, keyword, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", 0.9))
-            rows.append((20, label, keyword, rf"{name} licen[sc]e", 0.8))
+                rows.append((40, f"{label}-{v.replace(' ', '.')}", name, rf"{name} licen[sc]e(?: \S+)? (?:version|v) ?{v}", 1.0))
+                rows.append((38, f"{label}-{v.replace(' ', '.')}", name, rf"{name}(?: licen[sc]e)? v?{v}", 0.9))
+            rows.append((30, label, name, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", 0.9))
+            rows.append((20, label, name, rf"{name} licen[sc]e", 0.8))
         ident = names[0].replace(" ", "(?: )?")
         rows.append((50, label, "spdx", rf"spdx licen[sc]e identifier {ident}\S*", 1.0))
+    for label, idents in SPDX.items():
+        versions = next(v for family, _, v in FAMILIES if family == label)
+        for ident in idents:
+            rows.append((50, label, "spdx", rf"spdx licen[sc]e identifier {ident}", 1.0))
+            rows += [(49, f"{label}-{v.replace(' ', '.')}", "spdx", rf"spdx licen[sc]e identifier {ident} {v}", 1.0) for v in versions if not ident.endswith(v)]
     for label, deed in CC_PARTS.items():
         short = label.replace("-", " ")
         for v in CC_VERSIONS:

@@ -224,6 +224,23 @@ def test_license_rules_and_suppression():
     assert licenses.resolve([(0, 9, a), (2, 5, b)]) == [(0, 9, a), (2, 5, b)]
 
 
+def test_license_prefilter_loses_nothing():
+    rules, scanner = licenses.build_rules(), licenses.LicenseScanner()
+    assert all(r.keyword in r.pattern.pattern for r in rules)
+    names = [n for row in licenses.FAMILIES for n in row[-2]]
+    texts = [f"released under the {n} license, version 2.0" for n in names] + [f"It {a} {b} {c}." for a in ("may not", "do not", "is not to") for b in ("be", "") for c in ("copied", "redistribute", "redistributed", "reproduce", "reproduced")]
+    for t in texts + LICENSED + [t or "" for _, t, *_ in DATA]:
+        line = b" ".join(t.encode().translate(licenses._WORD_BYTES).split()).decode()
+        every = licenses.resolve([(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(line)])
+        assert scanner.scan(t)["found"] == every
+    labels = lambda t: {d[2].label for d in scanner.scan(t)["found"]}
+    assert labels("Released under the Expat license") == {"mit"} and labels("PSF license") == {"psf"} and labels("Responsible AI license") == {"openrail"}
+    assert labels("may not be copied") == labels("may not be reproduced") == {"proprietary"}
+    for ident, family in (("MPL-2.0", "mpl"), ("EPL-2.0", "epl"), ("CDDL-1.0", "cddl"), ("EUPL-1.2", "eupl"), ("OFL-1.1", "ofl")):
+        assert labels(f"SPDX-License-Identifier: {ident}") == {family, ident.lower()}
+    assert labels("SPDX-License-Identifier: BSL-1.0") == {"bsl-1.0"} and labels("SPDX-License-Identifier: SSPL-1.0") == {"ssp", "ssp-1"}
+
+
 # ---- 6 mixing ------------------------------------------------------------------------------------
 
 
