@@ -48,3 +48,13 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_editor_operations_reach_every_note_inside_its_text(spark):
+    notes = {r["note_id"]: r["body"] for r in catalog.notes(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tails = {str(k): notes[str(k)][len(t) :] for k, t in texts.items()}
+    rows = catalog.QUERIES["editor_operations"](spark, SF).collect()
+    inside = [r for r in rows if r["start"] <= len(notes[r["note_id"]]) - len(tails[r["note_id"]])]
+    assert len(rows) == 12 * len(notes) and len(inside) == 6 * len(notes) and {r["note_id"] for r in inside} == set(notes)
+    assert all(r["text"].endswith(tails[r["note_id"]]) for r in inside if r["op"] != "task")
