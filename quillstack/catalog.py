@@ -295,8 +295,7 @@ def search_excerpts(spark, d):
 
 @query()
 def token_offsets(spark, d):
-    t = table(spark, d, "benchmark").select("item_id", F.explode(tk.tokenize_udf("text")).alias("t"))
-    return t.select("item_id", "t.*")
+    return tk.token_rows(notes(spark, d), "note_id", "body")
 
 
 # ---- links, tags, graph --------------------------------------------------------------------------
@@ -607,8 +606,9 @@ def markdown_blocks(spark, d):
 
 @query()
 def markdown_inline(spark, d):
-    p = table(spark, d, "benchmark").select("item_id", F.explode(md.inline_udf("text")).alias("s"))
-    return p.select("item_id", "s.*")
+    """Spans of each line of the notes; lines count from 0."""
+    lines = notes(spark, d).select("note_id", F.posexplode(F.split("body", "\n")).alias("line", "x"))
+    return lines.select("note_id", "line", F.explode(md.inline_udf("x")).alias("s")).select("note_id", "line", "s.*")
 
 
 @query()

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__
 from quillstack import catalog
+from quillstack.functions import markdown as md
+from quillstack.functions import tokens as tk
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -58,3 +60,12 @@ def test_editor_operations_reach_every_note_inside_its_text(spark):
     inside = [r for r in rows if r["start"] <= len(notes[r["note_id"]]) - len(tails[r["note_id"]])]
     assert len(rows) == 12 * len(notes) and len(inside) == 6 * len(notes) and {r["note_id"] for r in inside} == set(notes)
     assert all(r["text"].endswith(tails[r["note_id"]]) for r in inside if r["op"] != "task")
+
+
+def test_token_offsets_and_inline_spans_reach_every_note(spark):
+    notes = {r["note_id"]: r["body"] for r in catalog.notes(spark, SF).collect()}
+    tokens = [tuple(r) for r in catalog.QUERIES["token_offsets"](spark, SF).collect()]
+    assert sorted(tokens) == sorted((k, *t) for k, body in notes.items() for t in tk.tokenize(body))
+    spans = catalog.QUERIES["markdown_inline"](spark, SF).collect()
+    assert len(spans) == sum(len(md.parse_inline(x)) for body in notes.values() for x in body.split("\n"))
+    assert {r["note_id"] for r in spans} == set(notes)
