@@ -5,7 +5,8 @@ that share a hash stay two entries of one chain, and copies shrink to one row pe
 is shuffled. Directory: the hash's leading bits address buckets; a bucket with more entries than its
 capacity is split by one further bit, which doubles the directory when the bucket is as deep as it is.
 Index: entries are written to the shared folder by bucket, so that each owner task holds a range of keys.
-Lookup: every row finds its bucket, its chain and there its text.
+Lookup: rows join the entries on hash and SHA-256. The grouping has settled the copies by then, so it
+replaces the index: directory, buckets and chain are laid out but not read.
 
 The method's copies of one text cannot overfill a bucket: they are one entry, whatever their number.
 """
