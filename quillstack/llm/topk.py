@@ -178,7 +178,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
 
     vectors: vec_id, embedding; queries are the rows whose vec_id is divisible by ``every``. Components become
     floor(scale * x); scores are exact integers while norms squared stay below 2 ** 63. Ties go to the smaller
-    vec_id. Rows without an id, null vectors and vectors with null or non-finite components take no part; a
+    vec_id. Of rows that repeat a vec_id only the least vector is query and candidate. Rows without an id, null vectors and vectors with null or non-finite components take no part; a
     shorter vector counts as filled up with zeros; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
