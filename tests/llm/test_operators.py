@@ -155,23 +155,41 @@ def brute_groups():
     return sorted(((d, keep[t or ""], len(groups[t or ""]), d == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in DATA), key=repr)
 
 
-@pytest.mark.parametrize("capacity", [2, 50_000])
-def test_exact_dedup(docs, cluttered, empty, capacity):
-    assert got(exact_dedup.exact_dedup(docs, capacity)) == brute_groups()
-    assert got(exact_dedup.exact_dedup(cluttered, capacity)) == brute_groups()
+@pytest.mark.parametrize(("capacity", "owner_rows"), [(2, 2), (None, None)])
+def test_exact_dedup(docs, cluttered, empty, capacity, owner_rows):
+    assert got(exact_dedup.exact_dedup(docs, capacity, owner_rows)) == brute_groups()
+    assert got(exact_dedup.exact_dedup(cluttered, capacity, owner_rows)) == brute_groups()
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_index_buckets_hold_their_capacity(docs):
-    index = exact_dedup.build_index(docs, capacity=4)
-    assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 4 and index.select("bucket").distinct().count() > 5
-    assert index.where("chain > 0").count() == 0
+@pytest.mark.parametrize("owner_rows", [3, None])
+def test_chains_keep_texts_apart_that_share_a_hash(docs, owner_rows):
+    hashes = {"one": lambda t: F.lit(7).cast("long"), "few": lambda t: F.xxhash64(F.length(t) % 5)}
+    for key in hashes.values():
+        assert got(exact_dedup.exact_dedup(docs, 2, owner_rows, key)) == brute_groups()
+        kept = sorted((r["doc_id"], r["text"] or "") for r in exact_dedup.distinct_rows(docs.where("doc_id is not null"), 2, owner_rows, key).collect())
+        last = {}
+        for d, t, *_ in DATA:
+            if d is not None:
+                last[t or ""] = max(d, last.get(t or "", d))
+        assert kept == sorted((d, t) for t, d in last.items())
 
 
-def test_directory_doubles_only_where_needed():
-    depth, buckets = exact_dedup.split_directory({0: 9, 1: 9, 8: 1, 12: 1}, 10, 4)
-    assert depth == 4 and buckets == [(0, 4), (1, 4), (2, 3), (4, 2), (8, 1)]
-    assert exact_dedup.split_directory({5: 100}, 10, 3)[0] == 3
+def test_index_buckets_hold_their_capacity(docs):
+    index = exact_dedup.build_index(docs, capacity=4)
+    assert index.groupBy("bucket").agg(F.count_distinct("hash").alias("n")).agg(F.max("n")).first()[0] <= 4 and index.select("bucket").distinct().count() > 5
+
+
+def test_directory_doubles_only_where_needed(spark):
+    top = lambda cell, k: (cell << 60) + k
+    data = [top(0, k) for k in range(9)] + [top(1, k) for k in range(9)] + [top(4, 0), top(7, 0)]
+    cells, depth = exact_dedup.build_directory(spark.createDataFrame([(h,) for h in data], "hash long"), 10)
+    found = dict(got(cells))
+    assert depth == 4 and found == {0: 0, 1: 1, 4: 4, 5: 4, 6: 4, 7: 4}
+    one, depth = exact_dedup.build_directory(spark.createDataFrame([(5,)], "hash long"), 10)
+    assert depth == 0 and got(one) == [(0, 0)]
+    close = spark.createDataFrame([(k,) for k in range(64)], "hash long")  # agree on all leading bits: doubling ends
+    assert exact_dedup.build_directory(close, 2)[1] == 13
 
 
 def test_distinct_rows_keeps_columns(cluttered, empty):
