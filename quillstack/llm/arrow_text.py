@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows turned into Python objects at a time; bounds a worker's memory beside the Arrow batch itself.
-SLICE_ROWS = 512
+#: Rows and bytes of text turned into Python objects at a time; bounds a worker's memory beside the Arrow batch
+#: itself, which Spark cuts by spark.sql.execution.arrow.maxBytesPerBatch. A longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and, but for single rows, SLICE_BYTES in the string ``column``."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, ends = 0, np.cumsum(size)
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")) - at
+        n = max(1, min(SLICE_ROWS, fit))
+        yield batch.slice(at, n)
+        at += n
 
 
 def map_texts(docs: DataFrame, schema: str | StructType, make: Callable[[], Callable[[list], list]], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -25,8 +39,7 @@ def map_texts(docs: DataFrame, schema: str | StructType, make: Callable[[], Call
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, "_text"):
                 made = f([x or "" for x in part.column("_text").to_pylist()])
                 cols = [part.column(i) for i in range(len(keys))]
                 cols += [pa.array(c, type=arrow.field(len(keys) + i).type) for i, c in enumerate(made)]

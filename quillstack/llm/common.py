@@ -16,10 +16,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, notebooks in local mode) a temporary folder is made and set.
+    Only where the setting is absent in local mode (tests, notebooks) a temporary folder is made and set; on
+    a cluster a folder of the driver's own would be lost to the executors, so there the setting must be.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="quillstack-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -7,7 +7,8 @@ ratio modulo 1 fall through the cumulative weights and name a source for each sl
 source takes its r-th block, starting over after the last. The last slot of a source ends at its target.
 
 Word offsets and slot ranks come from sums of ranges plus an order inside each range, so a source with a
-third of all words is dealt to many tasks. Texts are read once, for their word counts.
+third of all words is dealt to many tasks. Texts are read once, for their word counts. The mix is the slots
+in order, each with its block's pieces of documents; what a document gives is the sum of its pieces.
 """
 
 from __future__ import annotations
@@ -72,8 +73,9 @@ def random_number(seed: int) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
-    """The mix of ``docs`` (doc_id, text, source). Null texts have no words; a null source comes last;
-    rows equal in doc_id and size are interchangeable; other columns are ignored."""
+    """The mix of ``docs`` (doc_id, text, source). Null texts have no words; a null source comes last; null ids
+    share one random number; rows equal in doc_id and size are interchangeable; texts of any length are
+    counted whole; an empty table gives empty tables; other columns are ignored."""
     spark = docs.sparkSession
     ranges = max(1, docs.count() // RANGE_ROWS)
     rows = docs.select("doc_id", "source", random_number(seed).alias("_draw"), F.regexp_count(empty_text(), F.lit(WORDS)).cast("long").alias("size"))
@@ -122,40 +124,63 @@ def _schedule(spark, sources: DataFrame, block_words: int) -> DataFrame:
     return every.select("slot", "source", "rank", "block", F.least(length, F.col("quota") - before).alias("words"))
 
 
-def _taken(mix: Mix) -> DataFrame:
-    """The rows of mix.docs with the words that the slots' blocks take of each."""
+def mix_pieces(mix: Mix) -> DataFrame:
+    """slot, source, rank, block, doc_id, size, draw, offset and words for each document that a slot's block holds words of.
+
+    Sorted by slot, source and offset these rows are the mix: a block is a piece of its source's stream, and a
+    slot that takes only a part of it takes the block's first words.
+    """
     size = mix.block_words
-    some = mix.docs.where("size > 0")
-    pieces = some.withColumn("block", F.explode(F.expr(f"sequence(offset div {size}, (offset + size - 1) div {size})")))
-    pieces = pieces.withColumn("_lo", F.greatest(F.col("offset") - F.col("block") * size, F.lit(0)))
-    pieces = pieces.withColumn("_hi", F.least(F.col("offset") + F.col("size") - F.col("block") * size, F.lit(size)))
-    slots = mix.schedule.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "words")
-    joined = pieces.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
-    part = F.greatest(F.least(F.coalesce("words", F.lit(0)), F.col("_hi")) - F.col("_lo"), F.lit(0))  # least() would pass over a null
-    return joined.groupBy(*mix.docs.columns).agg(F.sum(part).alias("taken"))
+    parts = mix.docs.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(offset div {size}, (offset + size - 1) div {size})")))
+    parts = parts.withColumn("_lo", F.greatest(F.col("offset") - F.col("block") * size, F.lit(0)))
+    parts = parts.withColumn("_hi", F.least(F.col("offset") + F.col("size") - F.col("block") * size, F.lit(size)))
+    slots = mix.schedule.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "slot", "rank", F.col("words").alias("_words"))
+    met = parts.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")) & (F.col("_words") > F.col("_lo")))
+    return met.select("slot", "source", "rank", "block", "doc_id", "size", "draw", "offset", (F.least("_words", "_hi") - F.col("_lo")).alias("words"))
+
+
+def _taken(mix: Mix) -> DataFrame:
+    """The rows of mix.docs with the words taken of each and the first slot that takes any, added up over the pieces of the mix."""
+    # Rows with words differ in their offsets; the others have no piece.
+    used = mix_pieces(mix).groupBy(F.col("source").alias("_source"), F.col("offset").alias("_offset")).agg(F.sum("words").alias("_sum"), F.min("slot").alias("first_slot"))
+    some = mix.docs.where("size > 0").join(used, F.col("source").eqNullSafe(F.col("_source")) & (F.col("offset") == F.col("_offset")), "left")
+    none = mix.docs.where("size = 0").select("*", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return some.select(*mix.docs.columns, F.coalesce("_sum", F.lit(0)).alias("taken"), "first_slot").unionByName(none)
 
 
 def mixed_words(mix: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
-    rows = _taken(mix).unionByName(mix.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    """doc_id, size, source_size, target, taken and first_slot for every document of the mix.
+
+    taken adds up what the slots' blocks hold of the document; first_slot is null where no slot takes any.
+    A document without words has taken 0; rows that repeat are rows of their own; an empty table gives none.
+    """
     keys = mix.sources.select(F.col("source").alias("_source"), "source_size", "target")
-    rows = rows.join(keys, F.col("source").eqNullSafe(F.col("_source")))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    rows = _taken(mix).join(keys, F.col("source").eqNullSafe(F.col("_source")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_rows(docs: DataFrame, seed: int = SEED, **plan) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; the document that a source's target cuts is
-    taken whole or not at all, whichever is nearer. Documents without words have none to give and go.
+    """The rows of ``docs``, each as often as the mix takes it, in the order of the schedule and in the same columns.
 
-    What is taken of a source is a whole number of rounds and then the first part of its random order, so a
-    row for each source, with the last document of that part, says it all: texts aren't shuffled. Rows that
-    share a doc_id are taken alike.
+    A copy stands where the slot is whose block holds its first word in that round. The document that a
+    source's target cuts is taken whole or not at all, whichever is nearer. Null, empty and blank texts have
+    nothing to give and go; rows that share source and doc_id (nulls among them) are taken alike, as the
+    first of them; very long texts are rows like any other; an empty table gives none; columns may have any
+    names. Texts travel twice: to their places, and from there to the order.
     """
-    taken = _taken(plan_mix(docs, seed=seed, **plan)).withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
-    most = taken.groupBy("source", "times").agg(F.max(F.struct("draw", "doc_id")).alias("last")).groupBy("source")
-    most = most.agg(F.min("times").alias("_least"), F.max("times").alias("_times"), F.max_by("last", "times").alias("_last")).where("_times > 0")
-    cuts = materialize(most.withColumnRenamed("source", "_source"), "mix-cuts")
-    rows = docs.where(F.col("text").rlike(WORDS)).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-    before = F.struct(random_number(seed).alias("draw"), F.col("doc_id")) <= F.col("_last")
-    times = F.when(before, F.col("_times")).otherwise(F.col("_least"))
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(c) for c in docs.columns])
+    spark = docs.sparkSession
+    mix = plan_mix(docs, seed=seed, **plan)
+    first = _taken(mix).where("taken > 0").groupBy("source", "doc_id").agg(F.min(F.struct("offset", "size", "taken")).alias("r")).select("source", "doc_id", "r.*")
+    first = first.withColumn("block", F.expr(f"offset div {mix.block_words}")).withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
+    turns = mix.schedule.join(mix.sources.select(F.col("source").alias("_s"), "blocks"), F.col("source").eqNullSafe(F.col("_s")))
+    turns = turns.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "slot", F.expr("rank div blocks").alias("round"))
+    copies = first.join(turns, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")) & (F.col("round") < F.col("times")))
+    places = copies.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id")).agg(F.collect_list(F.struct("slot", "offset")).alias("_at"))  # a place a round
+    places = materialize(places, "mix-places")
+    last = mix.schedule.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0]
+    rows = docs.where(F.col("text").rlike(WORDS)).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+    rows = rows.join(places, F.col("_s").eqNullSafe(F.col("_source")) & F.col("_d").eqNullSafe(F.col("_doc_id"))).select("_s", F.explode("_at").alias("_p"), "_row")
+    # Slots hold equal numbers of words, so that equal runs of slots make even parts in order, without a sample of the rows.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionById(parts, F.expr(f"cast(_p.slot * {parts}L div {last + 1}L as int)")).sortWithinPartitions("_p.slot", "_s", "_p.offset")
+    return rows.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -41,7 +41,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def _op6() -> str:
-    w1, w2, w3 = mixing.WEIGHTS
+    (w1, w2, w3), b = mixing.WEIGHTS, mixing.BLOCK_WORDS
     return f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -56,13 +56,29 @@ o AS (
 a AS (SELECT arg_min({{'k': k, 'l': left_, 'o': over_}}, k) AS lvl FROM o WHERE cap / w >= left_ / over_),
 t AS (
   SELECT source, source_size, CASE WHEN k < lvl.k THEN cap ELSE coalesce(least(cap, w * lvl.l / lvl.o), cap) END AS target FROM o, a),
+q AS (
+  SELECT *, (source_size + {b - 1}) // {b} AS blocks,
+    CASE WHEN source_size > 0 THEN (quota // source_size) * ((source_size + {b - 1}) // {b}) + (quota % source_size + {b - 1}) // {b} ELSE 0 END AS slots
+  FROM (SELECT *, least(floor(target + 0.5), floor({mixing.MOST} * source_size))::BIGINT AS quota FROM t)),
+n AS (SELECT coalesce(sum(slots), 0)::BIGINT AS n FROM q),
+arc AS (SELECT q.*, (sum(slots) OVER w - slots)::DOUBLE / n AS lo, (sum(slots) OVER w)::DOUBLE / n AS hi FROM q, n WINDOW w AS (ORDER BY source NULLS LAST)),
+x AS (SELECT k, floor(k / {1 << 20}::DOUBLE) * {mixing.GOLDEN * (1 << 20) % 1.0!r}::DOUBLE + (k % {1 << 20}) * {mixing.GOLDEN!r}::DOUBLE AS x FROM (SELECT unnest(range(n)) AS k FROM n)),
+hit AS (SELECT k AS slot, source, slots, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS rank FROM x JOIN arc ON x - floor(x) >= lo AND x - floor(x) < hi),
+late AS (SELECT source, unnest(range(coalesce(got, 0), slots)) AS rank FROM q LEFT JOIN (SELECT source AS s, count(*) AS got FROM hit GROUP BY source) ON s IS NOT DISTINCT FROM source WHERE coalesce(got, 0) < slots),
+turn AS (SELECT slot, source, rank FROM hit WHERE rank < slots UNION ALL SELECT n + rank, source, rank FROM late, n),
+slot AS (
+  SELECT slot, turn.source, rank % blocks AS block, least({b}, source_size - rank % blocks * {b}, quota - rank // blocks * source_size - rank % blocks * {b}) AS words
+  FROM turn JOIN q ON turn.source IS NOT DISTINCT FROM q.source),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5), floor({mixing.MOST} * t.source_size))::BIGINT AS quota,
+  SELECT row_number() OVER () AS row, d.doc_id, d.source, d.size, q.source_size, q.target, quota,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+f AS (
+  SELECT row, min(slot) AS first_slot FROM (SELECT *, unnest(range(pos // {b}, (pos + size - 1) // {b} + 1)) AS cell FROM p WHERE size > 0) z
+  JOIN slot ON slot.source IS NOT DISTINCT FROM z.source AND block = cell AND words > greatest(pos - cell * {b}, 0) GROUP BY row)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(quota % source_size - pos, size)) END::BIGINT AS taken
-FROM p
+  CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(quota % source_size - pos, size)) END::BIGINT AS taken, first_slot
+FROM p LEFT JOIN f USING (row)
 """
 
 

@@ -318,6 +318,39 @@ def test_mixed_rows_repeat_whole_documents(docs, empty):
     assert mixing.mixed_rows(empty).count() == 0 and mixing.mixed_rows(docs).columns == docs.columns
 
 
+def _mix_unevenness(spark, block_words=50):
+    """Ids in the order of the mix, and how far the words of a source in a first part of it stray from its share."""
+    data = [(i, "w " * (10 + i % 7), "en", f"s{i % 3}", 1) for i in range(600)]
+    rows = mixing.mixed_rows(spark.createDataFrame(data, SCHEMA), block_words=block_words).collect()
+    n, total, seen, most = len(rows), Counter(r["source"] for r in rows), Counter(), 0.0
+    for k, r in enumerate(rows, 1):
+        seen[r["source"]] += 1
+        most = max(most, max(abs(seen[s] - total[s] * k / n) for s in total))
+    return [r["doc_id"] for r in rows], most
+
+
+def test_mixed_rows_follow_the_schedule(spark, monkeypatch):
+    ids, most = _mix_unevenness(spark)
+    assert most < 20
+    monkeypatch.setattr(mixing, "golden_point", lambda k: k * 0.0)
+    constant, unscheduled = _mix_unevenness(spark)
+    assert constant != ids and sorted(constant) == sorted(ids) and unscheduled > 100
+
+
+def test_taken_is_the_sum_of_the_pieces_in_the_mix(docs):
+    mix = mixing.plan_mix(docs, block_words=40)
+    order = sorted((x["slot"], x["source"] or "", x["source"] is None, x["rank"], x["offset"], x["doc_id"], x["size"], x["words"]) for x in mixing.mix_pieces(mix).collect() if x["doc_id"] is not None)
+    by, first = Counter(), {}
+    for slot, *_, doc_id, size, words in order:
+        by[doc_id, size] += words
+        first.setdefault((doc_id, size), slot)
+        assert words > 0
+    found = mixing.mixed_words(mix).where("doc_id is not null and doc_id <> 110").collect()  # 110 is there twice
+    assert all(x["taken"] == by[x["doc_id"], x["size"]] and x["first_slot"] == first.get((x["doc_id"], x["size"])) for x in found)
+    late = [x[0] for x in mix.sources.join(mix.schedule, "source").groupBy("source", "slots").count().where("slots <> count").collect()]
+    assert not late
+
+
 def test_golden_points_keep_their_precision(spark):
     k = [0, 1, 5, (1 << 20) + 3, 10**10]
     found = [x[0] for x in spark.createDataFrame([(x,) for x in k], "k long").select(mixing.golden_point(F.col("k"))).collect()]
