@@ -7,9 +7,9 @@ lie below one node of depth 32 in one of six tries. Below each such node the tri
 node pairs descend together, differing bits add up, and a pair goes as soon as it exceeds the budget.
 What a subtree joins is handed on as a star from its least member, never as all pairs.
 
-A node with too many members (texts that differ by little from thousands of others) is joined by the exact
-other way: two fingerprints within two bits share a neighbour at one flipped bit, or one is the other's,
-and no such neighbour has more than 65 of them.
+A node with many members (texts that differ by little from thousands of others) is dealt out once more in
+the same way: of the four blocks of its other 32 bits two come in front, and the nodes of depth 48, which
+have 2 ** 16 members at most, are joined instead.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from quillstack.llm.arrow_text import map_texts
 from quillstack.llm.common import connected_components, materialize
 
 BUDGET = 2
-#: Most members of a node that is joined in one piece, and pairs of members held at a time.
-NODE_MOST, PAIRS_HELD = 1024, 1 << 21
+#: Members beyond which a node is dealt out by 16 further bits; 2 ** -16 of all fingerprints at least, so that the
+#: nodes dealt again are few enough to broadcast. Node pairs held at a time; others wait as ranges.
+NODE_MEMBERS, NODES_LOG2, PAIRS_HELD = 1024, 16, 1 << 19
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -62,149 +63,160 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.n
     return np.clip(np.searchsorted(values, top), lo, hi)
 
 
-def trie_pairs(values: np.ndarray, roots: np.ndarray, depth: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of sorted distinct ``values`` within ``budget`` differing bits below each root.
+def trie_pairs(values: np.ndarray, roots: np.ndarray, depth: int, budget: int = BUDGET, held: int = PAIRS_HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of sorted distinct ``values`` within ``budget`` differing bits below each root, in lots.
 
-    roots: (lo, hi) ranges of the nodes at ``depth``. A node is a range of the sorted values.
+    roots: (lo, hi) ranges of the nodes at ``depth``. A node is a range of the sorted values. Of more than
+    ``held`` node pairs only the first ones descend at once, so that memory follows the depth, not the pairs.
     """
-    a0, a1 = roots[:, 0], roots[:, 1]
-    b0, b1, err = a0, a1, np.zeros(len(roots), dtype=np.int64)
-    left, right = [], []
-    for bit in range(63 - depth, -2, -1):
+    a0, a1 = roots[:, 0].astype(np.int64), roots[:, 1].astype(np.int64)
+    waiting = [(63 - depth, (a0, a1, a0, a1, np.zeros(len(roots), dtype=np.int64)))]
+    while waiting:
+        bit, pairs = waiting.pop()
+        if len(pairs[0]) > held:
+            waiting += [(bit, tuple(x[held:] for x in pairs)), (bit, tuple(x[:held] for x in pairs))]
+            continue
+        a0, a1, b0, b1, err = pairs
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():  # two leaves: what remains differs as their values do
             i, j = a0[single], b0[single]
             near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            left.append(i[near])
-            right.append(j[near])
+            if near.any():
+                yield np.minimum(i, j)[near], np.maximum(i, j)[near]
             a0, a1, b0, b1, err = (x[~single] for x in (a0, a1, b0, b1, err))
         if bit < 0 or not len(a0):
-            break
+            continue
         am, bm = _split(values, a0, a1, bit), _split(values, b0, b1, bit)
-        same = a0 == b0
-        pairs = [(a0, am, b0, bm, err, None), (am, a1, bm, b1, err, None), (a0, am, bm, b1, err + 1, None), (am, a1, b0, bm, err + 1, ~same)]
+        other = (a0 != b0) | (a1 != b1)
+        below = [(a0, am, b0, bm, err, None), (am, a1, bm, b1, err, None), (a0, am, bm, b1, err + 1, None), (am, a1, b0, bm, err + 1, other)]
         kept = []
-        for p0, p1, q0, q1, e, only in pairs:
+        for p0, p1, q0, q1, e, only in below:
             ok = (p1 > p0) & (q1 > q0) & (e <= budget)
             if only is not None:
                 ok &= only  # a node's own halves meet once
             kept.append([x[ok] for x in (p0, p1, q0, q1, e)])
-        a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*kept, strict=True))
-    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-    return np.minimum(i, j), np.maximum(i, j)
+        waiting.append((bit - 1, tuple(np.concatenate(x) for x in zip(*kept, strict=True))))
 
 
-def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of n indices over the pairs."""
-    label = np.arange(n)
-    while len(i):
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Let ``label``, by index the least index known to be linked to it, take in the links between ``i`` and ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        if not (apart := a != b).any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
-#: Ways to put two of the four 16-bit blocks in front.
+#: Ways to put two of four blocks in front.
 FRONTS = list(combinations(range(4), 2))
 
 
-def _permuted(fp: np.ndarray, front: tuple[int, int]) -> np.ndarray:
-    order = [*front, *[k for k in range(4) if k not in front]]
-    out = np.zeros_like(fp)
-    for at, k in enumerate(order):
-        out |= ((fp >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)) << np.uint64(48 - 16 * at)
+def _fronted(x: np.ndarray, front: tuple[int, int], width: int) -> np.ndarray:
+    """The four blocks of ``width`` bits with two of them in front."""
+    out = np.zeros_like(x)
+    for at, k in enumerate([*front, *[k for k in range(4) if k not in front]]):
+        out |= ((x >> np.uint64(width * (3 - k))) & np.uint64((1 << width) - 1)) << np.uint64(width * (3 - at))
     return out
 
 
-def join_nodes(node: np.ndarray, fp: np.ndarray, held: int = PAIRS_HELD) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges between the fingerprints of whole nodes (front << 32 | leading bits), joined node by node."""
+def _placed(fp: np.ndarray, way: int, depth: int) -> np.ndarray:
+    """Fingerprints with the bits in the order of a trie: ``way`` is a front of 16-bit blocks, at depth 48 six times that and a front of the 8-bit blocks of the other half."""
+    if depth == 32:
+        return _fronted(fp, FRONTS[way], 16)
+    x = _fronted(fp, FRONTS[way // 6], 16)
+    low = np.uint64(0xFFFFFFFF)
+    return (x & ~low) | _fronted(x & low, FRONTS[way % 6], 8)
+
+
+def join_nodes(node: np.ndarray, fp: np.ndarray, depth: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges between the fingerprints of whole nodes (way << depth | leading bits), joined node by node."""
     left, right = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
-    for c, front in enumerate(FRONTS):
-        own = fp[(node >> 32) == c]
-        value = _permuted(own, front)
+    ways = node >> depth
+    for way in np.unique(ways):
+        own = fp[ways == way]
+        value = _placed(own, int(way), depth)
         order = np.argsort(value)
         own, value = own[order], value[order]
-        head = value >> np.uint64(32)
-        bounds = np.flatnonzero(np.r_[True, head[1:] != head[:-1], True]) if len(value) else np.zeros(1, dtype=np.int64)
+        head = value >> np.uint64(64 - depth)
+        bounds = np.flatnonzero(np.r_[True, head[1:] != head[:-1], True])
         roots = np.stack([bounds[:-1], bounds[1:]], axis=1)
-        roots = roots[roots[:, 1] - roots[:, 0] > 1]
-        lot = np.cumsum((roots[:, 1] - roots[:, 0]) ** 2) // held
-        for k in np.unique(lot):
-            part = roots[lot == k]
-            i, j = trie_pairs(value, part, 32)
-            first, last = part[0, 0], part[-1, 1]
-            label = _stars(last - first, i - first, j - first)
-            far = np.flatnonzero(label != np.arange(last - first))
-            left.append(own[first + label[far]])
-            right.append(own[first + far])
+        label = np.arange(len(own))
+        for i, j in trie_pairs(value, roots[roots[:, 1] - roots[:, 0] > 1], depth):
+            _unite(label, i, j)
+        far = np.flatnonzero(label != np.arange(len(own)))
+        left.append(own[label[far]])
+        right.append(own[far])
     return np.concatenate(left), np.concatenate(right)
 
 
-EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _stream_nodes(depth: int):
+    """Joins rows (node, fp) that come sorted by node, as many whole nodes at once as a batch has."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
-def _stream_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins rows (node, fp) that come sorted by node. A node over NODE_MOST is handed on as rows with b null."""
-    node, fp, over = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), None
+        def edges(n, f):
+            several = np.flatnonzero(n[1:] == n[:-1])
+            use = np.union1d(several, several + 1)
+            a, b = join_nodes(n[use], f[use], depth)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    def edges(a, b=None):
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))], schema=EDGES)
+        wait_n, wait_f = [], []  # the rows of one node
+        for batch in batches:
+            n, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(n):
+                continue
+            if wait_n and wait_n[0][0] == n[-1]:
+                wait_n.append(n)
+                wait_f.append(f)
+                continue
+            node, fp = np.concatenate([*wait_n, n]), np.concatenate([*wait_f, f])
+            last = int(np.searchsorted(node, node[-1]))
+            yield from edges(node[:last], fp[:last])
+            wait_n, wait_f = [node[last:]], [fp[last:]]
+        if wait_n:
+            yield from edges(np.concatenate(wait_n), np.concatenate(wait_f))
+
+    return work
 
-    def joined(node, fp):
-        bounds = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
-        size = np.repeat(np.diff(bounds), np.diff(bounds))
-        if (big := size > NODE_MOST).any():
-            yield edges(fp[big])
-        use = (size > 1) & ~big
-        a, b = join_nodes(node[use], fp[use])
-        if len(a):
-            yield edges(a, b)
 
+def _deal_deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, fp) of nodes at depth 32 as rows of the six nodes at depth 48 that the fingerprint is below."""
     for batch in batches:
-        n = np.concatenate([node, batch.column(0).to_numpy(zero_copy_only=False)])
-        f = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if over is not None and len(n):  # the node whose start was handed on
-            rest = n == over
-            if rest.any():
-                yield edges(f[rest])
-            if rest.all():
-                node, fp = n[:0], f[:0]
-                continue
-            n, f, over = n[~rest], f[~rest], None
-        if not len(n):
-            continue
-        last = np.searchsorted(n, n[-1]) if (n[1:] >= n[:-1]).all() else int(np.flatnonzero(n != n[-1])[-1]) + 1
-        if last:
-            yield from joined(n[:last], f[:last])
-        node, fp = n[last:], f[last:]
-        if len(node) > NODE_MOST:
-            yield edges(fp)
-            over, node, fp = node[0], node[:0], fp[:0]
-    if len(node):
-        yield from joined(node, fp)
-
-
-def near_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``nodes`` (fp) just as all links within two bits do."""
+        node, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        for front in range(6):
+            ways = (node >> 32) * 6 + front
+            out = np.empty(len(node), dtype=np.int64)
+            for way in np.unique(ways):
+                at = ways == way
+                out[at] = (_placed(fp[at], int(way), 48) >> np.uint64(16)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ways << 48 | out), batch.column(1)], names=["node", "fp"])
+
+
+def near_edges(nodes: DataFrame, members: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints ``nodes`` (fp) just as all links within two bits do.
+
+    Nodes of more than ``members`` fingerprints are joined at depth 48, the others at depth 32: the same join either way.
+    """
+    most = members or max(NODE_MEMBERS, nodes.count() >> NODES_LOG2)
     block = [F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     fronts = [F.lit(c << 32) + block[i] * 65536 + block[j] for c, (i, j) in enumerate(FRONTS)]
     dealt = nodes.select(F.explode(F.array(*fronts)).alias("node"), "fp")
-    # Nodes with over a thousandth of all fingerprints: some thousand at most, so they may be broadcast.
-    most = F.greatest(F.lit(NODE_MOST), F.expr(f"{nodes.count()}L div 1024"))
-    hot = materialize(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node"), "simhash-hot")
-    cold = dealt.join(F.broadcast(hot), "node", "left_anti") if (any_hot := not hot.isEmpty()) else dealt
+    many = materialize(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node"), "simhash-many")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(cold.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_stream_nodes, "a long, b long"), "simhash-edges")
-    crowded = found.where("b is null").select(F.col("a").alias("fp"))
-    if any_hot:
-        crowded = crowded.union(dealt.join(F.broadcast(hot), "node", "left_semi").select("fp"))
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
-    met = crowded.distinct().select("fp", F.explode(flips).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("of"))  # 65 at most
-    more = met.where(F.size("of") > 1).select(F.array_min("of").alias("a"), F.explode("of").alias("b")).where("a <> b")
-    return found.where("b is not null").union(more)
+
+    def joined(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_stream_nodes(depth), "a long, b long")
+
+    if many.isEmpty():
+        return materialize(joined(dealt, 32), "simhash-edges")
+    many = F.broadcast(many)  # 6 * 2 ** NODES_LOG2 nodes at most
+    deeper = dealt.join(many, "node", "left_semi").mapInArrow(_deal_deeper, "node long, fp long")
+    return materialize(joined(dealt.join(many, "node", "left_anti"), 32).union(joined(deeper, 48)), "simhash-edges")
 
 
 def near_components(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -225,6 +237,13 @@ def near_components(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id. Rows without a doc_id stay."""
+    """``docs`` with one document of each component, the one with the least doc_id, in the same columns.
+
+    Texts without words (null, empty, white space) are one component; texts of any length are read whole;
+    rows without a doc_id stay, and so do rows that repeat the doc_id which stays; an empty table gives
+    none; columns may have any names.
+    """
     copies = near_components(docs, words, seed).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(materialize(copies, "simhash-copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+    kept = rows.join(materialize(copies, "simhash-copies"), F.col("_id") == F.col("_copy"), "left_anti")
+    return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -464,13 +464,12 @@ def test_simhash_components(docs, cluttered, empty):
     found = sorted(((r["doc_id"], unsigned(r["fp"]), r["component_id"]) for r in simhash.near_components(docs).collect()), key=repr)
     assert found == expected
     assert got(simhash.near_components(cluttered)) == got(simhash.near_components(docs)) and simhash.near_components(empty).count() == 0
-    kept = simhash.drop_near_copies(docs)
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _, c in expected if d is None or d == c) and kept.columns == docs.columns
+    kept = simhash.drop_near_copies(cluttered)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _, c in expected if d is None or d == c) and kept.columns == cluttered.columns
 
 
-@pytest.mark.parametrize("most", [3, 8, 1024])
-def test_trie_join_links_all_within_the_budget(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "NODE_MOST", most)
+@pytest.mark.parametrize("members", [1, 8, None])
+def test_trie_join_links_all_within_the_budget(spark, members):
     r = random.Random(6)
     fps = {0, (1 << 64) - 1, 1 << 63}
     for _ in range(12):  # dense balls around a few centres, some of them chains
@@ -480,7 +479,7 @@ def test_trie_join_links_all_within_the_budget(spark, monkeypatch, most):
             x ^= 1 << r.randrange(64) | (1 << r.randrange(64) if r.random() < 0.6 else 0) | (1 << r.randrange(64) if r.random() < 0.2 else 0)
     items = [(i, f) for i, f in enumerate(sorted(fps))]
     signed = [(f - (1 << 64) if f >> 63 else f,) for _, f in items]
-    label = dict(got(connected_components(simhash.near_edges(spark.createDataFrame(signed, "fp long")))))
+    label = dict(got(connected_components(simhash.near_edges(spark.createDataFrame(signed, "fp long"), members))))
     groups = defaultdict(set)
     for i, f in items:
         s = signed[i][0]
@@ -499,8 +498,30 @@ def test_trie_pairs_are_exact():
     r = np.random.default_rng(7)
     base = r.integers(0, 1 << 20, dtype=np.uint64)
     v = np.unique(np.array([base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in r.integers(0, 32, (200, 2))], dtype=np.uint64))
-    i, j = simhash.trie_pairs(v, np.array([[0, len(v)]]), 32)
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if int(v[a] ^ v[b]).bit_count() <= 2]
+    expected = [(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if int(v[a] ^ v[b]).bit_count() <= 2]
+    for held in (7, 1 << 19):  # few node pairs at once, or all
+        lots = list(simhash.trie_pairs(v, np.array([[0, len(v)]]), 32, held=held))
+        assert sorted((a, b) for i, j in lots for a, b in zip(i.tolist(), j.tolist(), strict=True)) == expected
+
+
+def test_nodes_split_over_batches_join_whole():
+    r = np.random.default_rng(9)
+    fp = np.unique(np.uint64(5) ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)))
+    node = np.concatenate([np.full(len(fp), way) << 32 | (simhash._placed(fp, way, 32) >> np.uint64(32)).astype(np.int64) for way in range(6)])
+    both = np.tile(fp, 6)
+    order = np.argsort(node, kind="stable")
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(node[order]), pa.array(both[order].view(np.int64))], names=["node", "fp"])
+    ends = []
+    for size in (1, 7, 10_000):
+        label = {int(x): int(x) for x in fp.view(np.int64)}
+        for e in simhash._stream_nodes(32)(rows.slice(k, size) for k in range(0, rows.num_rows, size)):
+            for a, b in zip(*(c.to_pylist() for c in e.columns), strict=True):
+                old, new = label[a], label[b]
+                label = {k: new if v == old else v for k, v in label.items()}
+        ends.append({frozenset(k for k in label if label[k] == v) for v in set(label.values())})
+    assert ends[0] == ends[1] == ends[2]
 
 
 # ---- 10 language model ---------------------------------------------------------------------------
