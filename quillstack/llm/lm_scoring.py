@@ -1,130 +1,206 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small bidirectional network predicts each token from the tokens on both sides of it, the token itself
-masked: window embeddings, one per offset, are added and squashed, and a softmax over token classes
-follows; within its class a token has its share of the corpus counts. A document's score is the sum of
-the log-probabilities of all its tokens.
-
-What the model is made of grows with the corpus: token counts over all documents, and a window around
-every token of every document in each round. Every task trains on its own documents from common weights, and the tasks'
-weights are averaged, each block of them in a task of its own, as often as there are rounds.
+masked: window embeddings, one per offset, are added and squashed. A softmax over classes follows. The most
+frequent tokens stand in classes of their own kind, in which a second softmax over the class's members
+predicts the token; the others stand in bands of frequency, in which a token has its share of the corpus
+counts. A document's score is the sum of the log-probabilities of all its tokens.
+
+What the model is made of grows with the corpus: every distinct token keeps its count over all documents,
+and each round sees a window around every token of every document. Tokens known to the tasks are some
+multiple of the square root of the distinct ones; the counts of the rest are joined as a table when
+documents are scored. Every task trains on its own documents from common weights, and the tasks' weights
+are averaged, block by block, in two levels of tasks of their own.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.arrow_text import SLICE_ROWS, map_texts
+from quillstack.llm.arrow_text import slices
 from quillstack.llm.common import empty_text, materialize
 
-#: Tokens with a count of their own, tokens with an embedding of their own, classes, of which the first hold a token each.
-VOCABULARY, EMBEDDED, CLASSES, SINGLES = 20_000, 2048, 64, 31
+#: Classes with a softmax of their own and their members; bands for other known tokens; the last class has the rest.
+GROUPS, MEMBERS, BANDS = 16, 128, 7
+PREDICTED, CLASSES = GROUPS * MEMBERS, GROUPS + BANDS + 1
+#: Known tokens for each root of the distinct ones, beside those that are predicted.
+KNOWN_PER_ROOT = 16
+#: Embedding rows that less frequent tokens share by hash; the predicted ones have rows of their own, the edge of a text has the last.
+HASHED = 512
+ROWS = PREDICTED + HASHED + 1
 OFFSETS, WIDTH = (-2, -1, 1, 2), 16
 #: Windows a step; step size; rounds of averaging. Windows scored at once, few enough to stay in the cache.
-STEP_ROWS, STEP, ROUNDS = 256, 0.15, 2
-SCORE_ROWS = 1024
-BLOCK = 2048
+STEP_ROWS, STEP, ROUNDS = 1024, 0.7, 1
+SCORE_ROWS = 4096
+BLOCK, LOTS = 4096, 32
+_REACH = max(map(abs, OFFSETS))
 
 
 def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+@dataclass
+class Batch:
+    """Tokens of several texts in one row: windows (embedding rows around each), classes, members and shares; lengths of the texts; places and bytes of tokens that are not known."""
+
+    windows: np.ndarray
+    classes: np.ndarray
+    members: np.ndarray
+    share: np.ndarray
+    lengths: np.ndarray
+    rare_at: np.ndarray
+    rare: list[bytes]
+
+
 @dataclass
 class Lexicon:
-    """ids of the known tokens; by id (the last one stands for unknown tokens): class, embedding row, log share of its class."""
+    """ids of the known tokens; by id (the last one stands for all others): class, member, embedding row, log share
+    of its class. least: the count up to which a token may be unknown; rest: log of all occurrences of these."""
 
     ids: dict[bytes, int]
     classes: np.ndarray
+    members: np.ndarray
     rows: np.ndarray
     share: np.ndarray
+    least: int
+    rest: float
+
+    def batch(self, texts: list[str]) -> Batch:
+        parts = [tokens_of(t) for t in texts]
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        tokens = [t for p in parts for t in p]
+        other = len(self.ids)
+        ids = np.fromiter(map(self.ids.get, tokens, repeat(other)), dtype=np.int64, count=len(tokens))
+        rows, at = self.rows[ids], np.flatnonzero(ids == other)
+        rare = [tokens[i] for i in at.tolist()]
+        rows[at] = hashed_rows(rare)
+        place = np.arange(len(ids)) + _REACH * (1 + np.repeat(np.arange(len(lengths)), lengths))  # edges stand between the texts
+        wide = np.full(len(ids) + _REACH * (1 + len(lengths)), ROWS - 1)
+        wide[place] = rows
+        windows = np.stack([wide[place + o] for o in OFFSETS], axis=1)
+        return Batch(windows, self.classes[ids], self.members[ids], self.share[ids], lengths, at, rare)
+
 
-    @property
-    def n_rows(self) -> int:
-        return EMBEDDED + CLASSES + 1  # frequent tokens, classes of the others, and the edge of a text
+def hashed_rows(tokens: list[bytes]) -> np.ndarray:
+    return PREDICTED + np.fromiter(map(zlib.crc32, tokens), dtype=np.int64, count=len(tokens)) % HASHED
 
-    def encode(self, tokens: list[bytes]) -> np.ndarray:
-        get, other = self.ids.get, len(self.ids)
-        return np.fromiter((get(t, other) for t in tokens), dtype=np.int64, count=len(tokens))
 
+def build_lexicon(counts: list[tuple[bytes, int]], total: int) -> tuple[Lexicon, np.ndarray, np.ndarray]:
+    """Lexicon, log priors of the classes and of the members in them.
 
-def build_lexicon(counts: list[tuple[bytes, int]], total: int, distinct: int) -> Lexicon:
-    """counts: the most frequent tokens in order; total and distinct: of all tokens of the corpus."""
+    counts: the most frequent tokens in order, all of those known; total: occurrences of all tokens.
+    """
     n = len(counts)
     freq = np.array([c for _, c in counts], dtype=float)
-    classes = np.empty(n + 1, dtype=np.int64)
-    singles = min(n, SINGLES)
-    classes[:singles] = np.arange(singles)
-    rest = freq[singles:]
-    if len(rest):  # classes of equal mass in order of frequency
-        share = np.cumsum(rest) - rest / 2
-        classes[singles:n] = SINGLES + np.minimum((share / rest.sum() * (CLASSES - 1 - SINGLES)).astype(np.int64), CLASSES - 2 - SINGLES)
-    classes[n] = CLASSES - 1
+    some = min(n, PREDICTED)
+    classes, members = np.full(n + 1, CLASSES - 1), np.zeros(n + 1, dtype=np.int64)
+    classes[:some], members[:some] = np.arange(some) // MEMBERS, np.arange(some) % MEMBERS
+    if n > some:  # bands of equal mass in order of frequency
+        mid = np.cumsum(freq[some:]) - freq[some:] / 2
+        classes[some:n] = GROUPS + np.minimum((mid / freq[some:].sum() * BANDS).astype(np.int64), BANDS - 1)
     mass = np.bincount(classes[:n], weights=freq, minlength=CLASSES) if n else np.zeros(CLASSES)
-    logs = np.empty(n + 1)
-    logs[:n] = np.log(freq / mass[classes[:n]])
-    logs[n] = -np.log(max(1, distinct - n) + 1.0)  # an unknown token is any of the others, or a new one
-    rows = np.where(np.arange(n + 1) < min(n, EMBEDDED), np.arange(n + 1), EMBEDDED + classes)
-    return Lexicon({t: i for i, (t, _) in enumerate(counts)}, classes, rows, logs)
+    mass[CLASSES - 1] = total - freq.sum()
+    share = np.zeros(n + 1)
+    share[some:n] = np.log(freq[some:] / mass[classes[some:n]])
+    rows = np.concatenate([np.arange(some), hashed_rows([t for t, _ in counts[some:]]), [ROWS - 1]])
+    inside = np.full((GROUPS, MEMBERS), -30.0)  # places without a token
+    inside.ravel()[:some] = np.log(freq[:some])
+    top = inside.max(axis=1, keepdims=True)
+    inside -= top + np.log(np.exp(inside - top).sum(axis=1, keepdims=True))
+    prior = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))
+    lexicon = Lexicon({t: i for i, (t, _) in enumerate(counts)}, classes, members, rows, share, int(freq[-1]) if n else 0, float(np.log(max(1.0, mass[CLASSES - 1]))))
+    return lexicon, prior, inside
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 @dataclass
 class Network:
-    """embed: (offsets, rows, width); bias: (width,); out: (width, classes); prior: (classes,)."""
+    """embed: (offsets, rows, width); bias: (width,); out: (width, classes); prior: (classes,); inner: (groups, width, members); inside: (groups, members)."""
 
     embed: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     prior: np.ndarray
+    inner: np.ndarray
+    inside: np.ndarray
 
     @classmethod
-    def start(cls, n_rows: int, prior: np.ndarray, seed: int = 5) -> Network:
+    def start(cls, prior: np.ndarray, inside: np.ndarray, seed: int = 5) -> Network:
         r = np.random.default_rng(seed)
-        return cls(r.normal(0, 0.1, (len(OFFSETS), n_rows, WIDTH)).astype(np.float32), np.zeros(WIDTH, np.float32), r.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), prior.astype(np.float32))
+        small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
+        return cls(small(len(OFFSETS), ROWS, WIDTH), np.zeros(WIDTH, np.float32), small(WIDTH, CLASSES), prior.astype(np.float32), small(GROUPS, WIDTH, MEMBERS), inside.astype(np.float32))
+
+    def _parts(self) -> tuple[np.ndarray, ...]:
+        return self.embed, self.bias, self.out, self.prior, self.inner, self.inside
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.embed.ravel(), self.bias, self.out.ravel(), self.prior])
+        return np.concatenate([x.ravel() for x in self._parts()])
 
     def unflat(self, w: np.ndarray) -> Network:
         at, parts = 0, []
-        for x in (self.embed, self.bias, self.out, self.prior):
+        for x in self._parts():
             parts.append(w[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return Network(*parts)
 
     def hidden(self, windows: np.ndarray) -> np.ndarray:
-        h = self.embed[0][windows[:, 0]]
+        h = self.embed[0].take(windows[:, 0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h = h + self.embed[k][windows[:, k]]
-        return np.tanh(h + self.bias)
-
-    def logits(self, h: np.ndarray) -> np.ndarray:
-        return h @ self.out + self.prior
-
-    def log_probs(self, windows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        z = self.logits(self.hidden(windows))
-        top = z.max(axis=1)
-        return (z[np.arange(len(z)), classes] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))).astype(float)
-
-    def step(self, windows: np.ndarray, classes: np.ndarray, rate: float) -> None:
+            h += self.embed[k].take(windows[:, k], axis=0)
+        h += self.bias
+        return np.tanh(h, out=h)
+
+    @staticmethod
+    def _by_group(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each group that occurs, with the places of its tokens."""
+        order = np.argsort(classes, kind="stable")
+        ends = np.searchsorted(classes[order], np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            if ends[g + 1] > ends[g]:
+                yield g, order[ends[g] : ends[g + 1]]
+
+    def log_probs(self, windows: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Of the classes, and in groups of the members too."""
         h = self.hidden(windows)
-        p = self.logits(h)
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), classes] -= 1
-        back = (p @ self.out.T) * (1 - h * h)
-        self.out -= rate / len(p) * (h.T @ p)
-        self.prior -= rate / len(p) * p.sum(axis=0)
-        self.bias -= rate / len(p) * back.sum(axis=0)
-        # Each row moves by its own windows' mean, so that rare tokens move as frequent ones do; all offsets in one sort.
-        keys = (windows + np.arange(len(OFFSETS)) * self.embed.shape[1]).ravel()
+        out = _log_softmax(h @ self.out + self.prior)[np.arange(len(h)), classes].astype(float)
+        for g, at in self._by_group(classes):
+            out[at] += _log_softmax(h[at] @ self.inner[g] + self.inside[g])[np.arange(len(at)), members[at]]
+        return out
+
+    def step(self, windows: np.ndarray, classes: np.ndarray, members: np.ndarray, rate: float) -> None:
+        h, n = self.hidden(windows), len(classes)
+        p = np.exp(_log_softmax(h @ self.out + self.prior))
+        p[np.arange(n), classes] -= 1
+        back = p @ self.out.T
+        for g, at in self._by_group(classes):
+            x = h[at]
+            q = np.exp(_log_softmax(x @ self.inner[g] + self.inside[g]))
+            q[np.arange(len(at)), members[at]] -= 1
+            back[at] += q @ self.inner[g].T
+            by = np.float32(rate / max(len(at), 32))
+            self.inner[g] -= by * (x.T @ q)
+            self.inside[g] -= by * q.sum(axis=0)
+        self.out -= np.float32(rate / n) * (h.T @ p)
+        self.prior -= np.float32(rate / n) * p.sum(axis=0)
+        back *= 1 - h * h
+        self.bias -= np.float32(rate / n) * back.sum(axis=0)
+        # Each row moves by its own windows' sum over the root of their number, so that rare tokens move as frequent ones do; all offsets in one sort.
+        keys = (windows + np.arange(len(OFFSETS)) * ROWS).ravel()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -133,24 +209,18 @@ class Network:
         self.embed.reshape(-1, WIDTH)[keys[first]] -= by[:, None].astype(np.float32) * sums
 
 
-def windows_of(rows: np.ndarray, edge: int) -> np.ndarray:
-    """Embedding rows around each position; ``edge`` beyond the text's ends."""
-    reach = max(map(abs, OFFSETS))
-    wide = np.concatenate([np.full(reach, edge), rows, np.full(reach, edge)])
-    return np.stack([wide[reach + o : reach + o + len(rows)] for o in OFFSETS], axis=1)
-
-
-def score_text(text: str, lexicon: Lexicon, net: Network) -> tuple[int, float]:
-    """Tokens of a text and the sum of their conditional log-probabilities."""
-    ids = lexicon.encode(tokens_of(text))
-    total = 0.0
-    if len(ids):
-        rows, classes = lexicon.rows[ids], lexicon.classes[ids]
-        windows = windows_of(rows, lexicon.n_rows - 1)
-        for i in range(0, len(ids), SCORE_ROWS):
-            total += net.log_probs(windows[i : i + SCORE_ROWS], classes[i : i + SCORE_ROWS]).sum()
-        total += lexicon.share[ids].sum()
-    return len(ids), float(total)
+def score_texts(texts: list[str], lexicon: Lexicon, net: Network) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """For each text: its number of tokens, the sum of its tokens' conditional log-probabilities short of the
+    shares of unknown ones in their class, and these tokens."""
+    b = lexicon.batch(texts)
+    each = b.share.copy()
+    for i in range(0, len(each), SCORE_ROWS):
+        each[i : i + SCORE_ROWS] += net.log_probs(b.windows[i : i + SCORE_ROWS], b.classes[i : i + SCORE_ROWS], b.members[i : i + SCORE_ROWS])
+    ends = np.cumsum(b.lengths)
+    sums = np.concatenate([[0.0], np.cumsum(each)])
+    total = sums[ends] - sums[ends - b.lengths]
+    cut = np.searchsorted(b.rare_at, np.concatenate([[0], ends]))
+    return b.lengths, total, [b.rare[a:z] for a, z in zip(cut, cut[1:], strict=False)]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -158,16 +228,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
-        from collections import Counter
-
         seen: Counter = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()), pa.array(list(seen.values()), type=pa.int64())], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
+            for part in slices(batch, 0):
+                for t in part.column(0).to_pylist():
                     seen.update(tokens_of(t))
                 if len(seen) > 200_000:  # counts handed on so far are added up later
                     yield out()
@@ -180,104 +248,108 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def _train_tasks(docs: DataFrame, shared, rate: float) -> DataFrame:
-    """block, n, w: each task's weights after its own windows, cut into blocks, with its number of windows."""
+    """block, lot, n, w: each task's weights after its own windows, cut into blocks, with its number of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         lexicon, first = shared.value
-        net = first.unflat(first.flat().copy())
-        wait, kept = [], 0
+        net = first.unflat(first.flat())
         trained = 0
-
-        def learn(parts):
-            w, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            for i in range(0, len(c), STEP_ROWS):
-                net.step(w[i : i + STEP_ROWS], c[i : i + STEP_ROWS], rate)
-            return len(c)
-
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    ids = lexicon.encode(tokens_of(t))
-                    if len(ids):
-                        wait.append((windows_of(lexicon.rows[ids], lexicon.n_rows - 1), lexicon.classes[ids]))
-                        kept += len(ids)
-                    if kept >= 16 * STEP_ROWS:
-                        trained += learn(wait)
-                        wait, kept = [], 0
-        if wait:
-            trained += learn(wait)
+            for part in slices(batch, 0):
+                b = lexicon.batch(part.column(0).to_pylist())
+                for i in range(0, len(b.classes), STEP_ROWS):
+                    net.step(b.windows[i : i + STEP_ROWS], b.classes[i : i + STEP_ROWS], b.members[i : i + STEP_ROWS], rate)
+                trained += len(b.classes)
         if trained:
-            w = net.flat()
+            w, lot = net.flat(), TaskContext.get().partitionId() % LOTS
             for k in range(0, len(w), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK]), pa.array([float(trained)]), pa.array([w[k : k + BLOCK].tobytes()], type=pa.binary())], names=["block", "n", "w"])
+                yield _block(k // BLOCK, lot, float(trained), w[k : k + BLOCK])
 
-    return docs.select(empty_text().alias("text")).mapInArrow(work, "block long, n double, w binary")
+    return docs.select(empty_text().alias("text")).mapInArrow(work, "block long, lot long, n double, w binary")
+
+
+def _block(block: int, lot: int, n: float, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lot]), pa.array([n]), pa.array([w.astype(np.float32).tobytes()], type=pa.binary())], names=["block", "lot", "n", "w"])
 
 
 def _average(rows: DataFrame) -> DataFrame:
-    """block, w: weighted means; each task adds up the blocks that come to it as they stream by."""
+    """One row for each block: means weighted by n, first inside the lots, then over them. A task adds up what comes to it as it streams by."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        key, n, x = None, 0.0, None
         for batch in batches:
-            for k, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(w, dtype=np.float32).astype(float) * n
-                if k in sums:
-                    sums[k][0] += n
-                    sums[k][1] += x
-                else:
-                    sums[k] = [n, x]
-        for k, (n, x) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(x / n).astype(np.float32).tobytes()], type=pa.binary())], names=["block", "w"])
-
-    return rows.repartition("block").sortWithinPartitions("block", "n", "w").mapInArrow(work, "block long, w binary")
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, Network]:
-    """Lexicon and network for the corpus ``docs`` (text). What reaches the driver is bounded by VOCABULARY and the network's size."""
+            for block, lot, m, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (block, lot):
+                    if key is not None:
+                        yield _block(*key, n, x / n)
+                    key, n, x = (block, lot), 0.0, 0.0
+                n += m
+                x = x + np.frombuffer(w, dtype=np.float32).astype(float) * m
+        if key is not None:
+            yield _block(*key, n, x / n)
+
+    schema = "block long, lot long, n double, w binary"
+    for _ in range(2):
+        rows = rows.repartition("block", "lot").sortWithinPartitions("block", "lot", "n", "w").mapInArrow(work, schema).withColumn("lot", F.lit(0).cast("long"))
+    return rows
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Lexicon, Network, DataFrame]:
+    """Lexicon, network and token counts for the corpus ``docs`` (text).
+
+    What reaches the driver are the known tokens, some roots of the distinct ones, and one network.
+    """
     spark = docs.sparkSession
     counts = materialize(token_counts(docs), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    known = PREDICTED + KNOWN_PER_ROOT * int(np.ceil(np.sqrt(distinct)))
     # Steps of a twelfth or less between counts say which tokens can be among the most frequent; the others aren't sorted.
     step = F.floor(8 * F.log2("n"))
-    above, least = 0, 1.0
+    above, least = 0, 0
     for s, k in sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):  # at most 512 rows
         above, least = above + k, s
-        if above >= VOCABULARY:
+        if above >= known:
             break
-    top = counts.where(step >= least).orderBy(F.desc("n"), "token").limit(VOCABULARY).toArrow()
+    top = counts.where(step >= least).orderBy(F.desc("n"), "token").limit(known).toArrow()
     pairs = sorted(zip(top["token"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda p: (-p[1], p[0]))
-    lexicon = build_lexicon(pairs, total, distinct)
-    seen = np.bincount(lexicon.classes[:-1], weights=np.array([n for _, n in pairs], dtype=float), minlength=CLASSES) if pairs else np.zeros(CLASSES)
-    seen[CLASSES - 1] += total - seen.sum()
-    net = Network.start(lexicon.n_rows, np.log((seen + 1) / (seen.sum() + CLASSES)))
+    lexicon, prior, inside = build_lexicon(pairs, total)
+    net = Network.start(prior, inside)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((lexicon, net))
         got = _average(_train_tasks(docs, shared, STEP / (1 + r))).toArrow()
         blocks = dict(zip(got["block"].to_pylist(), got["w"].to_pylist(), strict=True))
         if blocks:
             net = net.unflat(np.concatenate([np.frombuffer(blocks[k], dtype=np.float32) for k in sorted(blocks)]))
-    return lexicon, net
+    return lexicon, net, counts
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over all tokens), mean_log_prob for every row of ``docs`` (doc_id, text).
 
     The model is trained on the same documents. A text without tokens (null, empty, white space) has
-    log_prob 0 and a null mean; repeated rows are scored and counted each; an empty table gives no rows;
-    other columns are ignored. Weights depend on how rows are dealt to tasks; for the same files and
-    settings they agree from run to run, up to rounding.
+    log_prob 0 and a null mean; repeated rows are scored and counted each; texts of any length are scored
+    whole; an empty table gives no rows; other columns are ignored. Weights depend on how rows are dealt to
+    tasks; for the same files and settings they agree from run to run, up to rounding.
     """
-    lexicon, net = train(docs, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, net))
+    spark = docs.sparkSession
+    lexicon, net, counts = train(docs, rounds)
+    shared = spark.sparkContext.broadcast((lexicon, net))
 
-    def make():
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, net = shared.value
-
-        def f(texts):
-            got = [score_text(t, lexicon, net) for t in texts]
-            return [[n for n, _ in got], [s for _, s in got], [s / n if n else None for n, s in got]]
-
-        return f
-
-    return map_texts(docs, "n_tokens long, log_prob double, mean_log_prob double", make)
+        for batch in batches:
+            for part in slices(batch, 1):
+                n, total, rare = score_texts(part.column(1).to_pylist(), lexicon, net)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), pa.array(rare, type=pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "log_prob", "rare"])
+
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", empty_text().alias("_text")).mapInArrow(work, f"doc_id {kind}, n_tokens long, log_prob double, rare array<binary>")
+    scored = materialize(made.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    # The counts of unknown tokens; none of these is frequent, so no key is hot.
+    used = scored.select("_row", F.explode("rare").alias("token")).join(counts.where(F.col("n") <= lexicon.least), "token", "left")
+    shares = used.groupBy("_row").agg(F.sum(F.log(F.coalesce("n", F.lit(0.5))) - lexicon.rest).alias("_share"))
+    rows = scored.drop("rare").join(shares, "_row", "left")
+    log_prob = F.col("log_prob") + F.coalesce("_share", F.lit(0.0))
+    return rows.select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))

@@ -527,45 +527,98 @@ def test_nodes_split_over_batches_join_whole():
 # ---- 10 language model ---------------------------------------------------------------------------
 
 
+def brute_lm(text, lexicon, net, counts):
+    """Sum of log-probabilities of a text, token by token."""
+    tokens, total = text.encode().lower().split(), 0.0
+    ids = [lexicon.ids.get(t, len(lexicon.ids)) for t in tokens]
+    rows = [i if i < lm_scoring.PREDICTED and t in lexicon.ids else lm_scoring.PREDICTED + zlib.crc32(t) % lm_scoring.HASHED for i, t in zip(ids, tokens, strict=True)]
+    log_of = lambda z, k: z[k] - np.log(np.exp(z).sum())
+    known = list(lexicon.ids)
+    bands = defaultdict(float)
+    for t in known[lm_scoring.PREDICTED :]:
+        bands[lexicon.classes[lexicon.ids[t]]] += counts[t]
+    for p, (i, t) in enumerate(zip(ids, tokens, strict=True)):
+        around = [rows[p + o] if 0 <= p + o < len(ids) else lm_scoring.ROWS - 1 for o in lm_scoring.OFFSETS]
+        h = np.tanh(sum(net.embed[k][a].astype(float) for k, a in enumerate(around)) + net.bias)
+        c = lexicon.classes[i]
+        total += log_of(h @ net.out + net.prior, c)
+        if t not in lexicon.ids:
+            total += np.log(counts[t] / sum(n for x, n in counts.items() if x not in lexicon.ids))
+        elif c < lm_scoring.GROUPS:
+            assert (c, lexicon.members[i]) == divmod(i, lm_scoring.MEMBERS)
+            total += log_of(h @ net.inner[c] + net.inside[c], lexicon.members[i])
+        else:
+            total += np.log(counts[t] / bands[c])
+    return total
+
+
 def test_lm_scores_are_sums_over_all_tokens(spark, docs, cluttered, empty):
-    lexicon, net = lm_scoring.train(docs)
+    lexicon, net, _ = lm_scoring.train(docs)
     counted = Counter(w for _, t, *_ in DATA for w in (t or "").encode().lower().split())
     assert set(lexicon.ids) == set(counted)
-    for _, t, *_ in DATA[:6] + DATA[60:66]:
-        ids = lexicon.encode(lm_scoring.tokens_of(t or ""))
-        total, edge = 0.0, lexicon.n_rows - 1
-        for p, i in enumerate(ids):
-            around = [lexicon.rows[ids[p + o]] if 0 <= p + o < len(ids) else edge for o in lm_scoring.OFFSETS]
-            z = net.logits(np.tanh(sum(net.embed[k][a] for k, a in enumerate(around)) + net.bias))
-            total += z[lexicon.classes[i]] - np.log(np.exp(z).sum()) + lexicon.share[i]
-        assert lm_scoring.score_text(t or "", lexicon, net) == (len(ids), pytest.approx(total, rel=1e-3, abs=1e-3))
+    some = DATA[:6] + DATA[60:66]
+    n, total, rare = lm_scoring.score_texts([t or "" for _, t, *_ in some], lexicon, net)
+    for k, (_, t, *_) in enumerate(some):
+        assert n[k] == len((t or "").split()) and total[k] == pytest.approx(brute_lm(t or "", lexicon, net, counted), rel=1e-3, abs=1e-3) and not rare[k]
     rows = lm_scoring.score_documents(docs).collect()
     assert len(rows) == len(DATA) and all((r["mean_log_prob"] is None) == (r["n_tokens"] == 0) for r in rows)
     assert len(lm_scoring.score_documents(cluttered).collect()) == len(DATA) and lm_scoring.score_documents(empty).count() == 0
 
 
+def test_lm_counts_every_token_of_the_corpus(spark):
+    r = random.Random(12)
+    own = [[f"u{i}x{k}" for k in range(20)] for i in range(260)]
+    data = [(i, " ".join(w for u in own[i] for w in (r.choice(["the", "of", "and"]), u))) for i in range(260)]
+    data += [(1000 + i, data[i][1]) for i in range(40)]  # these occur twice
+    fill = r.sample([f"f{k}" for k in range(4000)] * 3, 12_000)  # more frequent than any of their words
+    data += [(2000 + i, " ".join(fill[40 * i : 40 * i + 40])) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    lexicon, net, _ = lm_scoring.train(docs)
+    counts = Counter(w for _, t in data for w in t.encode().split())
+    assert len(lexicon.ids) < 4000 and not any(w.encode() in lexicon.ids for u in own for w in u)
+    found = {x["doc_id"]: x for x in lm_scoring.score_documents(docs).collect()}
+    for i, t in data[:3] + data[150:153] + data[-2:]:
+        assert found[i]["n_tokens"] == 40 and found[i]["log_prob"] == pytest.approx(brute_lm(t, lexicon, net, counts), rel=2e-3)
+    once = [found[i]["mean_log_prob"] for i in range(40, 260)]
+    assert min(found[1000 + i]["mean_log_prob"] for i in range(40)) > np.median(once)
+
+
 def test_lm_trains_on_every_token_of_every_document(spark):
     data = [(i, " ".join(["red", "blue", "green"][: i % 4] * (1 + i // 20))) for i in range(60)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    shared = spark.sparkContext.broadcast(lm_scoring.train(docs, 0))
-    trained = lm_scoring._train_tasks(docs, shared, 0.1).where("block = 0").agg({"n": "sum"}).first()[0]
-    assert trained == sum(len(t.split()) for _, t in data)
+    lexicon, net, _ = lm_scoring.train(docs, 0)
+    rows = lm_scoring._train_tasks(docs, spark.sparkContext.broadcast((lexicon, net)), 0.1)
+    assert rows.where("block = 0").agg({"n": "sum"}).first()[0] == sum(len(t.split()) for _, t in data)
+    parts = rows.collect()
+    means = {x["block"]: np.frombuffer(x["w"], dtype=np.float32) for x in lm_scoring._average(rows).collect()}
+    for block in (0, 3):
+        of = [(x["n"], np.frombuffer(x["w"], dtype=np.float32)) for x in parts if x["block"] == block]
+        assert np.allclose(means[block], sum(n * w for n, w in of) / sum(n for n, _ in of), atol=1e-5)
 
 
-def test_lm_step_moves_each_row_by_its_own_windows():
+def test_lm_step_follows_the_gradient():
     r = np.random.default_rng(3)
-    net = lm_scoring.Network.start(20, np.zeros(lm_scoring.CLASSES))
-    windows, classes = r.integers(0, 20, (50, len(lm_scoring.OFFSETS))), r.integers(0, lm_scoring.CLASSES, 50)
-    h = np.tanh(sum(net.embed[k][windows[:, k]] for k in range(len(lm_scoring.OFFSETS))) + net.bias)
-    p = np.exp(net.logits(h))
-    p = p / p.sum(axis=1, keepdims=True) - np.eye(lm_scoring.CLASSES)[classes]
-    back, want = (p @ net.out.T) * (1 - h * h), net.embed.astype(float)
-    for k in range(len(lm_scoring.OFFSETS)):
-        for row in range(20):
-            own = windows[:, k] == row
-            want[k, row] -= 0.1 * back[own].sum(axis=0) / np.sqrt(max(1, own.sum()))
-    net.step(windows, classes, 0.1)
-    assert np.allclose(net.embed, want, atol=1e-5)
+    net = lm_scoring.Network.start(np.zeros(lm_scoring.CLASSES), np.zeros((lm_scoring.GROUPS, lm_scoring.MEMBERS)))
+    windows, classes, members = r.integers(0, 20, (50, len(lm_scoring.OFFSETS))), r.integers(0, lm_scoring.CLASSES, 50), r.integers(0, lm_scoring.MEMBERS, 50)
+    loss = lambda: -net.log_probs(windows, classes, members).sum()
+    before = net.unflat(net.flat())
+
+    def slope(array, at):
+        keep, e = array[at], 1e-2
+        array[at] = keep + e
+        up = loss()
+        array[at] = keep - e
+        down = loss()
+        array[at] = keep
+        return (up - down) / (2 * e)
+
+    spots = [("embed", (1, 3, 2)), ("embed", (2, 7, 5)), ("out", (4, 1)), ("prior", (0,)), ("bias", (3,)), ("inner", (int(classes[classes < lm_scoring.GROUPS][0]), 2, 3))]
+    slopes = [slope(getattr(net, name), at) for name, at in spots]
+    net.step(windows, classes, members, 0.1)
+    for (name, at), s in zip(spots, slopes, strict=True):
+        own = (windows[:, at[0]] == at[1]).sum() if name == "embed" else 0
+        by = 0.1 / np.sqrt(max(1, own)) if name == "embed" else 0.1 / 32 if name == "inner" else 0.1 / 50
+        assert getattr(net, name)[at] - getattr(before, name)[at] == pytest.approx(-by * s, rel=0.05, abs=1e-5)
 
 
 def test_lm_learns_from_both_sides(spark):
@@ -573,8 +626,8 @@ def test_lm_learns_from_both_sides(spark):
     data = [(i, " ".join(r.choice(["red blue green one", "un deux trois quatre"]) for _ in range(60))) for i in range(300)]
     mixed = [(1000 + i, " ".join(r.sample(t.split(), len(t.split())))) for i, t in data[:50]]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    lexicon, net = lm_scoring.train(docs)
-    clean = np.mean([lm_scoring.score_text(t, lexicon, net)[1] for _, t in data[:50]])
-    shuffled = np.mean([lm_scoring.score_text(t, lexicon, net)[1] for _, t in mixed])
+    lexicon, net, _ = lm_scoring.train(docs)
+    clean = lm_scoring.score_texts([t for _, t in data[:50]], lexicon, net)[1].mean()
+    shuffled = lm_scoring.score_texts([t for _, t in mixed], lexicon, net)[1].mean()
     unigram = 240 * np.log(1 / 8)
     assert clean > unigram + 20 and clean > shuffled + 20
