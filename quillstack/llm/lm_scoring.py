@@ -38,8 +38,9 @@ KNOWN_PER_ROOT = 16
 HASHED = 512
 ROWS = PREDICTED + HASHED + 1
 OFFSETS, WIDTH = (-2, -1, 1, 2), 16
+assert len(OFFSETS) * ROWS < 1 << 16
 #: Windows a step; step size; rounds of averaging. Windows scored at once, few enough to stay in the cache.
-STEP_ROWS, STEP, ROUNDS = 1024, 0.7, 1
+STEP_ROWS, STEP, ROUNDS = 2048, 1.0, 1
 SCORE_ROWS = 4096
 BLOCK, LOTS = 4096, 32
 _REACH = max(map(abs, OFFSETS))
@@ -122,9 +123,20 @@ def build_lexicon(counts: list[tuple[bytes, int]], total: int) -> tuple[Lexicon,
     return lexicon, prior, inside
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _exp(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In place: exponentials of the rows up to a factor. With it the rows' sums, and of each row the logarithm of the share of column ``at``."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    sums = z.sum(axis=1)
+    return z, sums, own - np.log(sums)
+
+
+def _errors(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """In place: probabilities of the rows, less 1 in column ``at``."""
+    z, sums, _ = _exp(z, at)
+    z /= sums[:, None]
+    z[np.arange(len(z)), at] -= 1
     return z
 
 
@@ -177,20 +189,18 @@ class Network:
     def log_probs(self, windows: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Of the classes, and in groups of the members too."""
         h = self.hidden(windows)
-        out = _log_softmax(h @ self.out + self.prior)[np.arange(len(h)), classes].astype(float)
+        out = _exp(h @ self.out + self.prior, classes)[2].astype(float)
         for g, at in self._by_group(classes):
-            out[at] += _log_softmax(h[at] @ self.inner[g] + self.inside[g])[np.arange(len(at)), members[at]]
+            out[at] += _exp(h[at] @ self.inner[g] + self.inside[g], members[at])[2]
         return out
 
     def step(self, windows: np.ndarray, classes: np.ndarray, members: np.ndarray, rate: float) -> None:
         h, n = self.hidden(windows), len(classes)
-        p = np.exp(_log_softmax(h @ self.out + self.prior))
-        p[np.arange(n), classes] -= 1
+        p = _errors(h @ self.out + self.prior, classes)
         back = p @ self.out.T
         for g, at in self._by_group(classes):
             x = h[at]
-            q = np.exp(_log_softmax(x @ self.inner[g] + self.inside[g]))
-            q[np.arange(len(at)), members[at]] -= 1
+            q = _errors(x @ self.inner[g] + self.inside[g], members[at])
             back[at] += q @ self.inner[g].T
             by = np.float32(rate / max(len(at), 32))
             self.inner[g] -= by * (x.T @ q)
@@ -200,13 +210,14 @@ class Network:
         back *= 1 - h * h
         self.bias -= np.float32(rate / n) * back.sum(axis=0)
         # Each row moves by its own windows' sum over the root of their number, so that rare tokens move as frequent ones do; all offsets in one sort.
-        keys = (windows + np.arange(len(OFFSETS)) * ROWS).ravel()
+        keys = (windows + np.arange(len(OFFSETS)) * ROWS).astype(np.uint16).ravel()  # 16 bits sort faster
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sums = np.add.reduceat(back[order // len(OFFSETS)], first, axis=0)
+        sums = np.cumsum(back.take(order // len(OFFSETS), axis=0), axis=0, dtype=float)[np.append(first[1:], len(keys)) - 1]
+        sums[1:] -= sums[:-1].copy()
         by = rate / np.sqrt(np.diff(np.append(first, len(keys))))
-        self.embed.reshape(-1, WIDTH)[keys[first]] -= by[:, None].astype(np.float32) * sums
+        self.embed.reshape(-1, WIDTH)[keys[first]] -= (by[:, None] * sums).astype(np.float32)
 
 
 def score_texts(texts: list[str], lexicon: Lexicon, net: Network) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
