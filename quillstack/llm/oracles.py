@@ -6,14 +6,13 @@ from quillstack.llm import mixing, secrets
 
 _OP2 = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id),
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.row <> q.row)
 SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+WINDOW w AS (PARTITION BY row ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """
 
 _OP3 = """
@@ -93,7 +92,7 @@ def _op7() -> str:
     names = "['assign', 'access', 'hex', 'live']"
     joined = "array_to_string(list_transform({}, lambda s: {}[s.k + 1] || ':' || s.a || ':' || s.b), ',')"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS repo, coalesce(concat_ws('/', source, lang), '') AS owner, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, 'null') AS repo, CASE WHEN source IS NULL AND lang IS NULL THEN 'null' ELSE '=' || concat_ws('/', source, lang) END AS owner, coalesce(text, '') AS text FROM documents),
 f AS ({parts}),
 h AS (
   SELECT row, repo, owner, kind, v, (sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a, length(m) AS n

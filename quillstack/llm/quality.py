@@ -204,6 +204,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, in the same columns."""
+    """The rows of ``docs`` that the classifier accepts, in the same columns.
+
+    Null and empty texts are scored as the empty one; texts of any length are read whole; repeated rows and
+    rows without a doc_id are judged each by their text; without usable labels every row stays; an empty
+    table gives none; columns may have any names.
+    """
     scored = quality_scores(docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text")), train(docs, labels, sample_rows), tuple(f"_c{i}" for i in range(len(docs.columns))))
     return scored.where(F.col("score") >= THRESHOLD).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,7 +1,7 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 Patterns find candidates: assignments to secret names, access keys, long hex runs and tokens of known
-shape. Each candidate's value is hashed, and the hash is counted over the whole corpus by distinct
+shape. Each candidate's value is hashed where it is found, so that no table holds it in clear, and the hash is counted over the whole corpus by distinct
 repositories and owners. A value seen by several of them is a copied example; a value that one owner alone
 uses, and that looks random, is taken for a live credential and gets a further span of kind ``live``.
 
@@ -36,25 +36,31 @@ EXAMPLE_WORDS = r"(?i)example|sample|dummy|placeholder|changeme|change_me|your_|
 
 
 def _found(pattern: str, group: int) -> Column:
-    """gap: characters since the last match; m: its length; v: the value, of each match in order."""
+    """gap: characters since the last match; m: its length; n, value and looks: length and hash of the value and whether it looks random, of each match in order."""
     p, text = F.lit(pattern), F.col("text")
     every = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"),
         F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m)).alias("m"),
         F.regexp_extract_all(text, p, F.lit(group)).alias("v"),
     )
-    return F.when(text.rlike(pattern), F.filter(every, lambda x: x["m"].isNotNull()))
+
+    def veiled(x: Column) -> Column:
+        random = (F.size(F.array_distinct(F.split(x["v"], ""))) >= LEAST_DIFFERENT) & ~x["v"].rlike(EXAMPLE_WORDS)
+        return F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.length(x["v"]).alias("n"), F.sha2(x["v"], 256).alias("value"), random.alias("looks"))
+
+    return F.when(text.rlike(pattern), F.transform(F.filter(every, lambda x: x["m"].isNotNull()), veiled))
 
 
 def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Column | None = None) -> DataFrame:
     """Spans of secrets in every row of ``docs`` (doc_id, text; source and lang unless other columns are named).
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example. A null text has no
-    spans; a null repository or owner counts as one of its own; rows that repeat are scanned and counted
+    spans; a null repository or owner is one of its own, apart from the empty name; texts of any length are
+    scanned whole; rows that repeat are scanned and counted
     each; an empty table gives no rows; other columns are ignored.
     """
     repository = F.col("source") if repository is None else repository
-    owner = F.concat_ws("/", F.col("source"), F.col("lang")) if owner is None else owner
+    owner = F.when(F.col("source").isNotNull() | F.col("lang").isNotNull(), F.concat_ws("/", F.col("source"), F.col("lang"))) if owner is None else owner
     rows = docs.select("doc_id", repository.cast("string").alias("repo"), owner.cast("string").alias("owner"), empty_text().alias("text"))
     scanned = rows.select("doc_id", "repo", "owner", _found(ASSIGN, 2).alias("k0"), _found(ACCESS, 0).alias("k1"), _found(HEX, 0).alias("k2"), _found(SHAPED, 0).alias("k3"))
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets-found")
@@ -63,16 +69,16 @@ def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
     hits = scanned.select("row", "repo", "owner", F.explode(kinds).alias("k")).select("row", "repo", "owner", "k.kind", F.posexplode("k.of").alias("i", "x"))
     so_far = Window.partitionBy("row", "kind").orderBy("i")
     start = F.sum("x.gap").over(so_far) + F.coalesce(F.sum("x.m").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hits = hits.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.col("x.m")).withColumn("v", F.col("x.v"))
-    size = F.when(F.col("kind") == 0, F.length("v")).otherwise(F.col("end") - F.col("start"))
+    hits = hits.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.col("x.m"))
+    size = F.when(F.col("kind") == 0, F.col("x.n")).otherwise(F.col("end") - F.col("start"))
     least = F.element_at(F.array(*[F.lit(LEAST.get(k, 0)) for k in range(4)]), F.col("kind") + 1)
-    hits = hits.where(size >= least)
-    different = F.size(F.array_distinct(F.split("v", "")))
-    looks = (different >= LEAST_DIFFERENT) & ~F.col("v").rlike(EXAMPLE_WORDS)
-    hits = materialize(hits.select("row", "kind", "start", "end", (F.col("end") - F.length("v")).alias("from"), "repo", "owner", looks.alias("looks"), F.sha2("v", 256).alias("value")), "secrets-hits")
+    hits = hits.where(size >= least).select("row", "kind", "start", "end", (F.col("end") - F.col("x.n")).alias("from"), "repo", "owner", "x.looks", "x.value")
+    hits = materialize(hits, "secrets-hits")
 
     # Distinct owners of each value; the first grouping shrinks a widely copied value before it meets one task.
-    used = hits.groupBy("value", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner")).agg(F.lit(1).alias("_"))
+    # A null counts as a repository or owner apart from every name, the empty one too.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")).alias(c)
+    used = hits.groupBy("value", named("repo"), named("owner")).agg(F.lit(1).alias("_"))
     owned = used.groupBy("value").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
     owned = materialize(owned, "secrets-owners")
     judged = hits.join(owned, "value").withColumn("single", (F.col("repos") <= MOST_REPOSITORIES) & (F.col("owners") <= MOST_OWNERS))

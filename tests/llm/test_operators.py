@@ -88,31 +88,43 @@ def test_quality_on_awkward_rows(spark, docs, cluttered, empty):
 
 
 def brute_topk(vectors, k=20, every=20):
-    best = {}
+    rows = []
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-            best[i] = min(best.get(i, q), q)
-    n = max((len(v) for v in best.values()), default=0)
-    best = {i: np.array(v + [0] * (n - len(v)), dtype=object) for i, v in best.items()}
+            rows.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in v]))
+    n = max((len(v) for _, v in rows), default=0)
+    rows = [(i, np.array(v + [0] * (n - len(v)), dtype=object)) for i, v in rows]
     out = []
-    for q in best:
+    for at, (q, x) in enumerate(rows):
         if q % every == 0:
-            s = sorted(((-int((best[q] * v).sum()), c) for c, v in best.items() if c != q))[:k]
-            out += [(q, r, c, -x) for r, (x, c) in enumerate(s, 1)]
+            s = sorted(((-int((x * v).sum()), c) for j, (c, v) in enumerate(rows) if j != at))[:k]
+            out += [(q, r, c, min(max(-y, -(1 << 63)), (1 << 63) - 1)) for r, (y, c) in enumerate(s, 1)]
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("annulus", [16, 2048])
-def test_topk_is_exact(spark, monkeypatch, annulus):
-    monkeypatch.setattr(topk, "ANNULUS_ROWS", annulus)
+def test_topk_is_exact(spark, annulus):
     r = np.random.default_rng(4)
     centres = r.normal(size=(6, 8))
     data = [(i, [float(x) for x in centres[i % 6] + 0.2 * r.normal(size=8)]) for i in range(300)]
     data += [(1000 + i, data[7][1]) for i in range(40)]  # ties
     data += [(2000, None), (2020, [1.0, None]), (2040, [float("nan")]), (2060, [float("inf")] * 8), (None, [1.0] * 8), (3000, [0.5, 0.25]), (3020, []), (40, [9.0] * 8)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
-    assert got(topk.exact_topk(df)) == brute_topk(data)
+    assert got(topk.exact_topk(df, annulus_rows=annulus)) == brute_topk(data)
+
+
+def test_topk_keeps_rows_that_repeat_an_id(spark):
+    data = [(20, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [5.0, 5.0]), (20, [3.0, -1.0]), (20, [3.0, -1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert got(topk.exact_topk(df)) == brute_topk(data) and ("61440" in str(brute_topk(data)))
+
+
+@pytest.mark.parametrize("size", [5e4, 5e7, 3e9, 1e30])
+def test_topk_of_large_components(spark, size):
+    r = np.random.default_rng(11)
+    data = [(i, [float(np.float32(x)) for x in r.normal(size=3) * (size if i % 3 else 1.0)]) for i in range(90)] + [(100, [-size] * 3), (101, [size] * 3), (102, [size] * 3)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    assert got(topk.exact_topk(df, k=7)) == brute_topk(data, k=7)
 
 
 def test_topk_of_few_and_of_none(spark):
@@ -246,6 +258,8 @@ def test_license_prefilter_loses_nothing():
     rules, scanner = licenses.build_rules(), licenses.LicenseScanner()
     assert all(r.keyword in r.pattern.pattern for r in rules)
     names = [n for row in licenses.FAMILIES for n in row[-2]]
+    for _, keyword, pattern, _ in licenses.NOTICES:
+        assert keyword in pattern
     texts = [f"released under the {n} license, version 2.0" for n in names] + [f"It {a} {b} {c}." for a in ("may not", "do not", "is not to") for b in ("be", "") for c in ("copied", "redistribute", "redistributed", "reproduce", "reproduced")]
     for t in texts + LICENSED + [t or "" for _, t, *_ in DATA]:
         line = b" ".join(t.encode().translate(licenses._WORD_BYTES).split()).decode()
@@ -256,6 +270,14 @@ def test_license_prefilter_loses_nothing():
     assert labels("may not be copied") == labels("may not be reproduced") == {"proprietary"}
     for ident, family in (("MPL-2.0", "mpl"), ("EPL-2.0", "epl"), ("CDDL-1.0", "cddl"), ("EUPL-1.2", "eupl"), ("OFL-1.1", "ofl")):
         assert labels(f"SPDX-License-Identifier: {ident}") == {family, ident.lower()}
+    for label, idents in licenses.SPDX.items():
+        for ident in idents:
+            assert label in labels(f"SPDX-License-Identifier: {ident}"), ident
+    for family, names, versions in licenses.FAMILIES:
+        for v in versions:
+            assert any(x.startswith(family) for x in labels(f"Licensed under the {names[0]} license, version {v}")), (family, v)
+    assert labels("a ruby license plate and the elastic license band") == set()
+    assert labels("Licensed under the MPL 2.0") == {"mpl-2.0"} and labels("license: mit") == {"mit"} and labels("License: Apache-2.0") == {"apache-2.0"}
     assert labels("SPDX-License-Identifier: BSL-1.0") == {"bsl-1.0"} and labels("SPDX-License-Identifier: SSPL-1.0") == {"ssp", "ssp-1"}
 
 
@@ -387,6 +409,9 @@ def test_secret_base_spans(spark, docs, cluttered, empty):
         assert [found[i][f"n_{secrets.KINDS[k]}"] for k in range(3)] == [sum(s[1] == k for s in spans) for k in range(3)]
         assert set(filter(None, joined.split(","))) <= set(filter(None, found[i]["spans"].split(",")))
     assert found[0]["n_example"] == 1 and found[3]["n_live"] == 0  # the copied password
+    alike = [(0, "token = qZ8xK2mP0vR7", None, "a"), (1, "token = qZ8xK2mP0vR7", "", "a"), (2, "token = wQ5xT2nB9vL3", None, "a"), (3, "token = wQ5xT2nB9vL3", None, "a")]
+    live = {x["doc_id"]: x["n_live"] for x in secrets.scan_secrets(spark.createDataFrame(alike, "doc_id long, text string, repo string, own string"), F.col("repo"), F.col("own")).collect()}
+    assert live == {0: 0, 1: 0, 2: 1, 3: 1}  # a null repository isn't the one with the empty name
     assert "live:" in found[5]["spans"] and found[4]["n_live"] == 0  # a token of its own; one letter over and over
     assert len(got(secrets.scan_secrets(docs))) == len(DATA) and got(secrets.scan_secrets(docs)) == got(secrets.scan_secrets(cluttered))
     assert secrets.scan_secrets(empty).count() == 0

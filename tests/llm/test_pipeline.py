@@ -12,7 +12,7 @@ from quillstack.llm import byte_bpe, mixing, quality
 from quillstack.llm.oracles import ORACLES
 from quillstack.llm.queries import QUERIES
 
-from sample_docs import SCHEMA, rows
+from sample_docs import CLASH, SCHEMA, rows
 from test_operators import brute_components, brute_fingerprint
 
 
@@ -47,11 +47,16 @@ def test_pipeline_equals_its_stages_done_plainly(spark, tmp_path):
 
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.createDataFrame(rows(), SCHEMA).withColumn("size", F.lit(1))
+    docs = spark.createDataFrame(rows(), SCHEMA).select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns
-    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert out.columns == docs.columns and out.where(" or ".join(f"`{c}` <> 'own {c}'" for c in CLASH)).isEmpty() and not out.isEmpty()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_every_query_is_registered():
