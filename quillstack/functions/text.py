@@ -181,6 +181,10 @@ def derive_title(body: Column, fallback: str = "") -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(fallback)).otherwise(t)
 
 
+# What a preview drops from its lines, in order, and what stays of it.
+PREVIEW_MARKERS = ((r"^#{1,6}\s+", ""), (r"^\s*[-*]\s+\[[ xX]\]\s*", ""), (r"^\s*[-*>]\s+", ""), (r"[*_`]", ""), (r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", r"\1"))
+
+
 def preview(body: Column, most: int = 180) -> Column:
     """The text below the title line on one line, without markers, cut with an ellipsis."""
 
@@ -190,8 +194,8 @@ def preview(body: Column, most: int = 180) -> Column:
 
     below = let(let(F.split(body, "\n"), lambda x: from_first(x, 1)), lambda x: from_first(x, 0))
     rest = F.array_join(below, "\n")
-    for pattern, to in ((r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*]\s+\[[ xX]\]\s*", ""), (r"(?m)^\s*[-*>]\s+", ""), (r"[*_`]", ""), (r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", "$1")):
-        rest = F.regexp_replace(rest, pattern, to)
+    for pattern, to in PREVIEW_MARKERS:
+        rest = F.regexp_replace(rest, "(?m)" + pattern, to.replace("\\", "$"))
     flat = trim(F.regexp_replace(trim(rest), r"\s*\n\s*", "  "))
     cut = F.concat(F.regexp_replace(F.substring(flat, 1, most), rf"{SPACE}+\z", ""), F.lit("…"))
     return F.when(F.length(flat) > most, cut).otherwise(flat)
