@@ -273,10 +273,10 @@ def listing_filtered(spark, d):
 def _sorted(key: str, ascending: bool):
     col = {"title": "title", "created": "created_at", "updated": "updated_at"}[key]
     way = "ASC" if ascending else "DESC"
-    sql = f"WITH {sq.DOC_NOTES} SELECT row_number() OVER (ORDER BY pinned DESC, {col} {way}, note_id) AS place, note_id FROM notes WHERE trashed_at IS NULL QUALIFY place <= 200"
+    sql = f"WITH {sq.DOC_NOTES} SELECT row_number() OVER (ORDER BY pinned DESC, {col} {way}, note_id) AS place, note_id FROM notes WHERE trashed_at IS NULL"
 
     def run(spark, d) -> DataFrame:
-        return listing_rules.placed(notes(spark, d).where("trashed_at is null"), key, ascending, 200)
+        return listing_rules.placed(notes(spark, d).where("trashed_at is null"), key, ascending)
 
     run.__name__ = f"listing_by_{key}_{way.lower()}"
     query(sql)(run)
@@ -306,7 +306,7 @@ def tag_extract(spark, d):
     return notes(spark, d).select("note_id", F.sort_array(links.extract_tags(F.col("body"))).alias("tags"))
 
 
-@query(f"WITH {sq.DOC_NOTES} SELECT note_id, trim(t) AS target, {sq.key('t')} AS key, trim(t) AS label FROM (SELECT note_id, unnest(regexp_extract_all({sq.CLEAN}, '\\[\\[([^\\]|\\n]+)(?:\\|([^\\]\\n]*))?\\]\\]', 1)) AS t FROM notes)")
+@query(f"WITH {sq.DOC_NOTES} SELECT note_id, trim(t) AS target, {sq.key('t')} AS key, trim(t) AS label, (instr(body, '[[' || t || ']]') - 1)::INT AS \"start\", (instr(body, '[[' || t || ']]') + length(t) + 3)::INT AS \"end\" FROM (SELECT note_id, body, unnest(regexp_extract_all({sq.CLEAN}, '\\[\\[([^\\]|\\n]+)(?:\\|([^\\]\\n]*))?\\]\\]', 1)) AS t FROM notes)")
 def link_extract(spark, d):
     return notes(spark, d).select("note_id", F.explode(links.extract_links(F.col("body"))).alias("l")).select("note_id", "l.*")
 
@@ -459,6 +459,16 @@ def history_compact(spark, d):
     return history.compact(conversation_versions(spark, d), 3).select("note_id", "rev", "at")
 
 
+@query(
+    f"WITH {_VERSIONS}, n AS (SELECT note_id, max(rev) AS top FROM v GROUP BY note_id) "
+    "SELECT note_id, rev, \"at\" FROM v JOIN n USING (note_id) QUALIFY top % 2 <> 0 OR row_number() OVER (PARTITION BY note_id ORDER BY rev DESC, \"at\" DESC) <= 3"
+)
+def history_compact_due(spark, d):
+    """Logs cut only where the note's revision is due, here every second."""
+    log = conversation_versions(spark, d)
+    return history.compact_due(log, history.latest(log), 2, 3).select("note_id", "rev", "at")
+
+
 @query(f"WITH {_VERSIONS} SELECT note_id, title, body, \"at\" AS created_at, \"at\" AS updated_at, false AS pinned, rev FROM v QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY rev DESC, \"at\" DESC) = 1")
 def recover_latest(spark, d):
     return history.recover(conversation_versions(spark, d)).select("note_id", "title", "body", "created_at", "updated_at", "pinned", "rev")
@@ -470,7 +480,8 @@ def version_log_roundtrip(spark, d):
     v = conversation_versions(spark, d)
     lines = nt.encode_versions(v).withColumn("ord", F.lit(0))
     torn = lines.withColumn("line", F.expr("substring(line, 1, length(line) - 5)"))
-    odd = lines.withColumn("line", F.lit('{"rev": "x", "body": 1}')).unionByName(lines.withColumn("line", F.lit("  ")))
+    foreign = ['{"rev": "x", "body": 1}', '{"rev": 1, "body": 7}', '{"rev": 1, "body": {"a": 1}}', '{"rev": "3", "body": "b"}', '{"rev": 2}', '[1]', "  "]
+    odd = lines.withColumn("line", F.explode(F.array(*[F.lit(x) for x in foreign])))
     return nt.decode_versions(lines.unionByName(torn).unionByName(odd)).drop("ord")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as tx
 from quillstack.operators.links import extract_link_keys, extract_tags
-from quillstack.schema import HISTORY_KEPT, RETENTION_MS
+from quillstack.schema import COMPACT_EVERY, HISTORY_KEPT, RETENTION_MS
 
 EXPORT_RULE = "\n\n---\n\n"
 
@@ -37,6 +37,12 @@ def compact(versions: DataFrame, kept: int = HISTORY_KEPT) -> DataFrame:
     return versions.withColumn("_i", place).where(F.col("_i") <= kept).drop("_i")
 
 
+def compact_due(versions: DataFrame, notes: DataFrame, every: int = COMPACT_EVERY, kept: int = HISTORY_KEPT) -> DataFrame:
+    """``versions`` with the logs of the notes cut to the newest ``kept`` whose revision is a multiple of ``every``; those of the others as they are."""
+    due = notes.where(F.col("rev") % every == 0).select("note_id").distinct()
+    return compact(versions.join(due, "note_id", "left_semi"), kept).unionByName(versions.join(due, "note_id", "left_anti"))
+
+
 def latest(versions: DataFrame) -> DataFrame:
     """The newest version of each note."""
     cols = [c for c in versions.columns if c != "note_id"]

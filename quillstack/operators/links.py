@@ -13,10 +13,16 @@ WIKILINK = r"\[\[([^\]|\n]+)(?:\|([^\]\n]*))?\]\]"
 GRAPH_NODES, INVITATIONS = 90, 24
 
 
+def blanked(body: Column, pattern: str) -> Column:
+    """The text with every match turned into as many blanks."""
+    gaps, found = F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit("")))), "")
+
+
 def without_code(body: Column) -> Column:
-    """Fenced and inline code turned into one blank; enough where offsets don't matter."""
-    fenced = F.regexp_replace(body, r"(?s)```.*?(?:```|\z)", " ")
-    return F.regexp_replace(fenced, r"`[^`\n]*`", " ")
+    """Fenced and inline code turned into blanks, so that offsets stay."""
+    fenced = tx.let(blanked(body, r"(?s)```.*?(?:```|\z)"), lambda t: blanked(t, r"`[^`\n]*`"))
+    return F.when(F.contains(body, F.lit("`")), fenced).otherwise(body)
 
 
 def extract_tags(body: Column) -> Column:
@@ -26,21 +32,29 @@ def extract_tags(body: Column) -> Column:
     return F.array_distinct(F.filter(tags, lambda t: t != ""))
 
 
-def extract_links(body: Column) -> Column:
-    """target, key and label of each wikilink, in order."""
-    clean = without_code(body)
-    pairs = F.arrays_zip(F.regexp_extract_all(clean, F.lit(WIKILINK), F.lit(1)).alias("t"), F.regexp_extract_all(clean, F.lit(WIKILINK), F.lit(2)).alias("l"))
-    kept = F.filter(pairs, lambda p: tx.trim(p["t"]) != "")
+def _links(clean: Column) -> Column:
+    """target, key, label, start and end of each match of WIKILINK in a text without code."""
+    of = lambda group: F.regexp_extract_all(clean, F.lit(WIKILINK), F.lit(group))
+    gaps, sizes = (F.transform(x, F.length) for x in (F.split(clean, WIKILINK, -1), of(0)))
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + y)
 
-    def link(p: Column) -> Column:
+    def link(p: Column, i: Column) -> Column:
         target, label = tx.trim(p["t"]), tx.trim(F.coalesce(p["l"], F.lit("")))
-        return F.struct(target.alias("target"), tx.link_key(target).alias("key"), F.when(label == "", target).otherwise(label).alias("label"))
+        start = total(gaps, i + 1) + total(sizes, i)
+        return F.struct(target.alias("target"), tx.link_key(target).alias("key"), F.when(label == "", target).otherwise(label).alias("label"), start.alias("start"), (start + F.element_at(sizes, i + 1)).alias("end"))
 
-    return F.transform(kept, link)
+    return F.filter(F.transform(F.arrays_zip(of(1).alias("t"), of(2).alias("l")), link), lambda x: x["target"] != "")
+
+
+def extract_links(body: Column) -> Column:
+    """target, key, label, start and end of each wikilink outside code, in order."""
+    return tx.let(without_code(body), _links)
 
 
 def extract_link_keys(body: Column) -> Column:
-    return F.array_distinct(F.transform(extract_links(body), lambda x: x["key"]))
+    """Distinct keys, in order of appearance."""
+    targets = F.transform(F.regexp_extract_all(without_code(body), F.lit(WIKILINK), F.lit(1)), tx.trim)
+    return F.array_distinct(F.transform(F.filter(targets, lambda t: t != ""), tx.link_key))
 
 
 def title_keys(notes: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +75,16 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode_versions(lines: DataFrame) -> DataFrame:
-    """Versions from rows (note_id, line, ord) of JSON; torn and foreign lines are dropped."""
-    v = F.from_json("line", "rev double, at double, title string, body string", {"mode": "PERMISSIVE"})
-    rows = lines.withColumn("v", v).where("v.rev is not null and v.body is not null")
-    return rows.select("note_id", F.col("v.rev").cast("int").alias("rev"), F.col("v.at").cast("bigint").alias("at"), F.coalesce("v.title", F.lit("")).alias("title"), F.col("v.body").alias("body"), "ord")
+    """Versions from rows (note_id, line, ord) of JSON; torn lines and those whose rev is no number or whose body is no string are dropped."""
+    field = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
+    is_text = lambda name: F.coalesce(F.schema_of_variant(field(name)) == "STRING", F.lit(False))
+    is_number = lambda name: F.coalesce(F.schema_of_variant(field(name)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    rows = lines.withColumn("v", F.try_parse_json("line")).where(is_number("rev") & is_text("body"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    return rows.select(
+        "note_id", get("rev", "double").cast("int").alias("rev"), F.when(is_number("at"), get("at", "double")).cast("bigint").alias("at"),
+        F.when(is_text("title"), get("title", "string")).otherwise("").alias("title"), get("body", "string").alias("body"), "ord",
+    )
 
 
 def encode_versions(versions: DataFrame) -> DataFrame:
@@ -89,7 +100,7 @@ def read_version_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load(files: DataFrame, versions: DataFrame, now: int) -> DataFrame:
-    """Notes with a status: ok, recovered (from the newest version), unreadable or purged (too long in the trash).
+    """Notes with a status: ok, recovered (from the newest version), unreadable or purged (too long in the trash); latest update first.
 
     Blank and unreadable files (raw null) are the ones recovered; a note without a file isn't.
     """
@@ -100,12 +111,32 @@ def load(files: DataFrame, versions: DataFrame, now: int) -> DataFrame:
     back = recover(versions.join(lost, "note_id", "left_semi"))
     out = good.unionByName(back.withColumn("status", F.lit("recovered")))
     dead = lost.join(back.select("note_id"), "note_id", "left_anti")
-    return out.unionByName(dead.withColumn("status", F.lit("unreadable")), allowMissingColumns=True)
+    every = out.unionByName(dead.withColumn("status", F.lit("unreadable")), allowMissingColumns=True)
+    return every.orderBy(F.desc_nulls_last("updated_at"), "note_id")
+
+
+def write_files(notes: DataFrame, folder: str) -> int:
+    """A file <note_id>.md for each note, as ``read_files`` reads them; how many were written.
+
+    Tasks write to a name of their own and rename, so that a reader or a crash meets whole files only, and a
+    task that runs again writes the same ones. ``folder`` is a path or URI that pyarrow's file systems know.
+    For a large collection prefer ``save``: a file for each note costs a store more than its bytes.
+    """
 
+    def work(batches):
+        store, root = pa_fs.FileSystem.from_uri(folder) if "://" in folder else (pa_fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for note_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = f"{root}/{quote(note_id, safe=' ')}.md"
+                part = f"{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode())
+                store.move(part, name)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["n"])
 
-def write_files(notes: DataFrame, folder: str) -> None:
-    """A folder for each note with its file as a text part, written through Spark's commit protocol."""
-    notes.select("note_id", serialize().alias("value")).write.mode("overwrite").partitionBy("note_id").text(folder)
+    made = notes.select("note_id", serialize().alias("value")).mapInArrow(work, "n long")
+    return made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def append_versions(versions: DataFrame, path: str) -> None:
@@ -113,10 +144,33 @@ def append_versions(versions: DataFrame, path: str) -> None:
     versions.select([f.name for f in VERSION.fields]).write.mode("append").parquet(path)
 
 
+def _snapshots(spark: SparkSession, table: str) -> tuple[list[int], object, object]:
+    """Numbers of the complete snapshots in order, the store and the class of its paths."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    store = path_of(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path_of(table))] if store.exists(path_of(table)) else []
+    done = [n for n in names if n.startswith("snapshot=") and store.exists(path_of(f"{table}/{n}/_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in done), store, path_of
+
+
+def saved(spark: SparkSession, table: str) -> DataFrame | None:
+    """The notes of the last complete save, None before the first."""
+    numbers, _, _ = _snapshots(spark, table)
+    return spark.read.parquet(f"{table}/snapshot={numbers[-1]:012d}") if numbers else None
+
+
 def save(notes: DataFrame, table: str, log: str) -> None:
-    """The log first, then the snapshot, so that a crash between the two loses nothing."""
+    """The log first, then a snapshot in a folder of its own, which counts once Spark has committed it.
+
+    So a crash at any point leaves the last save whole, and notes read from ``saved`` may be saved again. The
+    save before the last stays for those who still read it; older ones go.
+    """
+    spark = notes.sparkSession
     append_versions(notes.select("note_id", "rev", F.col("updated_at").alias("at"), "title", "body"), log)
-    notes.write.mode("overwrite").parquet(table)
+    numbers, store, path_of = _snapshots(spark, table)
+    notes.write.mode("overwrite").parquet(f"{table}/snapshot={(numbers[-1] + 1 if numbers else 0):012d}")
+    for old in numbers[:-1]:
+        store.delete(path_of(f"{table}/snapshot={old:012d}"), True)
 
 
 def check_listing(rows: DataFrame, limits: dict[str, int], no_price: tuple[str, ...] = ()) -> DataFrame:

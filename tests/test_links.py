@@ -28,6 +28,9 @@ def test_wikilinks(spark):
     found = one(spark, "[[ A  b ]] [[C|see]] [[ ]] [[D| ]] [[x\ny]] `[[no]]` [[É]] [[a B]]", links.extract_links)
     assert [(x["target"], x["key"], x["label"]) for x in found] == [("A  b", "a b", "A  b"), ("C", "c", "see"), ("D", "d", "D"), ("É", "e", "É"), ("a B", "a b", "a B")]
     assert one(spark, "[[A]] [[a]] [[B]]", links.extract_link_keys) == ["a", "b"]
+    body = "é `code [[no]]` [[ A  b ]] ```\n[[no]]\n``` [[C|see]] [[ ]]x[[É]]"
+    assert [body[x["start"] : x["end"]] for x in one(spark, body, links.extract_links)] == ["[[ A  b ]]", "[[C|see]]", "[[É]]"]
+    assert one(spark, body, links.without_code) == "é " + " " * 13 + body[15:27] + " " * 14 + body[41:]
 
 
 GRAPH = [("1", "Alpha", "[[Beta]] [[beta]] [[Nowhere]] [[Alpha]]", 50, None), ("2", "Beta", "[[Alpha]] [[Gone]]", 40, None), ("3", "beta", "[[Gamma]]", 30, None), ("4", "Gamma", "alone", 20, None), ("5", "Gone", "[[Alpha]]", 10, 1), ("6", "Solo", "[[NOWHERE]]", 5, None)]

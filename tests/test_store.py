@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstack.operators import history
 from quillstack.operators.index import postings
-from quillstack.schema import NOTE, empty_note, new_id
+from quillstack.schema import NOTE, VERSION, empty_note, new_id
 from quillstack.sources import notes as nt
 from quillstack.streaming import edits as st
 
@@ -53,10 +53,47 @@ def test_files_and_logs_on_disk(spark, tmp_path):
     rows = {r["note_id"]: r for r in nt.load(nt.read_files(spark, str(tmp_path / "n")), log, 40 * DAY).collect()}
     assert {k: r["status"] for k, r in rows.items()} == {"good": "ok", "blank": "recovered", "lost": "unreadable", "old": "purged"}
     assert rows["blank"]["body"] == "two #x" and rows["blank"]["tags"] == ["x"] and rows["blank"]["created_at"] == 9 and rows["blank"]["rev"] == 2
-    nt.save(frame(spark, note("a", body="b")), str(tmp_path / "t"), str(tmp_path / "l"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == spark.read.parquet(str(tmp_path / "l")).count() == 1
-    nt.write_files(frame(spark, note("a", body="b")), str(tmp_path / "w"))
-    assert "id: a" in spark.read.text(str(tmp_path / "w"), wholetext=True).first()["value"]
+
+
+def test_notes_written_as_files_are_read_again(spark, tmp_path):
+    rows = [note("a", title="A", body="one\n#x/y [[b]]"), note("b b", body="", pinned=True), note("c", body="---\nid: z\n---\n", trashed_at=5)]
+    folder = str(tmp_path / "w")
+    for _ in range(2):  # written again, they take the place of the first ones
+        assert nt.write_files(frame(spark, *rows), folder) == 3
+    assert sorted(p.name for p in (tmp_path / "w").iterdir()) == ["a.md", "b b.md", "c.md"]
+    back = {r["note_id"]: r for r in nt.load(nt.read_files(spark, folder), spark.createDataFrame([], VERSION), 40).collect()}
+    assert set(back) == {"a", "b b", "c"} and all(back[r["note_id"]][k] == r[k] for r in rows for k in ("title", "body", "pinned", "trashed_at", "rev", "updated_at"))
+
+
+def test_load_is_ordered_by_update(spark):
+    files = spark.createDataFrame([(i, f"---\nid: {i}\nupdated: {u}\n---\nx") for i, u in (("a", 5), ("b", 9), ("c", 5), ("d", 1))], "file_id string, raw string")
+    assert [r["note_id"] for r in nt.load(files, spark.createDataFrame([], VERSION), 10).collect()] == ["b", "a", "c", "d"]
+
+
+def test_save_over_its_own_table(spark, tmp_path):
+    table, log = str(tmp_path / "t"), str(tmp_path / "l")
+    assert nt.saved(spark, table) is None
+    nt.save(frame(spark, note("a", body="b")), table, log)
+    for k in range(3):
+        edits = spark.createDataFrame([("a", f"edit {k}")], "note_id string, body string")
+        nt.save(history.apply_edits(nt.saved(spark, table), edits, 100 + k), table, log)
+    (tmp_path / "t/snapshot=000000000009").mkdir()  # a save that never was committed
+    assert [(r["body"], r["rev"]) for r in nt.saved(spark, table).collect()] == [("edit 2", 4)]
+    assert {r["rev"] for r in spark.read.parquet(log).collect()} == {1, 2, 3, 4}
+    assert len([p for p in (tmp_path / "t").iterdir() if (p / "_SUCCESS").exists()]) == 2
+
+
+def test_foreign_version_lines_are_dropped(spark):
+    lines = ['{"rev":1,"at":5,"title":"t","body":"one"}', '{"rev":2,"body":7}', '{"rev":3,"body":{"a":1}}', '{"rev":"4","body":"x"}', '{"rev":5,"at":"soon","title":6,"body":"five"}', '{"rev":6,"body":"six","mo', '[{"rev":7,"body":"x"}]']
+    rows = nt.decode_versions(spark.createDataFrame([("n", x, i) for i, x in enumerate(lines)], "note_id string, line string, ord int")).collect()
+    assert [(r["rev"], r["at"], r["title"], r["body"]) for r in rows] == [(1, 5, "t", "one"), (5, None, "", "five")]
+
+
+def test_logs_are_cut_when_due(spark):
+    log = spark.createDataFrame([(n, r, r, "t", "b") for n in ("a", "b") for r in range(1, 60)], "note_id string, rev int, at long, title string, body string")
+    notes = frame(spark, note("a", rev=75), note("b", rev=76))
+    kept = {n: {r["rev"] for r in history.compact_due(log, notes).where(f"note_id = '{n}'").collect()} for n in ("a", "b")}
+    assert kept == {"a": set(range(10, 60)), "b": set(range(1, 60))}
 
 
 def test_versions(spark):
