@@ -123,18 +123,28 @@ def build_lexicon(counts: list[tuple[bytes, int]], total: int) -> tuple[Lexicon,
     return lexicon, prior, inside
 
 
-def _exp(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """In place: exponentials of the rows up to a factor. With it the rows' sums, and of each row the logarithm of the share of column ``at``."""
-    z -= z.max(axis=1, keepdims=True)
+#: Logits of a smaller size than this have exponentials and sums of them that 32 bits hold.
+_SAFE = 60.0
+
+
+def _exp(z: np.ndarray, at: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In place: exponentials of the rows up to a factor. With it the rows' sums, and of each row the logarithm of the share of column ``at``. bound: no logit is larger in size."""
+    if bound > _SAFE:
+        z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    sums = z.sum(axis=1)
+    sums = z @ np.ones(z.shape[1], z.dtype)
     return z, sums, own - np.log(sums)
 
 
-def _errors(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _bound(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest size of h @ w + b for any h within -1 and 1; of each matrix if there are several."""
+    return (np.abs(w).sum(axis=-2) + np.abs(b)).max(axis=-1)
+
+
+def _errors(z: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
     """In place: probabilities of the rows, less 1 in column ``at``."""
-    z, sums, _ = _exp(z, at)
+    z, sums, _ = _exp(z, at, bound)
     z /= sums[:, None]
     z[np.arange(len(z)), at] -= 1
     return z
@@ -178,46 +188,51 @@ class Network:
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _by_group(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each group that occurs, with the places of its tokens."""
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            if ends[g + 1] > ends[g]:
-                yield g, order[ends[g] : ends[g + 1]]
+    def _by_class(windows: np.ndarray, classes: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """The order of the classes, the three in it, and each group that occurs with its stretch."""
+        order = np.argsort(classes.astype(np.uint8), kind="stable")  # 8 bits sort faster
+        classes = classes[order]
+        ends = np.searchsorted(classes, np.arange(GROUPS + 1)).tolist()
+        return order, windows[order], classes, members[order], [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g + 1] > ends[g]]
 
     def log_probs(self, windows: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Of the classes, and in groups of the members too."""
+        order, windows, classes, members, groups = self._by_class(windows, classes, members)
         h = self.hidden(windows)
-        out = _exp(h @ self.out + self.prior, classes)[2].astype(float)
-        for g, at in self._by_group(classes):
-            out[at] += _exp(h[at] @ self.inner[g] + self.inside[g], members[at])[2]
+        got = _exp(h @ self.out + self.prior, classes, _bound(self.out, self.prior))[2].astype(float)
+        bounds = _bound(self.inner, self.inside)
+        for g, at in groups:
+            got[at] += _exp(h[at] @ self.inner[g] + self.inside[g], members[at], bounds[g])[2]
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def step(self, windows: np.ndarray, classes: np.ndarray, members: np.ndarray, rate: float) -> None:
+        _, windows, classes, members, groups = self._by_class(windows, classes, members)
         h, n = self.hidden(windows), len(classes)
-        p = _errors(h @ self.out + self.prior, classes)
+        p = _errors(h @ self.out + self.prior, classes, _bound(self.out, self.prior))
         back = p @ self.out.T
-        for g, at in self._by_group(classes):
+        bounds = _bound(self.inner, self.inside)
+        for g, at in groups:
             x = h[at]
-            q = _errors(x @ self.inner[g] + self.inside[g], members[at])
+            q = _errors(x @ self.inner[g] + self.inside[g], members[at], bounds[g])
             back[at] += q @ self.inner[g].T
-            by = np.float32(rate / max(len(at), 32))
+            by = np.float32(rate / max(len(x), 32))
             self.inner[g] -= by * (x.T @ q)
-            self.inside[g] -= by * q.sum(axis=0)
+            self.inside[g] -= by * (np.ones(len(x), np.float32) @ q)
+        all_rows = np.ones(n, np.float32)
         self.out -= np.float32(rate / n) * (h.T @ p)
-        self.prior -= np.float32(rate / n) * p.sum(axis=0)
+        self.prior -= np.float32(rate / n) * (all_rows @ p)
         back *= 1 - h * h
-        self.bias -= np.float32(rate / n) * back.sum(axis=0)
+        self.bias -= np.float32(rate / n) * (all_rows @ back)
         # Each row moves by its own windows' sum over the root of their number, so that rare tokens move as frequent ones do; all offsets in one sort.
         keys = (windows + np.arange(len(OFFSETS)) * ROWS).astype(np.uint16).ravel()  # 16 bits sort faster
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sums = np.cumsum(back.take(order // len(OFFSETS), axis=0), axis=0, dtype=float)[np.append(first[1:], len(keys)) - 1]
-        sums[1:] -= sums[:-1].copy()
-        by = rate / np.sqrt(np.diff(np.append(first, len(keys))))
-        self.embed.reshape(-1, WIDTH)[keys[first]] -= (by[:, None] * sums).astype(np.float32)
+        sums = np.add.reduceat(back.take(order // len(OFFSETS), axis=0), first, axis=0)
+        by = (rate / np.sqrt(np.diff(np.append(first, len(keys))))).astype(np.float32)
+        self.embed.reshape(-1, WIDTH)[keys[first]] -= by[:, None] * sums
 
 
 def score_texts(texts: list[str], lexicon: Lexicon, net: Network) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
