@@ -15,6 +15,7 @@ from quillstack.operators import index as ix
 from quillstack.operators.layout import layout_graph
 from quillstack.plans import search as se
 from quillstack.plans.query import parse
+from quillstack.scratch import new_folder, stamp
 from quillstack.sources import notes as nt
 from quillstack.sources.samples import BASE_MS, HOUR_MS, NOW_MS, conversation_versions, document_notes, event_edits, table
 from quillstack.sources.settings import merge_settings
@@ -40,9 +41,18 @@ def query(oracle: str | None = None):
 notes = document_notes
 
 
-def built(n: DataFrame) -> ix.Index:
-    """The index of some notes, kept for the many branches of a search plan."""
-    return ix.build_index(n).cache()
+#: Where the indexes lie that this process has stored, by session, table and the state of its files.
+_STORED: dict[tuple, str] = {}
+
+
+def built(spark, d) -> ix.Index:
+    """The stored index of the notes of a folder, made at the first call and anew once the table has changed."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/documents.parquet"))
+    if key not in _STORED:
+        path = new_folder(spark, "index")
+        ix.store_index(notes(spark, d), path)
+        _STORED[key] = path
+    return ix.Index.read(spark, _STORED[key])
 
 
 # ---- text ----------------------------------------------------------------------------------------
@@ -243,7 +253,7 @@ def _search(name: str):
 
     def run(spark, d) -> DataFrame:
         n = notes(spark, d)
-        rows = se.search(built(n), n, texts, NOW_MS, LIMIT)
+        rows = se.search(built(spark, d), n, texts, NOW_MS, LIMIT)
         return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
 
     run.__name__ = f"search_{name}"
@@ -257,7 +267,7 @@ for _name in SEARCHES:
 @query(sq.ranked([("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive"))
 def search_scope_override(spark, d):
     n = notes(spark, d)
-    rows = se.search(built(n), n, [("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive")
+    rows = se.search(built(spark, d), n, [("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive")
     return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
 
 
@@ -267,7 +277,7 @@ LISTED = [("all", ""), ("todo", "is:todo"), ("tag", "tag:en"), ("both", "is:done
 @query(sq.listed(LISTED, NOW_MS, 50))
 def listing_filtered(spark, d):
     n = notes(spark, d)
-    return se.search(built(n), n, LISTED, NOW_MS, 50).select("query_id", "place", "note_id")
+    return se.search(built(spark, d), n, LISTED, NOW_MS, 50).select("query_id", "place", "note_id")
 
 
 def _sorted(key: str, ascending: bool):
@@ -290,7 +300,7 @@ for _key, _asc in (("updated", False), ("created", True), ("title", True), ("tit
 def search_excerpts(spark, d):
     """Snippets with their highlights for ranked and listed queries."""
     n = notes(spark, d)
-    return se.search(built(n), n, [("a", "the that"), ("b", "open"), ("c", "is:pinned")], NOW_MS, LIMIT, excerpts=True)
+    return se.search(built(spark, d), n, [("a", "the that"), ("b", "open"), ("c", "is:pinned")], NOW_MS, LIMIT, excerpts=True)
 
 
 @query()

@@ -88,19 +88,28 @@ BOUNDARIES = [r"([a-z])([A-Z])", r"([A-Z])([A-Z][a-z])", r"([0-9])([^0-9 ])", r"
 HAS_BOUNDARY = r"[a-z][A-Z]|[A-Z][A-Z][a-z]|[0-9_'’]"
 
 
-def compound_parts(word: Column) -> Column:
-    """Parts of a word at camel-case, acronym and digit edges and at _ ' ’; empty unless there are several."""
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _split(word: Column) -> Column:
     w = F.regexp_replace(word, r"[_'’]", " ")
     for b in BOUNDARIES:
         w = F.regexp_replace(w, b, "$1 $2")
-    parts = F.filter(F.split(w, " "), lambda x: x != "")
+    return F.filter(F.split(w, " "), lambda x: x != "")
+
+
+def compound_parts(word: Column) -> Column:
+    """Parts of a word at camel-case, acronym and digit edges and at _ ' ’; empty unless there are several."""
     none = F.array().cast("array<string>")
-    return F.when(word.rlike(HAS_BOUNDARY), F.when(F.size(parts) > 1, parts).otherwise(none)).otherwise(none)
+    return F.when(word.rlike(HAS_BOUNDARY), let(_split(word), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(none))).otherwise(none)
 
 
-def let(x: Column, f) -> Column:
-    """f(x) with x evaluated once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
+def with_parts(word: Column) -> Column:
+    """The word, followed by its compound parts. Most words have no boundary and cost one look for it."""
+    alone = F.array(word)
+    return F.when(word.rlike(HAS_BOUNDARY), let(_split(word), lambda parts: F.when(F.size(parts) > 1, F.concat(alone, parts)).otherwise(alone))).otherwise(alone)
 
 
 def _ends(s: Column, *tails: str) -> Column:

@@ -25,8 +25,8 @@ class Index:
         return Index(*(x.cache() for x in (self.postings, self.docs, self.vocab, self.stats)))
 
     def write(self, path: str) -> None:
-        """Parquet, postings in order of term, so that row groups can be skipped by term."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Parquet, each file of postings in order of term, so that row groups can be skipped by term."""
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         for name in ("docs", "vocab", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -46,7 +46,7 @@ def tokens(notes: DataFrame) -> DataFrame:
 
     def terms(rows: DataFrame, fold) -> DataFrame:
         words = rows.select("note_id", "field", F.explode(tx.raw_words(F.col("text"))).alias("w")).where("w <> ''")
-        whole = words.select("note_id", "field", F.explode(F.concat(F.array("w"), tx.compound_parts(F.col("w")))).alias("raw"))
+        whole = words.select("note_id", "field", F.explode(tx.with_parts(F.col("w"))).alias("raw"))
         return whole.select("note_id", "field", fold(F.col("raw")).alias("term")).where("term <> ''")
 
     # The few texts with letters that fold into several go through Python; nothing else does.
@@ -86,6 +86,20 @@ def build_index(notes: DataFrame) -> Index:
     return Index(post, docs, vocabulary(post), averages(docs))
 
 
+def store_index(notes: DataFrame, path: str) -> Index:
+    """``build_index``, written table by table: each is made from those already written, so texts are tokenised
+    once, and plans over the result start from files."""
+    spark = notes.sparkSession
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    post = put(postings(notes).sortWithinPartitions("term"), "postings")
+    docs = put(documents(notes, post), "docs")
+    return Index(post, docs, put(vocabulary(post), "vocab"), put(averages(docs), "stats"))
+
+
 def upsert(index: Index, notes: DataFrame, changed: DataFrame) -> Index:
     """The index after ``changed`` rows replaced those of the same id. notes: all notes after the change.
 
