@@ -126,3 +126,11 @@ def test_coverage_counts_more_terms_than_a_long_has_bits(spark):
     found = {r["query_id"]: r["score"] for r in search(index, notes, [("all", " ".join(words)), ("most", " ".join([*words, "yyyyyyyyyy"]))], NOW).collect()}
     full = 70 * math.log(4 / 3) / 2.35 * 1.28
     assert found["all"] == pytest.approx(full) and found["most"] == pytest.approx(full * (0.35 + 0.65 * (70 / 71) ** 1.6))
+
+
+def test_a_stored_index_is_the_built_one(library, tmp_path):
+    notes = library.notes
+    kept, read = ix.build_index(notes), ix.store_index(notes, f"{tmp_path}/index")
+    for name in ("postings", "docs", "vocab", "stats"):
+        a, b = getattr(kept, name), getattr(read, name).select(getattr(kept, name).columns)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
