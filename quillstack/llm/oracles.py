@@ -115,4 +115,45 @@ FROM d LEFT JOIN g USING (row)
 """
 
 
-ORACLES = {"op2_exact_topk": _OP2, "op3_stratified_sharding": _OP3, "op4_exact_dedup": _OP4, "op6_source_mixing": _op6(), "op7_secret_scan": _op7()}
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v))::BIGINT AS q
+  FROM totals g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def _op13() -> str:
+    """The rounds one after the other, every vector against every centroid."""
+    square = "list_sum(list_transform(list_zip(r.v, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    floored = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    steps = []
+    for i in range(4):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r.row, min({{'d': {square}, 'c': c.c}}) AS best FROM r CROSS JOIN c{i} c GROUP BY r.row)")
+        if i < 3:
+            steps.append(
+                f"s{i} AS MATERIALIZED (SELECT c, list({floored} ORDER BY i) AS m FROM (SELECT best.c AS c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT best, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{i} JOIN r USING (row)) GROUP BY ALL) GROUP BY c),\n"
+                f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(s{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN s{i} USING (c))"
+            )
+    return f"""
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INT AS c, v AS m FROM r QUALIFY c < 16),
+{", ".join(steps)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN r USING (row) JOIN c3 ON c3.c = best.c
+"""
+
+
+ORACLES = {"op2_exact_topk": _OP2, "op3_stratified_sharding": _OP3, "op4_exact_dedup": _OP4, "op6_source_mixing": _op6(), "op7_secret_scan": _op7(), "op11_source_divergence": _OP11, "op13_ball_kmeans": _op13()}

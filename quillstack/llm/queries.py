@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm import byte_bpe, exact_dedup, licenses, lm_scoring, mixing, quality, secrets, sharding, simhash, topk
+from quillstack.llm import ball_kmeans, byte_bpe, divergence, exact_dedup, licenses, lm_scoring, mixing, packing, quality, secrets, sharding, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +56,20 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_topk, op3_stratified_sharding, op4_exact_dedup, op5_license_scan, op6_source_mixing, op7_secret_scan, op8_byte_bpe, op9_simhash_dedup, op10_lm_scoring)}
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ball_kmeans(spark, sf_dir):
+    return ball_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_quality_classifier, op2_exact_topk, op3_stratified_sharding, op4_exact_dedup, op5_license_scan, op6_source_mixing, op7_secret_scan, op8_byte_bpe, op9_simhash_dedup, op10_lm_scoring,
+    op11_source_divergence, op12_best_fit_packing, op13_ball_kmeans,
+)
+QUERIES = {f.__name__: f for f in _ALL}
