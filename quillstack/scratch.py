@@ -40,13 +40,31 @@ def stamp(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
 
 
+def remove_folder(path: str) -> None:
+    """Removes a folder that ``new_folder`` named, however its path is written."""
+    for i, (spark, known) in enumerate(_WRITTEN):
+        if path.rsplit("/", 1)[-1] == known.rsplit("/", 1)[-1]:
+            _delete(spark, known)
+            del _WRITTEN[i]
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @atexit.register
 def clear_scratch() -> None:
     """Remove every folder named so far. Safe to call once results have been written."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session is gone, and nothing reads the folder any more
             return
