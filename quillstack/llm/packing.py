@@ -15,11 +15,12 @@ by length, so a third of them may have the same one.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.llm.arrow_text import slices
 from quillstack.llm.common import empty_text, materialize
 
 #: Tokens of a sequence; the id that ends each document.
 CAPACITY, END = 2048, 0
-#: Bytes of text encoded at a time: the tokenizer's own objects are many times as large. A longer text goes alone.
-ENCODED_BYTES = 1 << 20
 
 Contents = tuple[tuple[int, int], ...]  # (length, copies), in the order in which they stand
 
@@ -173,18 +173,42 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 # ---- documents -----------------------------------------------------------------------------------
 
 
-def _portions(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in lists of about ENCODED_BYTES characters at most."""
-    some, size = [], 0
-    for t in texts:
-        text = t.as_py()
-        if some and size + len(text) > ENCODED_BYTES:
-            yield some
-            some, size = [], 0
-        some.append(text)
-        size += len(text)
-    if some:
-        yield some
+# How byte-level BPE in this format divides a text.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The letter that stands for each byte in such a vocabulary: itself if it can be printed, else one beyond U+00FF."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in printed]
+    return {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
+    """A function that encodes a text with the tokenizer in this file, one for all tasks of a worker.
+
+    A plain byte-level BPE whose merges are in the order of their ids is a table of ranks. It is encoded by
+    these, in a third of the time and a fraction of the memory, to the same ids; any other by the tokenizer.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        raw = json.load(f)
+    model, ids = raw["model"], raw["model"].get("vocab", {})
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = raw["normalizer"] is None and {k: v for k, v in (raw["pre_tokenizer"] or {}).items() if k in pre} == pre and model["type"] == "BPE"
+    if plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+        if all(ids[m] == 256 + i for i, m in enumerate(merged)):
+            import tiktoken
+
+            letters, special = _bytes_of_letters(), {t["content"] for t in raw["added_tokens"]}
+            ranks = {bytes(letters[c] for c in t): i for t, i in ids.items() if t not in special}
+            return tiktoken.Encoding("packing", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -198,31 +222,21 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bo
     types = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        task, seen = TaskContext.get().partitionId(), Counter()
-        for b in batches:
-            at = 0
-            for some in _portions(b.column(1)):
+        encode, task, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            for b in slices(batch, 1):
                 rows: dict[str, list] = {c: [] for c in kinds}
                 of = []
-                for i, e in enumerate(tokenizer.encode_batch_fast(some, add_special_tokens=False), at):
-                    ids = np.array([*e.ids, END], dtype="<u4")
-                    ends = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
-                    for piece, end in enumerate(ends):
-                        start = max(0, end - capacity) if piece else 0
+                for i, text in enumerate(b.column(1)):
+                    ids = np.append(encode(text.as_py()), END).astype("<u4")
+                    for piece, end in enumerate(range(len(ids) % capacity or capacity, len(ids) + 1, capacity)):
+                        start = max(0, end - capacity)
                         part = ids[start:end]
                         of.append(i)
-                        found = {"piece": piece, "start": start, "length": end - start, "ids_crc32": zlib.crc32(part.tobytes()), "task": task, "nth": seen[end - start]}
+                        found = (piece, start, end - start, zlib.crc32(part.tobytes()), task, seen[end - start], *([part.astype(np.int32)] if with_ids else []))
                         seen[end - start] += 1
-                        for c, v in found.items():
+                        for c, v in zip(kinds, found, strict=True):
                             rows[c].append(v)
-                        if with_ids:
-                            rows["ids"].append(part.astype(np.int32))
-                at += len(some)
                 cols = [b.column(0).take(pa.array(of, type=pa.int64()))] + [pa.array(rows[c], type=types[k]) for c, k in kinds.items()]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *kinds])
 

@@ -1,6 +1,7 @@
 """Source divergence, packing and ball k-means against brute force, on awkward rows and with small parameters."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -175,8 +176,24 @@ def test_packing_of_awkward_rows(spark, docs, cluttered, capacity):
     assert n <= -(-total // capacity) * 1.1 + 1
 
 
-def test_sequences_hold_the_ids_and_special_strings_are_text(spark, empty, monkeypatch):
-    monkeypatch.setattr(packing, "ENCODED_BYTES", 50)
+def test_ranks_give_the_ids_of_the_tokenizer(tmp_path):
+    tokenizer = Tokenizer.from_file(VOCAB)
+    tokenizer.encode_special_tokens = True
+    encode = packing.encoder(VOCAB)
+    assert "encode_to_numpy" in repr(encode)
+    r = random.Random(8)
+    kinds = ["abc XYZ ", "it's we'll I'D ", "0123 ٣४ ", " \t\n\r\x85\xa0\u2003\u3000", "éßñ 日本語 한국 ", "!?…—\u200d\U0001f600\x1c\x00"]
+    texts = ["".join(r.choices(r.choice(kinds) + r.choice(kinds), k=r.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, " " * 900, "<|endoftext|> x"]
+    texts += [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}. {chr(c)}{chr(c)} x" for c in [*range(0, 0xD800, 7), *range(0xE000, 0x110000, 97)]]
+    assert all(encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    raw = json.load(open(VOCAB))
+    raw["model"]["merges"][0], raw["model"]["merges"][1] = raw["model"]["merges"][1], raw["model"]["merges"][0]
+    (tmp_path / "other.json").write_text(json.dumps(raw))
+    other = packing.encoder(str(tmp_path / "other.json"))
+    assert "encode_to_numpy" not in repr(other) and other(" the cat").tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(" the cat").ids
+
+
+def test_sequences_hold_the_ids_and_special_strings_are_text(spark, empty):
     data = [(i, "word " * i + "<|endoftext|>", "en", "s", 0) for i in range(40)]
     docs = spark.createDataFrame(data, SCHEMA)
     whole = packing.packed_sequences(docs, VOCAB, 32).collect()
