@@ -2,31 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scratch tables written by this process; removed when the interpreter ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is absent in local mode (tests, notebooks) a temporary folder is made and set; on
-    a cluster a folder of the driver's own would be lost to the executors, so there the setting must be.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
-        found = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from quillstack.scratch import new_folder, remove_folder
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
@@ -34,36 +13,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage and makes later reads independent of any executor's local disk.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Remove a scratch table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for i, (spark, known) in enumerate(_WRITTEN):
-            if path.rsplit("/", 1)[-1] == known.rsplit("/", 1)[-1]:
-                _remove(spark, known)
-                del _WRITTEN[i]
-                break
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def clear_scratch() -> None:
-    """Remove every scratch table of this process. Safe to call once its results have been written."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may have ended already
-            return
+        remove_folder(path)
+
+
+def named(column: str) -> Column:
+    """A column by its name as it is, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def empty_text(name: str = "text") -> Column:

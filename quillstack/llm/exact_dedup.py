@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import empty_text, materialize
+from quillstack.llm.common import empty_text, materialize, named
 
 #: Hashes of a bucket before it is split; a bucket holds 2 ** -18 of them all at least, so that the directory stays small enough to broadcast.
 BUCKET_CAPACITY, BUCKETS_LOG2 = 256, 18
@@ -137,7 +137,7 @@ def distinct_rows(docs: DataFrame, capacity: int | None = None, owner_rows: int
     null one. An empty table gives none; columns may have any names.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.col("doc_id").alias("id"), F.col("text").isNotNull().alias("has"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    row = F.struct(F.col("doc_id").alias("id"), F.col("text").isNotNull().alias("has"), *[named(c).alias(f"c{i}") for i, c in enumerate(rest)])
     one, many, any_hot = _routed(docs, key, capacity, owner_rows, row.alias("_row"))
     out = one.repartition("bucket").groupBy("bucket", "hash", "_text").agg(F.max("_row").alias("_row")).select("_text", "_row")
     if any_hot:  # the largest row needs no list of ids: map tasks shrink the copies before they travel

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import empty_text, materialize, running_total
+from quillstack.llm.common import empty_text, materialize, named, running_total
 
 GOLDEN = 0.6180339887498949
 #: Weights of the sources in code-point order, repeating; share of all words; most that a source gives.
@@ -32,7 +32,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 @dataclass
 class Mix:
-    """docs: doc_id, source, size, draw (its random number), offset (its place in the source's stream); sources: source, source_size,
+    """docs: doc_id, source, size, draw (its random number), offset (its place in the source's stream) and the plan's key columns; sources: source, source_size,
     target, quota, blocks, slots; schedule: slot, source, rank, block, words (taken from the block's start)."""
 
     docs: DataFrame
@@ -72,13 +72,14 @@ def random_number(seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
+def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED, keys: tuple[str, ...] = ()) -> Mix:
     """The mix of ``docs`` (doc_id, text, source). Null texts have no words; a null source comes last; null ids
     share one random number; rows equal in doc_id and size are interchangeable; texts of any length are
-    counted whole; an empty table gives empty tables; other columns are ignored."""
+    counted whole; an empty table gives empty tables; other columns are ignored, but for ``keys``, which
+    go along with the rows and tell equal ones apart."""
     spark = docs.sparkSession
     ranges = max(1, docs.count() // RANGE_ROWS)
-    rows = docs.select("doc_id", "source", random_number(seed).alias("_draw"), F.regexp_count(empty_text(), F.lit(WORDS)).cast("long").alias("size"))
+    rows = docs.select(*keys, "doc_id", "source", random_number(seed).alias("_draw"), F.regexp_count(empty_text(), F.lit(WORDS)).cast("long").alias("size"))
     rows = materialize(rows.withColumn("_range", F.expr(f"(_draw * {ranges}D / {1 << 48}D)").cast("long")), "mix-sizes")
 
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
@@ -91,10 +92,10 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     sources = materialize(sources.withColumn("slots", full + part), "mix-sources")
 
     starts = running_total(sums, ["source"], "_range", "_n", "_start").select(F.col("source").alias("_source"), F.col("_range").alias("_at"), "_start")
-    inside = Window.partitionBy("source", "_range").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("_draw", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_at")))
-    placed = placed.select("doc_id", "source", "size", F.col("_draw").alias("draw"), (F.col("_start") + F.col("_in")).alias("offset"))
+    placed = placed.select(*keys, "doc_id", "source", "size", F.col("_draw").alias("draw"), (F.col("_start") + F.col("_in")).alias("offset"))
 
     return Mix(materialize(placed, "mix-docs"), sources, materialize(_schedule(spark, sources, block_words), "mix-schedule"), block_words)
 
@@ -164,23 +165,26 @@ def mixed_rows(docs: DataFrame, seed: int = SEED, **plan) -> DataFrame:
 
     A copy stands where the slot is whose block holds its first word in that round. The document that a
     source's target cuts is taken whole or not at all, whichever is nearer. Null, empty and blank texts have
-    nothing to give and go; rows that share source and doc_id (nulls among them) are taken alike, as the
-    first of them; very long texts are rows like any other; an empty table gives none; columns may have any
-    names. Texts travel twice: to their places, and from there to the order.
+    nothing to give and go; rows that share source and doc_id (nulls among them) are rows of their own; very
+    long texts are rows like any other; an empty table gives none; columns may have any names. The rows are
+    written once with a number of their own, by which they meet their places. Texts travel twice: to their
+    places, and from there to the order.
     """
     spark = docs.sparkSession
-    mix = plan_mix(docs, seed=seed, **plan)
-    first = _taken(mix).where("taken > 0").groupBy("source", "doc_id").agg(F.min(F.struct("offset", "size", "taken")).alias("r")).select("source", "doc_id", "r.*")
+    row = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    held = materialize(docs.where(F.col("text").rlike(WORDS)).select(row, F.monotonically_increasing_id().alias("_key")), "mix-rows")
+    at = {c: F.col(f"_row.c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "source", "text")}
+    mix = plan_mix(held.select("_key", *at.values()), seed=seed, keys=("_key",), **plan)
+    first = _taken(mix).where("taken > 0").select("_key", "source", "offset", "size", "taken")
     first = first.withColumn("block", F.expr(f"offset div {mix.block_words}")).withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
     turns = mix.schedule.join(mix.sources.select(F.col("source").alias("_s"), "blocks"), F.col("source").eqNullSafe(F.col("_s")))
     turns = turns.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "slot", F.expr("rank div blocks").alias("round"))
     copies = first.join(turns, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")) & (F.col("round") < F.col("times")))
-    places = copies.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id")).agg(F.collect_list(F.struct("slot", "offset")).alias("_at"))  # a place a round
+    places = copies.groupBy("_key").agg(F.collect_list(F.struct("slot", "source", "offset")).alias("_at"))  # a place a round
     places = materialize(places, "mix-places")
     last = mix.schedule.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0]
-    rows = docs.where(F.col("text").rlike(WORDS)).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
-    rows = rows.join(places, F.col("_s").eqNullSafe(F.col("_source")) & F.col("_d").eqNullSafe(F.col("_doc_id"))).select("_s", F.explode("_at").alias("_p"), "_row")
+    rows = held.join(places, "_key").select(F.explode("_at").alias("_p"), "_row")
     # Slots hold equal numbers of words, so that equal runs of slots make even parts in order, without a sample of the rows.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionById(parts, F.expr(f"cast(_p.slot * {parts}L div {last + 1}L as int)")).sortWithinPartitions("_p.slot", "_s", "_p.offset")
+    rows = rows.repartitionById(parts, F.expr(f"cast(_p.slot * {parts}L div {last + 1}L as int)")).sortWithinPartitions("_p.slot", "_p.source", "_p.offset")
     return rows.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

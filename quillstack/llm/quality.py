@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.llm.arrow_text import map_texts
+from quillstack.llm.common import named
 
 #: Most labelled rows that training takes.
 SAMPLE_ROWS = 20_000
@@ -210,5 +211,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     rows without a doc_id are judged each by their text; without usable labels every row stays; an empty
     table gives none; columns may have any names.
     """
-    scored = quality_scores(docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text")), train(docs, labels, sample_rows), tuple(f"_c{i}" for i in range(len(docs.columns))))
+    scored = quality_scores(docs.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text")), train(docs, labels, sample_rows), tuple(f"_c{i}" for i in range(len(docs.columns))))
     return scored.where(F.col("score") >= THRESHOLD).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

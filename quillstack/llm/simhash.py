@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.llm.arrow_text import map_texts
-from quillstack.llm.common import connected_components, materialize
+from quillstack.llm.common import connected_components, materialize, named
 
 BUDGET = 2
 #: Members beyond which a node is dealt out by 16 further bits; 2 ** -16 of all fingerprints at least, so that the
@@ -244,6 +244,6 @@ def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFra
     none; columns may have any names.
     """
     copies = near_components(docs, words, seed).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
     kept = rows.join(materialize(copies, "simhash-copies"), F.col("_id") == F.col("_copy"), "left_anti")
     return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

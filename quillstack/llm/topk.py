@@ -41,12 +41,13 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
             parts = [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in parts], type=pa.binary()), pa.array([float(p @ p) for p in parts], type=pa.float64())], names=["row", "vec_id", "v", "norm"])
 
-    ok = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    ok = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf"))), F.lit(False))
     v = F.transform("embedding", lambda x: x.cast("double") * scale)
     rows = vectors.where(ok).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.mapInArrow(work, "row long, vec_id long, v binary, norm double")
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def fit_pivots(sample: np.ndarray, n: int, steps: int = 6) -> np.ndarray:
     """Pivots near the means of the sample's clusters: farthest points first, then a few rounds of means."""
     if not len(sample):
@@ -64,9 +65,11 @@ def fit_pivots(sample: np.ndarray, n: int, steps: int = 6) -> np.ndarray:
     return pivots
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances from the pivots. Where squares leave a double it is as far as can be, which rules nothing out."""
     d2 = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(d2, 0))
+    return np.sqrt(np.maximum(np.nan_to_num(d2, nan=np.inf, posinf=np.inf, neginf=np.inf), 0))
 
 
 def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
@@ -79,6 +82,7 @@ def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def _lengthened(v: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([v, np.sqrt(np.maximum(most - (v * v).sum(axis=1), 0))[:, None]])
 
@@ -123,6 +127,13 @@ def _annuli(keyed: DataFrame, n_rows: int, most_rows: int) -> DataFrame:
     return dealt.mapInArrow(work, "annulus long, pivot int, lo double, hi double, rows binary, ids binary, vs binary")
 
 
+def sortable(x: int) -> bytes:
+    """Bytes in the order of the numbers, of any size: sign, length, digits; complemented below 0."""
+    size = (abs(x).bit_length() + 7) // 8
+    found = size.to_bytes(4, "big") + abs(x).to_bytes(size, "big")
+    return b"\x01" + found if x >= 0 else b"\x00" + bytes(255 - c for c in found)
+
+
 class Scorer:
     """Exact inner products with the vectors of an annulus, in numbers large enough for sums up to ``most``."""
 
@@ -158,7 +169,7 @@ class Scorer:
             ok = np.flatnonzero(((s[r] >= least[r]) & (rows != q_rows[r])).astype(bool))
             for i in self.best(s[r][ok], ids[ok]):
                 x = int(s[r][ok[i]])
-                beyond = (x + (1 << 400)).to_bytes(51, "big") if not LOW < x < HIGH else None
+                beyond = sortable(x) if not LOW < x < HIGH else None
                 out.append((int(q_rows[r]), int(q_ids[r]), int(ids[ok[i]]), min(max(x, LOW), HIGH), beyond))
         return out
 
@@ -234,10 +245,13 @@ def _packs(state: DataFrame, shared, dim: int, most: float) -> DataFrame:
                 v = _matrix([q["v"] for q in qs], dim)
                 x = np.hstack([v, np.zeros((len(v), 1))])
                 d = _distances(x, pivots)
-                reach = np.sqrt(np.maximum((v * v).sum(axis=1) + most - 2.0 * kth, 0))
+                with np.errstate(over="ignore"):  # beyond a double: no bound
+                    reach = np.sqrt(np.maximum((v * v).sum(axis=1) + most - 2.0 * kth, 0))
                 reach[kth == LOW] = np.inf  # fewer than k so far, or a saturated score
                 slack = 1e-6 * (1 + d + np.sqrt(most))  # for rounding
-                low, high = (d - reach[:, None] - slack).min(axis=0), (d + reach[:, None] + slack).max(axis=0)
+                with np.errstate(invalid="ignore"):
+                    low, high = (d - reach[:, None] - slack).min(axis=0), (d + reach[:, None] + slack).max(axis=0)
+                low, high = np.nan_to_num(low, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(high, nan=np.inf, posinf=np.inf, neginf=-np.inf)
                 shells = [{"pivot": p, "from": float(low[p]), "to": float(high[p]), "near": float(d[:, p].min()), "far": float(d[:, p].max())} for p in range(len(pivots))]
                 kind = pa.list_(pa.struct([("pivot", pa.int32()), *[(c, pa.float64()) for c in ("from", "to", "near", "far")]]))
                 blobs = [pa.array([x], type=pa.binary()) for x in (rows.tobytes(), ids.tobytes(), v.tobytes(), kth.tobytes())]

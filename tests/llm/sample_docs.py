@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names are those the operators use for their own.
-CLASH = ["size", "hash", "shard", "kept", "row", "fp", "score", "taken", "target", "_range", "block", "_n", "_source", "_times", "_copy", "_row", "_s", "_d", "_at", "_p", "_text", "_parts", "bucket", "salt", "slot", "_doc_id", "ids"]
+CLASH = ["size", "hash", "shard", "kept", "row", "fp", "score", "taken", "target", "_range", "block", "_n", "_source", "_times", "_copy", "_row", "_s", "_d", "_at", "_p", "_text", "_parts", "bucket", "salt", "slot", "_doc_id", "ids", "a.b", "back`tick", "_key", "_row.c1"]
 
 
 def rows(n: int = 60, seed: int = 1) -> list[tuple]:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on awkward rows, with clashing columns and on an empty table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -133,6 +134,21 @@ def test_topk_of_few_and_of_none(spark):
     assert topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_topk_takes_doubles_of_any_size(spark):
+    r = random.Random(6)
+    sizes = [1e-300, 1.0, 1e30, 1e150, 1e200, 1e304]
+    data = [(i, [r.choice([-1, 1]) * r.random() * r.choice(sizes) for _ in range(3)]) for i in range(80)] + [(200, [1.7e308, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    kept = {i: [math.floor(x * 64) for x in v] for i, v in data[:-1]}  # beyond a double once scaled: not finite
+    want = []
+    for q in (i for i in kept if i % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(kept[q], v, strict=True)), i) for i, v in kept.items() if i != q)[:20]
+        want += [(q, k, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, i) in enumerate(scores, 1)]
+    assert got(topk.exact_topk(df)) == sorted(want, key=repr)
+    numbers = [0, 1, -1, 255, 256, -255, -256, 1 << 500, -(1 << 500), (1 << 500) + 1]
+    assert sorted(numbers) == sorted(numbers, key=topk.sortable)
+
+
 # ---- 3 sharding ----------------------------------------------------------------------------------
 
 
@@ -351,6 +367,15 @@ def _mix_unevenness(spark, block_words=50):
     return [r["doc_id"] for r in rows], most
 
 
+def test_mixed_rows_that_share_an_id_keep_the_targets(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(5)) for i in range(4000)]
+    data = [(7 if i % 2 else (None if i % 3 == 0 else i), t, "en", "one", 0) for i, t in enumerate(texts)] + [(7, texts[1], "en", "one", 0)] * 400
+    made = Counter(x["text"] for x in mixing.mixed_rows(spark.createDataFrame(data, SCHEMA), block_words=64).collect())
+    total = sum(made.values())
+    assert abs(total - 1.5 * len(data)) <= 0.01 * len(data)  # a single source is worth half as much again
+    assert all(n <= 2 for t, n in made.items() if t != texts[1]) and len(made) == len(texts)
+
+
 def test_mixed_rows_follow_the_schedule(spark, monkeypatch):
     ids, most = _mix_unevenness(spark)
     assert most < 20
