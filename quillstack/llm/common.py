@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.scratch import new_folder, remove_folder
 
+ARROW_BYTES = 8 << 20
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
@@ -14,10 +19,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Lets Arrow batches have ARROW_BYTES at most for as long as this lasts: a batch is held several times over, in the
+    JVM's buffers, on its way and in the worker, by each task of an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a scratch table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
