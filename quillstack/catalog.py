@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack import sqltext as sq
@@ -13,9 +13,10 @@ from quillstack.operators import expand as ex
 from quillstack.operators import history, links, listing_rules
 from quillstack.operators import index as ix
 from quillstack.operators.layout import layout_graph
+from quillstack.operators.positions import store_places
+from quillstack.operators.segments import SegmentedIndex
 from quillstack.plans import search as se
-from quillstack.plans.query import parse
-from quillstack.scratch import new_folder, stamp
+from quillstack.scratch import exists, new_folder, stamp
 from quillstack.sources import notes as nt
 from quillstack.sources.samples import BASE_MS, HOUR_MS, NOW_MS, conversation_versions, document_notes, event_edits, table
 from quillstack.sources.settings import merge_settings
@@ -45,14 +46,17 @@ notes = document_notes
 _STORED: dict[tuple, str] = {}
 
 
-def built(spark, d) -> ix.Index:
-    """The stored index of the notes of a folder, made at the first call and anew once the table has changed."""
+def built(spark, d, places: bool = False) -> ix.Index:
+    """The stored index of the notes of a folder, made at the first call and anew once the table has changed; with the places of its runs, if asked for."""
     key = (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/documents.parquet"))
-    if key not in _STORED:
+    if key not in _STORED or not exists(spark, _STORED[key]):  # scratch folders can be cleared
         path = new_folder(spark, "index")
         ix.store_index(notes(spark, d), path)
         _STORED[key] = path
-    return ix.Index.read(spark, _STORED[key])
+    index = ix.Index.read(spark, _STORED[key])
+    if places and index.places is None:
+        index.places = store_places(notes(spark, d), _STORED[key])
+    return index
 
 
 # ---- text ----------------------------------------------------------------------------------------
@@ -99,12 +103,13 @@ def word_counts(spark, d):
 
 
 _TITLE = "regexp_replace(regexp_replace(regexp_replace(t, '^#{1,6}\\s+', ''), '^[-*]\\s+\\[[ xX]\\]\\s*', ''), '^[-*>]\\s+', '')"
+_TITLED = (
+    f"WITH {sq.DOC_NOTES}, f AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1] AS t FROM notes), "
+    f"c AS (SELECT *, left(trim(regexp_replace({_TITLE}, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', '\\1', 'g')), 120) AS c FROM f), titled AS (SELECT * EXCLUDE (title), CASE WHEN coalesce(c, '') = '' THEN 'Untitled' ELSE c END AS title FROM c)"
+)
 
 
-@query(
-    f"WITH {sq.DOC_NOTES}, f AS (SELECT note_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1] AS t FROM notes) "
-    f"SELECT note_id, CASE WHEN coalesce(c, '') = '' THEN 'Untitled' ELSE c END AS title FROM (SELECT note_id, left(trim(regexp_replace({_TITLE}, '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', '\\1', 'g')), 120) AS c FROM f)"
-)
+@query(f"{_TITLED} SELECT note_id, title FROM titled")
 def derived_titles(spark, d):
     return notes(spark, d).select("note_id", tx.derive_title(F.col("body"), "Untitled").alias("title"))
 
@@ -179,21 +184,64 @@ def avg_lens(spark, d):
     return s.select("n", *[F.round(f"avg_{k}", 9).alias(f"avg_{k}") for k in ("title", "body", "tag")])
 
 
-_CHANGED = "documents WHERE doc_id % 10 = 3"
+#: The notes after the edits of ``edited``: a tenth read backwards, of which every other has another title by now, and a tenth is gone.
+_EDITED_NOTES = sq.DOC_NOTES.replace("coalesce(text,", "coalesce(CASE WHEN doc_id % 10 = 3 THEN reverse(text) ELSE text END,").replace("'doc ' || doc_id AS title", "CASE WHEN doc_id % 20 = 13 THEN 'again ' || doc_id ELSE 'doc ' || doc_id END AS title")
+_EDITED_NOTES = _EDITED_NOTES.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 4)")
+_EDITED = sq.ALL.replace(sq.DOC_NOTES, _EDITED_NOTES)
 
 
-@query(f"{sq.ALL.replace('coalesce(text,', 'coalesce(CASE WHEN doc_id % 10 = 3 THEN reverse(text) ELSE text END,').replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 4)')} SELECT * FROM post")
-def index_maintained(spark, d):
-    """Postings after a tenth of the notes changed and another tenth was removed, without a rebuild."""
+def edited(spark, d) -> tuple[ix.Index, DataFrame]:
+    """An index of all notes that took in three batches of edits and deletions, and the notes after them."""
     old = notes(spark, d)
-    changed = table(spark, d, "documents").where("doc_id % 10 = 3").withColumn("note_id", F.col("doc_id").cast("string"))
-    suffix = F.expr("substring(body, length(coalesce(text, '')) + 1)")
-    fresh = old.join(changed.select("note_id", "text"), "note_id").withColumn("body", F.concat(F.reverse(F.coalesce("text", F.lit(""))), suffix)).drop("text").select(old.columns)
-    fresh = history.with_derived(fresh).select(old.columns)
-    now = old.join(fresh.select("note_id"), "note_id", "left_anti").unionByName(fresh)
-    i = ix.upsert(ix.build_index(old), now, fresh)
-    gone = old.where(F.col("note_id").cast("long") % 10 == 4).select("note_id")
-    return ix.remove(i, now.join(gone, "note_id", "left_anti"), gone).postings
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.col("note_id").cast("long")
+    turned = old.where(number % 10 == 3).join(texts, "note_id").withColumn("body", F.concat(F.reverse("text"), F.expr("substring(body, length(text) + 1)"))).drop("text")
+    turned = history.with_derived(turned.select(old.columns)).select(old.columns)
+    titled = turned.where(number % 20 == 13).withColumn("title", F.concat(F.lit("again "), "note_id"))
+    gone = old.where(number % 10 == 4).select("note_id")
+    after = old.where((number % 10 != 3) & (number % 10 != 4)).unionByName(turned.where(number % 20 != 13)).unionByName(titled)
+    key = ("edited", spark.sparkContext.applicationId, d, stamp(spark, f"{d}/documents.parquet"))
+    if key not in _STORED or not exists(spark, _STORED[key]):
+        path = new_folder(spark, "edited-index")
+        index = SegmentedIndex(spark, path)
+        for batch, (changed, deleted) in enumerate(((old, None), (turned, gone.where(number % 20 == 4)), (titled, gone))):
+            index.apply(changed, deleted, batch)
+        _STORED[key] = path
+    return SegmentedIndex(spark, _STORED[key]).read(), after
+
+
+@query(f"{_EDITED} SELECT * FROM post")
+def index_maintained(spark, d):
+    """Postings after edits and deletions, without a rebuild."""
+    index, _ = edited(spark, d)
+    return index.postings.join(index.docs.select(index.key), index.key).select("term", "note_id", "tf_title", "tf_body", "tf_tag")
+
+
+@query(f"{_EDITED} SELECT note_id, folded_title, created_at, updated_at, pinned, archived, trashed, locked, list_sort(tags) AS tags, has_open, has_done, link_count::BIGINT AS link_count, len_title::BIGINT AS len_title, len_body::BIGINT AS len_body, len_tag::BIGINT AS len_tag FROM docs")
+def index_maintained_docs(spark, d):
+    rows = edited(spark, d)[0].docs
+    return rows.drop("segment").withColumn("tags", F.sort_array("tags"))
+
+
+@query(f"{_EDITED} SELECT term, df::BIGINT AS df, stem FROM vocab")
+def index_maintained_words(spark, d):
+    return edited(spark, d)[0].vocab
+
+
+@query(f"{_EDITED} SELECT n, round(avg_title, 9) AS avg_title, round(avg_body, 9) AS avg_body, round(avg_tag, 9) AS avg_tag FROM stats")
+def index_maintained_stats(spark, d):
+    return edited(spark, d)[0].stats.select("n", *[F.round(f"avg_{k}", 9).alias(f"avg_{k}") for k in ("title", "body", "tag")])
+
+
+_AFTER = {"a": ("again 13", sq.Asked(("again", "13"))), "b": ("eht the is:linked", sq.Asked(("eht", "the"), states=("linked",))), "c": ("doc thta", sq.Asked(("doc", "thta"))), "d": ("agian", sq.Asked(("agian",)))}
+
+
+@query(sq.ranked({i: q for i, (_, q) in _AFTER.items()}, NOW_MS, LIMIT, tables=_EDITED))
+def search_after_edits(spark, d):
+    """Ranked searches over an index that was never rebuilt."""
+    index, after = edited(spark, d)
+    rows = se.search(index, after, [(i, t) for i, (t, _) in _AFTER.items()], NOW_MS, LIMIT)
+    return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
 
 
 # ---- expansion and search ------------------------------------------------------------------------
@@ -206,78 +254,110 @@ EXPANDED = {
 }
 
 
+def _expanded(queries: dict[str, sq.Asked]) -> str:
+    return f"{sq.ALL},{sq.asked_table(queries)},{sq.EXPANSION} SELECT query_id, i::INT AS i, surface, round(weight, 6) AS weight FROM expn"
+
+
 def _expansion(name: str):
-    texts = [(t, t) for t in EXPANDED[name]]
-    parsed = {i: parse(t, NOW_MS) for i, t in texts}
-    sql = f"{sq.ALL},{sq.expansion(parsed)} SELECT query_id, i::INT AS i, surface, round(weight, 6) AS weight FROM expn"
+    words = EXPANDED[name]
 
     def run(spark, d) -> DataFrame:
-        asked = spark.createDataFrame([(i, 0, t, None) for i, t in texts], "query_id string, i int, term string, next string")
-        vocab = ix.vocabulary(ix.postings(notes(spark, d))).cache()
-        return ex.expand(asked, vocab, [t for _, t in texts]).withColumn("weight", F.round("weight", 6))
+        asked = spark.createDataFrame([(t, 0, t, None) for t in words], "query_id string, i int, term string, next string")
+        return ex.expand(asked, built(spark, d).words, words).withColumn("weight", F.round("weight", 6))
 
     run.__name__ = name
-    query(sql)(run)
+    query(_expanded({t: sq.Asked((t,)) for t in words}))(run)
 
 
 for _name in EXPANDED:
     _expansion(_name)
 
-_PAIRS = {i: parse(t, NOW_MS) for i, t in [("a", "th at"), ("b", "o pen"), ("c", "d oc")]}
+_PAIRS = {"a": ("th", "at"), "b": ("o", "pen"), "c": ("d", "oc")}
 
 
-@query(f"{sq.ALL},{sq.expansion(_PAIRS)} SELECT query_id, i::INT AS i, surface, round(weight, 6) AS weight FROM expn WHERE weight = {ex.JOINED}")
+@query(_expanded({i: sq.Asked(p) for i, p in _PAIRS.items()}) + " WHERE weight = 0.9")
 def recompound(spark, d):
-    asked = spark.createDataFrame([(i, k, t, q.terms[k + 1] if k + 1 < len(q.terms) else None) for i, q in _PAIRS.items() for k, t in enumerate(q.terms)], "query_id string, i int, term string, next string")
-    vocab = ix.vocabulary(ix.postings(notes(spark, d))).cache()
-    return ex.expand(asked, vocab, sorted({t for q in _PAIRS.values() for t in q.terms})).where(F.col("weight") == ex.JOINED)
+    asked = spark.createDataFrame([(i, k, t, p[1] if k == 0 else None) for i, p in _PAIRS.items() for k, t in enumerate(p)], "query_id string, i int, term string, next string")
+    return ex.expand(asked, built(spark, d).words, sorted({t for p in _PAIRS.values() for t in p})).where("weight = 0.9")
 
 
+#: Query texts, and what each means.
 SEARCHES = {
-    "bm25f_single": [("the", "the"), ("que", "que"), ("tion", "tion"), ("src7", "src7")],
-    "bm25f_multi": [("a", "the that of"), ("b", "de la que"), ("c", "und der nicht"), ("d", "open doc 42")],
-    "title_bonus": [("whole", "doc 17"), ("start", "doc"), ("number", "170")],
-    "typed_prefixes": [("t", "t"), ("th", "th"), ("tha", "tha"), ("that", "that")],
-    "misspelled": [("a", "thta"), ("b", "dco open"), ("c", "tihng")],
-    "phrases": [("a", '"of the"'), ("b", '"de la" que'), ("c", '"that"')],
-    "exclusions": [("a", "the -that"), ("b", "the -open -src3"), ("c", "doc -done")],
-    "scopes": [("active", "the"), ("archive", "the in:archive"), ("trash", "the in:trash"), ("all", "the in:all")],
-    "tag_nested": [("lang", "tag:en the"), ("leaf", "#de/src3 doc"), ("both", "t:fr tag:fr/src1 doc")],
-    "states": [(s, f"is:{s} doc") for s in ("pinned", "todo", "done", "locked", "linked", "orphan", "untagged")],
-    "date_bounds": [("after", "updated:>2024-02 the"), ("before", "created:<2024-01-20 the"), ("span", "created:2024-01-10 updated:<2024-03-01 doc"), ("recent", "updated:9w doc")],
-}
+    "bm25f_single": [("the", "the", sq.Asked(("the",))), ("que", "que", sq.Asked(("que",))), ("tion", "tion", sq.Asked(("tion",))), ("src7", "src7", sq.Asked(("src7", "src", "7")))],
+    "bm25f_multi": [
+        ("a", "the that of", sq.Asked(("the", "that", "of"))), ("b", "de la que", sq.Asked(("de", "la", "que"))), ("c", "und der nicht", sq.Asked(("und", "der", "nicht"))),
+        ("d", "open doc 42", sq.Asked(("open", "doc", "42"))),
+    ],
+    "title_bonus": [("whole", "doc 17", sq.Asked(("doc", "17"))), ("start", "doc", sq.Asked(("doc",))), ("number", "170", sq.Asked(("170",)))],
+    "typed_prefixes": [(t, t, sq.Asked((t,))) for t in ("t", "th", "tha", "that")],
+    "misspelled": [("a", "thta", sq.Asked(("thta",))), ("b", "dco open", sq.Asked(("dco", "open"))), ("c", "tihng", sq.Asked(("tihng",)))],
+    "phrases": [
+        ("a", '"of the"', sq.Asked(phrases=(("of", "the"),))), ("b", '"de la" que', sq.Asked(("que",), (("de", "la"),))), ("c", '"that"', sq.Asked(("that",))),
+        ("d", '"doc 1" "open"', sq.Asked(("open",), (("doc", "1"),))), ("e", '"th re in" the', sq.Asked(("the",), (("th", "re", "in"),))), ("f", '"src3 doc" "de la" -que', sq.Asked((), (("src3", "src", "3", "doc"), ("de", "la")), ("que",))),
+    ],
+    "exclusions": [
+        ("a", "the -that", sq.Asked(("the",), excluded=("that",))), ("b", "the -open -src3", sq.Asked(("the",), excluded=("open", "src3", "src", "3"))),
+        ("c", "doc -done", sq.Asked(("doc",), excluded=("done",))),
+    ],
+    "scopes": [("active", "the", sq.Asked(("the",))), *[(s, f"the in:{s}", sq.Asked(("the",), scope=s)) for s in ("archive", "trash", "all")]],
+    "tag_nested": [
+        ("lang", "tag:en the", sq.Asked(("the",), tags=("en",))), ("leaf", "#de/src3 doc", sq.Asked(("doc",), tags=("de/src3",))),
+        ("both", "t:fr tag:fr/src1 doc", sq.Asked(("doc",), tags=("fr", "fr/src1"))),
+    ],
+    "states": [(s, f"is:{s} doc", sq.Asked(("doc",), states=(s,))) for s in ("pinned", "todo", "done", "locked", "linked", "orphan", "untagged")],
+    "date_bounds": [
+        ("after", "updated:>2024-02 the", sq.Asked(("the",), dates=(("updated", ">", 1_706_745_600_000),))), ("before", "created:<2024-01-20 the", sq.Asked(("the",), dates=(("created", "<", 1_705_708_800_000),))),
+        ("span", "created:2024-01-10 updated:<2024-03-01 doc", sq.Asked(("doc",), dates=(("created", ">", 1_704_844_800_000), ("updated", "<", 1_709_251_200_000)))),
+        ("recent", "updated:9w doc", sq.Asked(("doc",), dates=(("updated", ">", 1_713_024_000_000),))),
+    ],
+}
 
 
 def _search(name: str):
-    texts = SEARCHES[name]
+    asked = SEARCHES[name]
 
     def run(spark, d) -> DataFrame:
-        n = notes(spark, d)
-        rows = se.search(built(spark, d), n, texts, NOW_MS, LIMIT)
+        rows = se.search(built(spark, d, any(q.phrases for _, _, q in asked)), notes(spark, d), [(i, t) for i, t, _ in asked], NOW_MS, LIMIT)
         return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
 
     run.__name__ = f"search_{name}"
-    query(sq.ranked(texts, NOW_MS, LIMIT))(run)
+    query(sq.ranked({i: q for i, _, q in asked}, NOW_MS, LIMIT))(run)
 
 
 for _name in SEARCHES:
     _search(_name)
 
 
-@query(sq.ranked([("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive"))
+@query(sq.ranked({"a": sq.Asked(("the",), scope="trash"), "b": sq.Asked(("doc",))}, NOW_MS, LIMIT, scope="archive"))
 def search_scope_override(spark, d):
-    n = notes(spark, d)
-    rows = se.search(built(spark, d), n, [("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive")
+    rows = se.search(built(spark, d), notes(spark, d), [("a", "the in:trash"), ("b", "doc")], NOW_MS, LIMIT, scope="archive")
+    return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
+
+
+def passages(spark, d) -> DataFrame:
+    """``benchmark`` as a table of queries: each passage whole, behind it one of the language's operators."""
+    k = F.col("item_id") % 4
+    more = F.when(k == 1, " tag:en").when(k == 2, " is:todo -qzx").when(k == 3, ' created:>2024-01-10 "of the"').otherwise("")
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+
+
+@query(sq.ranked_from(f"{sq.ALL},{sq.PASSAGES}", NOW_MS, LIMIT))
+def search_query_table(spark, d):
+    """Every benchmark passage as a query: the table is parsed, expanded and joined as one."""
+    rows = se.search(built(spark, d, places=True), notes(spark, d), passages(spark, d), NOW_MS, LIMIT)
     return rows.select("query_id", "place", "note_id", F.round("score", 6).alias("score"))
 
 
-LISTED = [("all", ""), ("todo", "is:todo"), ("tag", "tag:en"), ("both", "is:done #es"), ("excluded", "-the"), ("trash", "in:trash"), ("dated", "updated:>2024-03-01 is:pinned")]
+LISTED = [
+    ("all", "", sq.Asked()), ("todo", "is:todo", sq.Asked(states=("todo",))), ("tag", "tag:en", sq.Asked(tags=("en",))), ("both", "is:done #es", sq.Asked(states=("done",), tags=("es",))),
+    ("excluded", "-the", sq.Asked()), ("trash", "in:trash", sq.Asked(scope="trash")), ("dated", "updated:>2024-03-01 is:pinned", sq.Asked(states=("pinned",), dates=(("updated", ">", 1_709_251_200_000),))),
+    ("nested", "tag:de/src3 tag:de in:all", sq.Asked(tags=("de/src3", "de"), scope="all")), ("same", "is:todo", sq.Asked(states=("todo",))),
+]
 
 
-@query(sq.listed(LISTED, NOW_MS, 50))
+@query(sq.listed({i: q for i, _, q in LISTED}, 50))
 def listing_filtered(spark, d):
-    n = notes(spark, d)
-    return se.search(built(spark, d), n, LISTED, NOW_MS, 50).select("query_id", "place", "note_id")
+    return se.search(built(spark, d), notes(spark, d), [(i, t) for i, t, _ in LISTED], NOW_MS, 50).select("query_id", "place", "note_id")
 
 
 def _sorted(key: str, ascending: bool):
@@ -296,6 +376,22 @@ for _key, _asc in (("updated", False), ("created", True), ("title", True), ("tit
     _sorted(_key, _asc)
 
 
+def _collated(ascending: bool):
+    way = "ASC" if ascending else "DESC"
+    sql = f"{_TITLED} SELECT row_number() OVER (ORDER BY pinned DESC, title COLLATE de {way}, note_id) AS place, note_id FROM titled WHERE trashed_at IS NULL"
+
+    def run(spark, d) -> DataFrame:
+        titled = notes(spark, d).where("trashed_at is null").withColumn("title", tx.derive_title(F.col("body"), "Untitled"))
+        return listing_rules.placed(titled, "title", ascending, collation="de")
+
+    run.__name__ = f"listing_by_title_in_german_{way.lower()}"
+    query(sql)(run)
+
+
+for _asc in (True, False):
+    _collated(_asc)
+
+
 @query()
 def search_excerpts(spark, d):
     """Snippets with their highlights for ranked and listed queries."""
@@ -414,7 +510,7 @@ SUGGESTED = [("prefix", "sma"), ("inside", "ring"), ("blank", ""), ("none", "zzz
 
 
 @query(
-    f"WITH q AS (SELECT * FROM {sq._values(SUGGESTED, 'query_id, q')}) SELECT query_id, row_number() OVER w AS place, p_partkey::VARCHAR AS note_id, p_name AS title FROM part JOIN q ON contains(lower(p_name), q) WHERE trim(p_name) <> '' "
+    f"WITH q AS (SELECT * FROM {sq.values(SUGGESTED, 'query_id, q')}) SELECT query_id, row_number() OVER w AS place, p_partkey::VARCHAR AS note_id, p_name AS title FROM part JOIN q ON contains(lower(p_name), q) WHERE trim(p_name) <> '' "
     "WINDOW w AS (PARTITION BY query_id ORDER BY CASE WHEN q = '' THEN 2 WHEN starts_with(lower(p_name), q) THEN 0 ELSE 1 END, p_size DESC, p_partkey::VARCHAR) QUALIFY place <= 8"
 )
 def title_suggestions(spark, d):
@@ -645,6 +741,53 @@ def editor_operations(spark, d):
     return rows.select("note_id", "op", "start", md.edit_udf("op", "body", "start", "end", "arg").alias("text"))
 
 
+
+#: Cursors in each note: at its first link and tag and a little further on, at its first blank and at its end.
+_AFTER_MARK = "CASE WHEN instr(body, '{0}') > 0 THEN instr(body, '{0}') + {1} END"
+_CURSORS = f"unnest(list_distinct(list_filter([{', '.join(_AFTER_MARK.format(m, n) for m, n in (('[[', 0), ('[[', 1), ('[[', 4), ('#', 0), ('#', 2), (' ', 0)))}, length(body)], lambda p: p > 0 AND p <= length(body))))::INT"
+_LAST_LINK = "string_split(head, '[[')[-1]"
+_LAST_TAG = "regexp_extract(head, '(?:^|[\\s(])(#(?:[\\p{L}\\p{N}][\\p{L}\\p{N}_/-]*)?)$', 1)"
+
+
+@query(
+    f"WITH {sq.DOC_NOTES}, p AS (SELECT note_id, body, {_CURSORS} AS pos FROM notes), h AS (SELECT *, left(body, pos) AS head FROM p), "
+    f"k AS (SELECT *, contains(head, '[[') AND NOT contains({_LAST_LINK}, ']]') AND NOT contains({_LAST_LINK}, chr(10)) AS link, {_LAST_TAG} AS tag FROM h), "
+    f"t AS (SELECT *, CASE WHEN link THEN 'wiki' WHEN tag <> '' THEN 'tag' END AS kind, CASE WHEN link THEN {_LAST_LINK} WHEN tag <> '' THEN tag[2:] END AS query, CASE WHEN link THEN pos - length({_LAST_LINK}) - 2 WHEN tag <> '' THEN pos - length(tag) END::INT AS \"start\" FROM k) "
+    "SELECT note_id, pos, kind, query, \"start\", md5(CASE kind WHEN 'wiki' THEN left(body, \"start\") || '[[Chosen one]]' || substring(body, pos + 1) WHEN 'tag' THEN left(body, \"start\") || '#Chosen one ' || substring(body, pos + 1) ELSE body END) AS accepted, "
+    "CASE kind WHEN 'wiki' THEN \"start\" + 14 WHEN 'tag' THEN \"start\" + 12 ELSE pos END::INT AS cursor FROM t"
+)
+def active_tokens(spark, d):
+    """The unfinished link or tag at some cursors of every note, and the text after a suggestion was accepted there."""
+    at = lambda mark, more=0: F.instr("body", mark) + F.when(F.instr("body", mark) > 0, more).otherwise(-9)
+    cursors = F.array(at("[["), at("[[", 1), at("[[", 4), at("#"), at("#", 2), at(" "), F.length("body"))
+    some = F.array_distinct(F.filter(cursors, lambda p: (p > 0) & (p <= F.length("body"))))
+    rows = notes(spark, d).select("note_id", "body", F.explode(some).alias("pos"))
+    found = rows.select("note_id", "pos", md.active_token_at(F.col("body"), F.col("pos")).alias("t"), md.accepted_at(F.col("body"), F.col("pos"), F.lit("Chosen one")).alias("a"))
+    return found.select("note_id", "pos", "t.kind", "t.query", "t.start", F.md5("a.text").alias("accepted"), "a.cursor")
+
+
+@query(
+    f"WITH {sq.DOC_NOTES}, x AS (SELECT note_id, regexp_extract_all(body, '[^ ]+') AS whole, string_split(body, ' ') AS parts FROM notes), "
+    "s AS (SELECT note_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS p FROM x), "
+    "m AS (SELECT note_id, i, p, p IN ('the', 'de', 'der') AS marked, (SELECT 1) AS one FROM s), "
+    "g AS (SELECT note_id, count(*) FILTER (marked) AS marked, sum(length(p)) FILTER (marked)::BIGINT AS marked_characters, sum(length(p)) + count(*) - 1 - coalesce(sum(length(p)) FILTER (marked), 0) AS plain FROM m GROUP BY note_id) "
+    "SELECT note_id, marked, coalesce(marked_characters, 0) AS marked_characters, plain::BIGINT AS plain_characters FROM g"
+)
+def marked_segments(spark, d):
+    """Texts cut into plain and marked segments at the ranges of some words between blanks."""
+    words = F.split("body", " ")
+    sizes = notes(spark, d).select("note_id", "body", F.posexplode(words).alias("i", "w"))
+    upto = F.sum(F.length("w") + 1).over(Window.partitionBy("note_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = sizes.select("note_id", "w", (upto - 1).cast("int").alias("end")).where(F.col("w").isin("the", "de", "der"))
+    ranges = ranges.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.length("w")).cast("int").alias("start"), "end"))).alias("ranges"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    rows = notes(spark, d).select("note_id", "body").join(ranges, "note_id", "left")
+    cut = rows.select("note_id", F.explode(tx.marked_segments(F.col("body"), F.coalesce("ranges", none))).alias("s"))
+    size = F.length("s.text")
+    total = lambda rule: F.coalesce(F.sum(F.when(rule, size)), F.lit(0)).cast("long")
+    return cut.groupBy("note_id").agg(F.count_if("s.marked").alias("marked"), total(F.col("s.marked")).alias("marked_characters"), total(~F.col("s.marked")).alias("plain_characters"))
+
+
 def flagship(spark, sf_dir):
     """Several ranked queries over the documents in one plan."""
     return QUERIES["search_bm25f_multi"](spark, sf_dir)

@@ -2,37 +2,55 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as tx
+from quillstack.operators.dictionary import Words, equal_to_some, grams_of, stems_of, write_sorted
 from quillstack.operators.links import link_counts
+from quillstack.operators.positions import Places, store_places
+from quillstack.scratch import exists
 
 
 @dataclass
 class Index:
     """postings: term, note_id, tf_title, tf_body, tf_tag. docs: a row for each note with its lengths and
-    filter columns. vocab: term, df, stem. stats: one row with n and the mean field lengths."""
+    filter columns. words: the vocabulary (term, df, stem) with its tables by stem and by trigram. stats: one
+    row with n and the mean field lengths. key: by which columns postings and docs belong together. places: where
+    runs of letters stand, if the index has that; without it phrases are looked for in all texts that score."""
 
     postings: DataFrame
     docs: DataFrame
-    vocab: DataFrame
+    words: Words
     stats: DataFrame
+    key: list[str] = field(default_factory=lambda: ["note_id"])
+    places: Places | None = None
 
-    def cache(self) -> Index:
-        return Index(*(x.cache() for x in (self.postings, self.docs, self.vocab, self.stats)))
+    @property
+    def vocab(self) -> DataFrame:
+        return self.words.vocab
 
-    def write(self, path: str) -> None:
-        """Parquet, each file of postings in order of term, so that row groups can be skipped by term."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("docs", "vocab", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    def cache(self) -> Index:
+        words = Words(*(x.cache() for x in (self.words.vocab, self.words.stems, self.words.grams)), self.words.stale)
+        places = self.places and Places(self.places.runs.cache(), self.places.words.cache())
+        return Index(self.postings.cache(), self.docs.cache(), words, self.stats.cache(), self.key, places)
+
+    def looked_up(self, surfaces: DataFrame, at_hand: bool) -> DataFrame:
+        """Postings with df, the term as surface; read no further than the surfaces reach, if they are at hand."""
+        post, vocab = self.postings, self.vocab.select("term", "df")
+        if at_hand:
+            near = equal_to_some(F.col("term"), [r["surface"] for r in surfaces.select("surface").distinct().collect()])
+            post, vocab = post.where(near), vocab.where(near)
+        named = vocab.join(surfaces.select(F.col("surface").alias("term")).distinct(), "term")
+        return post.join(named, "term").withColumnRenamed("term", "surface")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "vocab", "stats")))
+        of = lambda name: spark.read.parquet(f"{path}/{name}")
+        places = Places.read(spark, path) if exists(spark, f"{path}/run_words/_SUCCESS") else None
+        return cls(of("postings"), of("docs"), Words(of("vocab"), of("stems"), of("grams")), of("stats"), places=places)
 
 
 def tag_text(tags: Column) -> Column:
@@ -59,12 +77,17 @@ def postings(notes: DataFrame) -> DataFrame:
     return tokens(notes).groupBy("term", "note_id").agg(*count)
 
 
-def documents(notes: DataFrame, post: DataFrame) -> DataFrame:
-    lens = post.groupBy("note_id").agg(*[F.sum(f"tf_{k}").alias(f"len_{k}") for k in ("title", "body", "tag")])
-    cols = notes.select(
+def note_columns(notes: DataFrame) -> DataFrame:
+    """What filters and scores need of a note besides its words and links."""
+    return notes.select(
         "note_id", tx.fold("title").alias("folded_title"), "created_at", "updated_at", "pinned", "archived", F.col("trashed_at").isNotNull().alias("trashed"), "locked", "tags",
         F.col("body").rlike(tx.OPEN_TASK).alias("has_open"), F.col("body").rlike(tx.DONE_TASK).alias("has_done"),
     )
+
+
+def documents(notes: DataFrame, post: DataFrame) -> DataFrame:
+    lens = post.groupBy("note_id").agg(*[F.sum(f"tf_{k}").alias(f"len_{k}") for k in ("title", "body", "tag")])
+    cols = note_columns(notes)
     zero = [F.coalesce(f"len_{k}", F.lit(0)).alias(f"len_{k}") for k in ("title", "body", "tag")]
     out = cols.join(link_counts(notes), "note_id").join(lens, "note_id", "left")
     return out.select(*cols.columns, "link_count", *zero)
@@ -83,36 +106,25 @@ def build_index(notes: DataFrame) -> Index:
     """Statistics cover all notes, archived and trashed ones too; filters come later."""
     post = postings(notes)
     docs = documents(notes, post)
-    return Index(post, docs, vocabulary(post), averages(docs))
+    return Index(post, docs, Words.of(vocabulary(post)), averages(docs))
 
 
-def store_index(notes: DataFrame, path: str) -> Index:
+def store_index(notes: DataFrame, path: str, places: bool = False) -> Index:
     """``build_index``, written table by table: each is made from those already written, so texts are tokenised
-    once, and plans over the result start from files."""
+    once, and plans over the result start from files. Postings and the tables of words lie in order, in
+    ranges, so that a search reads what its words need. With ``places`` phrases find their notes by what stands where."""
     spark = notes.sparkSession
 
     def put(rows: DataFrame, name: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
+    def put_sorted(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        write_sorted(rows, f"{path}/{name}", *order)
+        return spark.read.parquet(f"{path}/{name}")
+
     post = put(postings(notes).sortWithinPartitions("term"), "postings")
     docs = put(documents(notes, post), "docs")
-    return Index(post, docs, put(vocabulary(post), "vocab"), put(averages(docs), "stats"))
-
-
-def upsert(index: Index, notes: DataFrame, changed: DataFrame) -> Index:
-    """The index after ``changed`` rows replaced those of the same id. notes: all notes after the change.
-
-    Only the changed notes are tokenised; statistics are recomputed, so replaced rows leave no trace.
-    """
-    ids = changed.select("note_id").distinct()
-    post = postings(changed).unionByName(index.postings.join(ids, "note_id", "left_anti"))
-    docs = documents(notes, post)
-    return Index(post, docs, vocabulary(post), averages(docs))
-
-
-def remove(index: Index, notes: DataFrame, ids: DataFrame) -> Index:
-    """The index without the notes named by ``ids`` (note_id); ``notes`` are those that remain."""
-    post = index.postings.join(ids.select("note_id").distinct(), "note_id", "left_anti").select(index.postings.columns)
-    docs = documents(notes, post)
-    return Index(post, docs, vocabulary(post), averages(docs))
+    vocab = put_sorted(vocabulary(post), "vocab", "term")
+    words = Words(vocab, put_sorted(stems_of(vocab), "stems", "stem", "term"), put_sorted(grams_of(vocab), "grams", "gram", "size", "term"))
+    return Index(post, docs, words, put(averages(docs), "stats"), places=store_places(notes, path) if places else None)

@@ -187,7 +187,9 @@ def title_suggestions(notes: DataFrame, queries: list[tuple[str, str]], most: in
     return met.withColumn("place", place).where(F.col("place") <= most).select("query_id", "place", "note_id", "title")
 
 
-def sort_notes(notes: DataFrame, key: str = "updated", ascending: bool = False) -> DataFrame:
-    """Pinned first, then by title, created or updated; ties by id."""
+def sort_notes(notes: DataFrame, key: str = "updated", ascending: bool = False, collation: str | None = None) -> DataFrame:
+    """Pinned first, then by title, created or updated; ties by id. Titles are in order of their bytes, or as a
+    collation (UNICODE, de, fr_CI and so on) has them."""
     col = F.col({"title": "title", "created": "created_at", "updated": "updated_at"}[key])
+    col = F.collate(col, collation) if key == "title" and collation else col
     return notes.orderBy(F.desc("pinned"), col.asc() if ascending else col.desc(), "note_id")

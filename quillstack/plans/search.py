@@ -1,30 +1,76 @@
 """Ranked retrieval of a batch of queries in one plan.
 
+Queries are rows: given as a list, they are parsed at once and make a local table; given as a table, they are
+parsed in a column and stay on the executors, however many they are. Either way the plan is the same, and
+how tables meet is decided by their sizes.
+
 Corpus statistics are those of all notes; a query's filters apply to what is scored. Bodies are read only
 for queries with phrases or exclusions, and for the rows that are shown.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as tx
 from quillstack.functions.tokens import highlight_udf, snippet_udf
-from quillstack.operators.expand import expand
+from quillstack.operators.expand import expand, settled
 from quillstack.operators.index import Index
-from quillstack.plans.query import Query, parse
+from quillstack.operators.positions import candidates
+from quillstack.plans.query import PARSED, as_row, parse, parsed
+from quillstack.scratch import new_folder
+from quillstack.types import struct
 
 # Ranking constants.
 FIELDS = (("title", 3.4, 0.35), ("body", 1.0, 0.75), ("tag", 2.2, 0.3))  # field, weight, length normalisation
 K1, COVERAGE_POWER, COVERAGE_BASE, COVERAGE_PART = 1.35, 1.6, 0.35, 0.65
 TITLE_EQUAL, TITLE_PREFIX, PINNED, ARCHIVED, PHRASE = 2.2, 1.7, 1.15, 0.75, 1.5
-#: Expansions of a batch up to this number are broadcast.
-EXPANSIONS_AT_HAND = 50_000
-#: Queries of a batch up to this number are broadcast.
-QUERIES_AT_HAND = 10_000
-
-_ASKED = "query_id string, typed string, n_terms int, has_phrase boolean, scope string, wanted array<string>, states array<string>, dates array<struct<field:string,op:string,at:bigint>>, excluded array<string>, patterns array<string>"
+#: Distinct terms of a batch up to this number are known to the driver, and tables are read no further than they reach.
+WORDS_AT_HAND = 1000
+
+
+@dataclass
+class Batch:
+    """asked: a row for each query, as parsed, with typed (its terms joined) and n_terms. longest: terms of the longest
+    query. listed: whether any has none; checked: whether any has phrases or exclusions. words: the distinct
+    terms, if they are at hand."""
+
+    asked: DataFrame
+    longest: int
+    listed: bool
+    checked: bool
+    words: list[str] | None
+
+    @classmethod
+    def of(cls, spark, queries: list[tuple[str, str]] | DataFrame, now: int) -> Batch:
+        """From (query_id, text) in a list or a table. Of rows that repeat a query_id the one with the greatest text is asked."""
+        if isinstance(queries, DataFrame):
+            one = queries.select(F.col("query_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("query_id").agg(F.max("text").alias("text"))
+            path = new_folder(spark, "queries")
+            one.select("query_id", parsed(F.col("text"), now).alias("q")).select("query_id", "q.*").write.parquet(path)
+            rows = spark.read.parquet(path)
+            sizes = rows.agg(F.coalesce(F.max(F.size("ranked")), F.lit(0)), F.coalesce(F.bool_or(F.size("ranked") == 0), F.lit(False)), F.coalesce(F.bool_or(F.size("excluded") + F.size("patterns") > 0), F.lit(False))).first()
+            some = [r["term"] for r in rows.select(F.explode("ranked").alias("term")).distinct().limit(WORDS_AT_HAND + 1).collect()]
+            words = sorted(some) if len(some) <= WORDS_AT_HAND else None
+        else:
+            texts: dict[str, str] = {}
+            for i, t in queries:
+                texts[i] = max(t, texts.get(i, ""))
+            found = {i: as_row(parse(t, now)) for i, t in texts.items()}
+            rows = spark.createDataFrame([(i, *q.values()) for i, q in found.items()], struct(query_id="string", **{f.name: f.dataType for f in PARSED}))
+            sizes = (max((len(q["ranked"]) for q in found.values()), default=0), any(not q["ranked"] for q in found.values()), any(q["excluded"] or q["patterns"] for q in found.values()))
+            words = sorted({t for q in found.values() for t in q["ranked"]})
+            words = words if len(words) <= WORDS_AT_HAND else None
+        asked = rows.withColumns({"typed": F.array_join("ranked", " "), "n_terms": F.size("ranked")})
+        return cls(asked, sizes[0], sizes[1], sizes[2], words)
+
+    def terms(self) -> DataFrame:
+        """query_id, i, term and the next one, null for the last."""
+        each = self.asked.select("query_id", "ranked", F.posexplode("ranked").alias("i", "term"))
+        return each.select("query_id", "i", "term", F.get("ranked", F.col("i") + 1).alias("next"))
 
 
 def scope_filter(scope: Column) -> Column:
@@ -66,55 +112,41 @@ def passes() -> Column:
     return scope_filter(F.col("scope")) & tag_filter(F.col("wanted")) & state_filter(F.col("states")) & date_filter(F.col("dates"))
 
 
-def _asked(spark, queries: dict[str, Query], scope: str | None) -> DataFrame:
-    rows = [
-        (i, " ".join(q.ranked_terms), len(q.ranked_terms), bool(q.phrases), scope or q.scope, q.tags, q.states, q.dates, q.excluded, [tx.phrase_pattern(p) for p in q.phrases])
-        for i, q in queries.items()
-    ]
-    return spark.createDataFrame(rows, _ASKED)
-
-
-def _at_hand_asked(spark, queries: dict[str, Query], scope: str | None) -> DataFrame:
-    ask = _asked(spark, queries, scope)
-    return F.broadcast(ask) if len(queries) <= QUERIES_AT_HAND else ask
-
+def _scoped(batch: Batch, scope: str | None) -> DataFrame:
+    return batch.asked if scope is None else batch.asked.withColumn("scope", F.lit(scope))
 
-def _at_hand(rows: DataFrame, most: int = EXPANSIONS_AT_HAND) -> tuple[DataFrame, bool]:
-    """The expansions as a local table if there are few, so that postings are looked up where they lie; else as they are."""
-    some = rows.limit(most + 1).collect()
-    return (rows.sparkSession.createDataFrame(some, rows.schema), True) if len(some) <= most else (rows, False)
 
-
-def rank(index: Index, notes: DataFrame, queries: dict[str, Query], now: int, limit: int = 200, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+def rank(index: Index, notes: DataFrame, batch: Batch, now: int, limit: int = 200, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """query_id, place, note_id, score of the queries that have terms, and the expansions that were used."""
-    spark = notes.sparkSession
-    terms = [(i, k, t, q.ranked_terms[k + 1] if k + 1 < len(q.ranked_terms) else None) for i, q in queries.items() for k, t in enumerate(q.ranked_terms)]
-    asked = spark.createDataFrame(terms, "query_id string, i int, term string, next string")
-    expansions = expand(asked, index.vocab, sorted({t[2] for t in terms})).join(index.vocab.select(F.col("term").alias("surface"), "df"), "surface")
-    expansions, small = _at_hand(expansions)
-    post = index.postings.withColumnRenamed("term", "surface")
-    hits = (F.broadcast(expansions) if small else expansions).join(post, "surface")
-    ask = _at_hand_asked(spark, queries, scope)
-    rows = hits.join(index.docs, "note_id").join(ask, "query_id").where(passes()).join(F.broadcast(index.stats))  # one row
+    tables = index.words
+    expansions = settled(expand(batch.terms(), tables, batch.words), batch.words is not None, "expansions")
+    ask = _scoped(batch, scope).where("n_terms > 0")
+    hits = expansions.join(index.looked_up(expansions, batch.words is not None), "surface")
+    rows = hits.join(index.docs, index.key).join(ask, "query_id").where(passes()).join(F.broadcast(index.stats))  # one row
     weighted = sum((w * F.col(f"tf_{k}") / (1 - b + b * F.col(f"len_{k}") / F.col(f"avg_{k}")) for k, w, b in FIELDS), F.lit(0.0))
     part = F.col("weight") * tx.inverse_frequency(F.col("df"), F.col("n")) * (weighted / (K1 + weighted))
     title = F.when(F.col("folded_title") == F.col("typed"), TITLE_EQUAL).when(F.col("folded_title").startswith(F.col("typed")), TITLE_PREFIX).otherwise(1.0)
     factor = title * tx.recency_boost(F.col("updated_at"), now)
-    factor = factor * F.when(F.col("pinned"), PINNED).otherwise(1.0) * F.when(F.col("archived"), ARCHIVED).otherwise(1.0) * F.when(F.col("has_phrase"), PHRASE).otherwise(1.0)
+    factor = factor * F.when(F.col("pinned"), PINNED).otherwise(1.0) * F.when(F.col("archived"), ARCHIVED).otherwise(1.0) * F.when(F.size("patterns") > 0, PHRASE).otherwise(1.0)
     # What a score needs of note and query is of fixed width and goes along, so that neither is joined again.
-    parts = rows.select("query_id", "note_id", "i", part.alias("part"), factor.alias("factor"), "n_terms", "updated_at")
-    sums = [F.sum("part").alias("raw"), *[F.max(c).alias(c) for c in ("factor", "n_terms", "updated_at")]]
-    lots = -(-max((len(q.ranked_terms) for q in queries.values()), default=0) // 63)  # the terms met, a bit each
+    parts = rows.select("query_id", "note_id", "i", part.alias("part"), factor.alias("factor"), "n_terms", "updated_at", (F.size("excluded") + F.size("patterns") > 0).alias("checked"))
+    sums = [F.sum("part").alias("raw"), *[F.max(c).alias(c) for c in ("factor", "n_terms", "updated_at", "checked")]]
+    lots = -(-batch.longest // 63)  # the terms met, a bit each
     met = [F.bit_or(F.when(F.expr(f"i div 63 = {k}"), F.expr("shiftleft(1L, i % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"met_{k}") for k in range(lots)]
     scored = parts.groupBy("query_id", "note_id").agg(*sums, *met)
     matched = sum((F.bit_count(f"met_{k}") for k in range(lots)), F.lit(0))
     coverage = F.pow(matched / F.col("n_terms"), F.lit(COVERAGE_POWER))
     score = F.col("raw") * (COVERAGE_BASE + COVERAGE_PART * coverage) * F.col("factor")
-    full = scored.select("query_id", "note_id", "updated_at", score.alias("score"))
-    checked = [i for i, q in queries.items() if q.phrases or q.excluded]
-    if checked:
-        texts = full.where(F.col("query_id").isin(checked)).join(ask.select("query_id", "excluded", "patterns"), "query_id").join(notes.select("note_id", "title", "body"), "note_id").where(text_filter()).select(full.columns)
-        full = full.where(~F.col("query_id").isin(checked)).unionByName(texts)
+    full = scored.select("query_id", "note_id", "updated_at", "checked", score.alias("score"))
+    if batch.checked:
+        some = full.where("checked")
+        if index.places is not None:  # of queries with phrases only the notes that can have them
+            phrased = ask.where(F.size("phrases") > 0).select("query_id", "phrases")
+            found = candidates(phrased, index.places, batch.words is not None)
+            free = some.join(phrased, "query_id", "left_anti")
+            some = free.unionByName(some.join(found, ["query_id", "note_id"], "left_semi").select(free.columns))
+        texts = some.join(ask.select("query_id", "excluded", "patterns"), "query_id").join(notes.select("note_id", "title", "body"), "note_id").where(text_filter()).select(full.columns)
+        full = full.where("not checked").unionByName(texts)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated_at"), "note_id"))
     return full.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "note_id", "score"), expansions
 
@@ -130,27 +162,45 @@ def text_filter() -> Column:
     return free & F.forall("patterns", holds)
 
 
-def listing(index: Index, queries: dict[str, Query], limit: int = 200, scope: str | None = None) -> DataFrame:
-    """query_id, place, note_id of queries without terms: what passes the filters, latest first. Exclusions don't apply."""
-    ask = F.broadcast(_asked(index.docs.sparkSession, queries, scope))
-    met = index.docs.join(ask, passes())  # the caller's list of queries
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "note_id"))
-    return met.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "note_id")
+#: What decides which notes a listing shows, as far as queries can share it.
+_FILTERS = ("scope", "wanted", "states", "dates")
+
+
+def listing(index: Index, batch: Batch, limit: int = 200, scope: str | None = None) -> DataFrame:
+    """query_id, place, note_id of queries without terms: what passes the filters, latest first. Exclusions don't apply.
+
+    Notes meet queries by what the query is bound to: its scope and, if it names tags, the first of them, for
+    which a note has each of its tags and what these are nested in. Queries with the same filters are one.
+    """
+    kind = F.to_json(F.struct(*_FILTERS)).alias("kind")
+    asked = _scoped(batch, scope).where("n_terms = 0").select("query_id", kind, *_FILTERS)
+    kinds = asked.drop("query_id").dropDuplicates(["kind"])
+    bound = kinds.withColumn("meets", F.concat_ws("\n", "scope", F.coalesce(F.get("wanted", F.lit(0)), F.lit(""))))
+    scopes = F.filter(F.array(F.lit("active"), F.lit("archive"), F.lit("trash"), F.lit("all")), scope_filter)
+    paths = F.flatten(F.transform("tags", lambda t: F.transform(F.sequence(F.lit(1), F.size(F.split(t, "/"))), lambda n: F.array_join(F.slice(F.split(t, "/"), F.lit(1), n), "/"))))
+    heads = F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(paths, F.array().cast("array<string>"))))
+    meets = F.flatten(F.transform(scopes, lambda s: F.transform(heads, lambda h: F.concat_ws("\n", s, h))))
+    met = index.docs.withColumn("meets", F.explode(meets)).join(bound, "meets").where(passes()).select("kind", "note_id", "updated_at")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("updated_at"), "note_id"))
+    best = met.withColumn("place", place).where(F.col("place") <= limit)
+    return asked.select("query_id", "kind").join(best, "kind").select("query_id", "place", "note_id")
+
 
+def search(index: Index, notes: DataFrame, queries: list[tuple[str, str]] | DataFrame, now: int, limit: int = 200, scope: str | None = None, excerpts: bool = False) -> DataFrame:
+    """query_id, place, note_id, score and listing for a batch of queries, a list of (query_id, text) or a table
+    with these columns; with ``excerpts`` also snippet, its ranges and the title's ranges. ``now`` in epoch ms.
 
-def search(index: Index, notes: DataFrame, texts: list[tuple[str, str]], now: int, limit: int = 200, scope: str | None = None, excerpts: bool = False) -> DataFrame:
-    """query_id, place, note_id, score and listing for a batch of (query_id, text); with ``excerpts`` also
-    snippet, its ranges and the title's ranges. ``now`` in epoch ms."""
-    parsed = {i: parse(t, now) for i, t in texts}
-    ranked = {i: q for i, q in parsed.items() if q.ranked_terms}
-    listed = {i: q for i, q in parsed.items() if not q.ranked_terms}
+    A query_id is one query: of rows that repeat it the one with the greatest text is asked. A null text is
+    an empty query.
+    """
+    batch = Batch.of(notes.sparkSession, queries, now)
     out, surfaces = None, None
-    if ranked:
-        rows, expansions = rank(index, notes, ranked, now, limit, scope)
+    if batch.longest:
+        rows, expansions = rank(index, notes, batch, now, limit, scope)
         out = rows.withColumn("listing", F.lit(False))
         surfaces = expansions.groupBy("query_id").agg(F.collect_set("surface").alias("surfaces"))
-    if listed:
-        rows = listing(index, listed, limit, scope).select("query_id", "place", "note_id", F.lit(0.0).alias("score"), F.lit(True).alias("listing"))
+    if batch.listed or out is None:
+        rows = listing(index, batch, limit, scope).select("query_id", "place", "note_id", F.lit(0.0).alias("score"), F.lit(True).alias("listing"))
         out = rows if out is None else out.unionByName(rows)
     if excerpts:
         none = F.array().cast("array<string>")

@@ -1,10 +1,13 @@
-"""DuckDB twins of the engine's tables and functions, as common table expressions for the oracles."""
+"""DuckDB twins of the engine's tables and functions, as common table expressions for the oracles.
+
+What a query means (``Asked``) and every weight is written out here or beside the query, not taken from the
+engine's own parser and constants.
+"""
 
 from __future__ import annotations
 
-from quillstack.operators import expand as ex
-from quillstack.plans import search as se
-from quillstack.plans.query import Query, parse
+from dataclasses import dataclass
+
 from quillstack.sources.samples import BASE_MS, HOUR_MS
 
 NL = "chr(10)"
@@ -108,88 +111,136 @@ stats AS (SELECT greatest(1, count(*)) AS n, greatest(1.0, avg(len_title)) AS av
 ALL = f"WITH {DOC_NOTES},{TAGS},{LINKS},{TOKENS}"
 
 
-def predicate(q: Query, scope: str | None) -> str:
-    """A query's filters over docs d."""
-    scopes = {"active": "NOT d.archived AND NOT d.trashed", "archive": "d.archived AND NOT d.trashed", "trash": "d.trashed", "all": "NOT d.trashed"}
-    states = {"pinned": "d.pinned", "todo": "d.has_open", "done": "d.has_done", "locked": "d.locked", "linked": "d.link_count > 0", "orphan": "d.link_count = 0", "untagged": "len(d.tags) = 0"}
-    out = [scopes[scope or q.scope]]
-    out += [f"len(list_filter(d.tags, lambda t: t = {quote(w)} OR starts_with(t, {quote(w + '/')}))) > 0" for w in q.tags]
-    out += [states[s] for s in q.states]
-    out += [f"d.{f}_at {op}= {at}" for f, op, at in q.dates]
-    return " AND ".join(f"({x})" for x in out)
-
-
-def _values(rows: list[tuple], names: str) -> str:
+def values(rows: list[tuple], names: str) -> str:
     cell = lambda v: "NULL" if v is None else quote(v) if isinstance(v, str) else str(v)
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({names})"
 
 
-def expansion(queries: dict[str, Query]) -> str:
-    rows = [(i, k, t, q.ranked_terms[k + 1] if k + 1 < len(q.ranked_terms) else None) for i, q in queries.items() for k, t in enumerate(q.ranked_terms)]
-    budget = "CASE WHEN length(term) <= 3 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END"
-    return f"""
-asked AS (SELECT query_id, i, term, next::VARCHAR AS next FROM {_values(rows, "query_id, i, term, next")}),
-terms AS (SELECT DISTINCT term, {stem("term")} AS stem, {budget} AS budget, term IN (SELECT term FROM vocab) AS known FROM asked),
+@dataclass
+class Asked:
+    """What a query text means, as a reader of the query language writes it down. dates: (created or updated, < or >, epoch ms)."""
+
+    terms: tuple[str, ...] = ()
+    phrases: tuple[tuple[str, ...], ...] = ()
+    excluded: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()
+    states: tuple[str, ...] = ()
+    scope: str = "active"
+    dates: tuple[tuple[str, str, int], ...] = ()
+
+
+def _list(values, kind: str = "VARCHAR") -> str:
+    return f"[{', '.join(values)}]::{kind}[]"
+
+
+def pattern(phrase: tuple[str, ...]) -> str:
+    return "(?i)" + r"[^\p{L}\p{N}]+".join(phrase)
+
+
+def asked_table(queries: dict[str, Asked], scope: str | None = None) -> str:
+    """q: query_id, ranked, patterns, excluded, wanted, states, scope, dates."""
+    rows = []
+    for i, q in queries.items():
+        ranked = list(dict.fromkeys([*q.terms, *(t for p in q.phrases for t in p)]))
+        dates = [f"{{'f': {quote(f)}, 'op': {quote(op)}, 'ms': {at}::BIGINT}}" for f, op, at in q.dates]
+        lists = [_list(map(quote, x)) for x in (ranked, map(pattern, q.phrases), q.excluded, q.tags, q.states)]
+        rows.append(f"({quote(i)}, {', '.join(lists)}, {quote(scope or q.scope)}, {_list(dates, 'STRUCT(f VARCHAR, op VARCHAR, ms BIGINT)')})")
+    return f"q AS (SELECT * FROM (VALUES {', '.join(rows)}) AS v(query_id, ranked, patterns, excluded, wanted, states, scope, dates))"
+
+
+#: A query's filters over docs d.
+PREDICATE = """CASE q.scope WHEN 'active' THEN NOT d.archived AND NOT d.trashed WHEN 'archive' THEN d.archived AND NOT d.trashed WHEN 'trash' THEN d.trashed ELSE NOT d.trashed END
+  AND len(list_filter(q.wanted, lambda w: len(list_filter(d.tags, lambda t: t = w OR starts_with(t, w || '/'))) = 0)) = 0
+  AND len(list_filter(q.states, lambda s: NOT CASE s WHEN 'pinned' THEN d.pinned WHEN 'todo' THEN d.has_open WHEN 'done' THEN d.has_done WHEN 'locked' THEN d.locked WHEN 'linked' THEN d.link_count > 0 WHEN 'orphan' THEN d.link_count = 0 ELSE len(d.tags) = 0 END)) = 0
+  AND len(list_filter(q.dates, lambda x: NOT CASE x.op WHEN '>' THEN CASE x.f WHEN 'created' THEN d.created_at ELSE d.updated_at END >= x.ms ELSE CASE x.f WHEN 'created' THEN d.created_at ELSE d.updated_at END <= x.ms END)) = 0"""
+
+def _single(x: str) -> str:
+    """Letters that folding leaves outside of ASCII as a byte each, which is what DuckDB's distances count."""
+    return f"translate({x}, 'ßæœøłđðþı', 'ABCDEFGHI')"
+
+
+_PLAIN, _SWAPS = (f"{f}({_single('term')}, {_single('surface')})" for f in ("levenshtein", "damerau_levenshtein"))
+
+
+def _around(a: str, b: str) -> str:
+    """Whether b has two neighbours of a swapped around a letter: two edits to DuckDB, three where a swapped pair isn't edited again."""
+    return f"len(list_filter(range(0, length({a})), lambda i: left({a}, i) = left({b}, i) AND {a}[i + 1] = {b}[i + 3] AND {a}[i + 2] = {b}[i + 1] AND substring({a}, i + 3) = substring({b}, i + 4))) > 0"
+
+
+_BUDGET = "CASE WHEN length(term) <= 3 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END"
+#: The expansion of the ranked terms of q: asked, layers and expn (query_id, i, surface, weight).
+EXPANSION = f"""
+asked AS (SELECT query_id, (unnest(range(1, len(ranked) + 1)) - 1) AS i, unnest(ranked) AS term, unnest(list_concat(ranked[2:], [NULL::VARCHAR])) AS next FROM q WHERE len(ranked) > 0),
+terms AS (SELECT DISTINCT term, {stem("term")} AS stem, {_BUDGET} AS budget, term IN (SELECT term FROM vocab) AS known FROM asked),
 prefix AS (
   SELECT term, surface FROM (
     SELECT t.term, v.term AS surface FROM terms t JOIN vocab v ON starts_with(v.term, t.term) AND length(v.term) > length(t.term)
-    QUALIFY row_number() OVER (PARTITION BY t.term ORDER BY v.term) <= {ex.PREFIX_SEEN})
-  QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(surface), surface) <= {ex.PREFIX_MOST}),
+    QUALIFY row_number() OVER (PARTITION BY t.term ORDER BY v.term) <= 192)
+  QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(surface), surface) <= 24),
 gram AS (SELECT term AS surface, unnest({trigrams("term")}) AS g FROM vocab),
 qgram AS (SELECT term, budget, greatest(1, len({trigrams("term")}) - 3 * budget) AS needed, unnest({trigrams("term")}) AS g FROM terms WHERE budget > 0 AND NOT known),
-near AS (
-  SELECT term, surface, damerau_levenshtein(term, surface) AS distance
+close AS (
+  SELECT term, surface, {_SWAPS} AS distance
   FROM (SELECT term, surface, any_value(budget) AS budget FROM qgram JOIN gram USING (g) WHERE abs(length(surface) - length(term)) <= budget GROUP BY term, surface HAVING count(*) >= any_value(needed))
-  WHERE surface <> term AND damerau_levenshtein(term, surface) <= budget
-  QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, surface) <= {ex.FUZZY_MOST}),
+  WHERE surface <> term AND {_SWAPS} <= budget AND NOT ({_SWAPS} = 2 AND {_PLAIN} > 2 AND ({_around("term", "surface")} OR {_around("surface", "term")}))),
+near AS (SELECT * FROM close QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, surface) <= 12),
 cut AS (SELECT term, unnest(range(3, length(term) - 2)) AS i FROM terms WHERE length(term) >= 6 AND NOT known),
 half AS (
   SELECT term, arg_min([left(term, i), substring(term, i + 1)], i) AS ab FROM cut
   WHERE left(term, i) IN (SELECT term FROM vocab) AND substring(term, i + 1) IN (SELECT term FROM vocab) GROUP BY term),
 layer AS (
   SELECT term, term AS surface, 1.0::DOUBLE AS weight FROM terms WHERE known
-  UNION ALL SELECT t.term, t.stem, {ex.STEM} FROM terms t WHERE stem IN (SELECT term FROM vocab)
-  UNION ALL SELECT t.term, v.term, {ex.STEM} FROM terms t JOIN vocab v ON v.stem = t.stem AND v.stem <> v.term
-  UNION ALL SELECT term, surface, {ex.PREFIX} * pow(length(term)::DOUBLE / length(surface), {ex.PREFIX_POWER}) FROM prefix
-  UNION ALL SELECT term, surface, {ex.FUZZY} / distance FROM near
-  UNION ALL SELECT term, unnest(ab), {ex.PARTS} FROM half),
+  UNION ALL SELECT t.term, t.stem, 0.85 FROM terms t WHERE stem IN (SELECT term FROM vocab)
+  UNION ALL SELECT t.term, v.term, 0.85 FROM terms t JOIN vocab v ON v.stem = t.stem AND v.stem <> v.term
+  UNION ALL SELECT term, surface, 0.7 * pow(length(term)::DOUBLE / length(surface), 0.35) FROM prefix
+  UNION ALL SELECT term, surface, 0.55 / distance FROM near
+  UNION ALL SELECT term, unnest(ab), 0.75 FROM half),
 expn AS (
   SELECT query_id, i, surface, max(weight) AS weight FROM (
     SELECT a.query_id, a.i, l.surface, l.weight FROM asked a JOIN layer l USING (term)
-    UNION ALL SELECT query_id, unnest([i, i + 1]), term || next, {ex.JOINED} FROM asked WHERE term || next IN (SELECT term FROM vocab))
+    UNION ALL SELECT query_id, unnest([i, i + 1]), term || next, 0.9 FROM asked WHERE term || next IN (SELECT term FROM vocab))
   GROUP BY ALL)"""
 
 
-def _text_check(q: Query) -> str:
-    hay = fold(f"n.title || {NL} || n.body")
-    out = [f"NOT contains({hay}, {quote(x)})" for x in q.excluded]
-    for p in q.phrases:
-        r = quote("(?i)" + r"[^\p{L}\p{N}]+".join(p))
-        out.append("(" + " OR ".join(f"regexp_matches({x}, {r})" for x in ("n.title", "n.body", fold("n.title"), fold("n.body"))) + ")")
-    return " AND ".join(out) or "true"
+_HAY = fold(f"n.title || {NL} || n.body")
+_HOLDS = " OR ".join(f"regexp_matches({x}, p)" for x in ("n.title", "n.body", fold("n.title"), fold("n.body")))
+_TEXT = f"(len(q.excluded) + len(q.patterns) = 0 OR (len(list_filter(q.excluded, lambda x: contains({_HAY}, x))) = 0 AND len(list_filter(q.patterns, lambda p: NOT ({_HOLDS}))) = 0))"
+# Field weights 3.4, 1.0 and 2.2, their length normalisation 0.35, 0.75 and 0.3.
+_WEIGHTED = "(3.4 * tf_title / (1 - 0.35 + 0.35 * len_title / avg_title) + 1.0 * tf_body / (1 - 0.75 + 0.75 * len_body / avg_body) + 2.2 * tf_tag / (1 - 0.3 + 0.3 * len_tag / avg_tag))"
 
 
-def ranked(texts: list[tuple[str, str]], now: int, limit: int, scope: str | None = None) -> str:
-    """The ranked search of a batch: query_id, place, note_id, score."""
-    queries = {i: q for i, t in texts if (q := parse(t, now)).ranked_terms}
-    pick = lambda f: "CASE query_id " + " ".join(f"WHEN {quote(i)} THEN {f(q)}" for i, q in queries.items()) + " END"
-    weighted = " + ".join(f"{w} * tf_{k} / (1 - {b} + {b} * len_{k} / avg_{k})" for k, w, b in se.FIELDS)
-    n_terms, typed = pick(lambda q: len(q.ranked_terms)), pick(lambda q: quote(" ".join(q.ranked_terms)))
-    return f"""{ALL},{expansion(queries)},
+def ranked_from(tables: str, now: int, limit: int) -> str:
+    """The ranked search of the queries in q, a table of ``tables``: query_id, place, note_id, score."""
+    return f"""{tables},{EXPANSION},
 hit AS (
-  SELECT query_id, note_id, i, weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * (({weighted}) / ({se.K1} + {weighted})) AS part
-  FROM expn JOIN vocab ON vocab.term = surface JOIN post ON post.term = surface JOIN docs d USING (note_id), stats WHERE {pick(lambda q: predicate(q, scope))}),
+  SELECT q.query_id, note_id, i, weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * ({_WEIGHTED} / (1.35 + {_WEIGHTED})) AS part
+  FROM expn JOIN q USING (query_id) JOIN vocab ON vocab.term = surface JOIN post ON post.term = surface JOIN docs d USING (note_id), stats WHERE {PREDICATE}),
 raw AS (SELECT query_id, note_id, sum(part) AS raw, count(DISTINCT i) AS matched FROM hit GROUP BY ALL),
 final AS (
-  SELECT query_id, note_id, d.updated_at, raw * ({se.COVERAGE_BASE} + {se.COVERAGE_PART} * pow(matched::DOUBLE / {n_terms}, {se.COVERAGE_POWER}))
-    * CASE WHEN folded_title = {typed} THEN {se.TITLE_EQUAL} WHEN starts_with(folded_title, {typed}) THEN {se.TITLE_PREFIX} ELSE 1.0 END
-    * (1 + 0.28 / (1 + greatest(0.0, ({now} - d.updated_at) / 864e5) / 21)) * CASE WHEN d.pinned THEN {se.PINNED} ELSE 1.0 END * CASE WHEN d.archived THEN {se.ARCHIVED} ELSE 1.0 END
-    * {pick(lambda q: se.PHRASE if q.phrases else 1.0)} AS score
-  FROM raw JOIN docs d USING (note_id) JOIN notes n USING (note_id) WHERE {pick(_text_check)})
+  SELECT query_id, note_id, d.updated_at, raw * (0.35 + 0.65 * pow(matched::DOUBLE / len(q.ranked), 1.6))
+    * CASE WHEN folded_title = array_to_string(q.ranked, ' ') THEN 2.2 WHEN starts_with(folded_title, array_to_string(q.ranked, ' ')) THEN 1.7 ELSE 1.0 END
+    * (1 + 0.28 / (1 + greatest(0.0, ({now} - d.updated_at) / 864e5) / 21)) * CASE WHEN d.pinned THEN 1.15 ELSE 1.0 END * CASE WHEN d.archived THEN 0.75 ELSE 1.0 END
+    * CASE WHEN len(q.patterns) > 0 THEN 1.5 ELSE 1.0 END AS score
+  FROM raw JOIN q USING (query_id) JOIN docs d USING (note_id) JOIN notes n USING (note_id) WHERE {_TEXT})
 SELECT query_id, row_number() OVER w AS place, note_id, round(score, 6) AS score FROM final WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, updated_at DESC, note_id) QUALIFY place <= {limit}"""
 
 
-def listed(texts: list[tuple[str, str]], now: int, limit: int, scope: str | None = None) -> str:
-    arms = [f"SELECT {quote(i)} AS query_id, note_id, updated_at FROM docs d WHERE {predicate(parse(t, now), scope)}" for i, t in texts]
-    return f"""{ALL}, met AS ({" UNION ALL ".join(arms)})
+def ranked(queries: dict[str, Asked], now: int, limit: int, scope: str | None = None, tables: str = ALL) -> str:
+    return ranked_from(f"{tables},{asked_table(queries, scope)}", now, limit)
+
+
+def listed(queries: dict[str, Asked], limit: int, scope: str | None = None) -> str:
+    return f"""{ALL}, {asked_table(queries, scope)}, met AS (SELECT query_id, note_id, d.updated_at FROM q, docs d WHERE {PREDICATE})
 SELECT query_id, row_number() OVER w AS place, note_id FROM met WINDOW w AS (PARTITION BY query_id ORDER BY updated_at DESC, note_id) QUALIFY place <= {limit}"""
+
+
+#: Passages as queries, an operator behind each: what they mean, from the words of the text and the known operators.
+_QUERY_WORDS = f"list_transform(list_filter(list_transform(regexp_extract_all(text, '{WORD}'), lambda w: regexp_replace(w, '[''’_]+$', '')), lambda w: w <> ''), lambda w: list_concat([w], CASE WHEN len({parts('w')}) > 1 THEN {parts('w')} ELSE [] END))"
+PASSAGES = f"""
+p AS (SELECT item_id::VARCHAR AS query_id, item_id % 4 AS k, list_transform(list_filter(flatten({_QUERY_WORDS}), lambda w: w <> ''), lambda w: {fold("w")}) AS words FROM benchmark),
+r AS (SELECT query_id, k, CASE k WHEN 3 THEN list_concat(words, ['of', 'the']) ELSE words END AS words FROM p),
+q AS (
+  SELECT query_id, list_filter(words, lambda w, i: list_position(words, w) = i) AS ranked, CASE k WHEN 3 THEN ['(?i)of[^\\p{{L}}\\p{{N}}]+the'] ELSE []::VARCHAR[] END AS patterns,
+    CASE k WHEN 2 THEN ['qzx'] ELSE []::VARCHAR[] END AS excluded, CASE k WHEN 1 THEN ['en'] ELSE []::VARCHAR[] END AS wanted, CASE k WHEN 2 THEN ['todo'] ELSE []::VARCHAR[] END AS states, 'active' AS scope,
+    CASE k WHEN 3 THEN [{{'f': 'created', 'op': '>', 'ms': 1704844800000::BIGINT}}] ELSE []::STRUCT(f VARCHAR, op VARCHAR, ms BIGINT)[] END AS dates
+  FROM r)"""

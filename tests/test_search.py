@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillstack.library import Library
 from quillstack.operators import index as ix
 from quillstack.operators.history import with_derived
+from quillstack.operators.positions import candidates, places_of
+from quillstack.plans import search as se
 from quillstack.plans.search import search
 from quillstack.schema import NOTE
 
@@ -86,25 +88,32 @@ def test_excerpts(library):
     assert rows["bread"]["snippet"] == "Flour water salt and patience #kitchen/oven  buy flour  clean oven"
 
 
-def test_index_maintenance_equals_a_rebuild(spark, library):
-    notes = library.notes
-    fresh = with_derived(notes.where("note_id in ('soup', 'sun')").withColumn("body", F.concat("body", F.lit(" saffron #new")))).select(notes.columns)
-    after = notes.join(fresh.select("note_id"), "note_id", "left_anti").unionByName(fresh)
-    gone = spark.createDataFrame([("pin",)], "note_id string")
-    rest = after.join(gone, "note_id", "left_anti")
-    kept, built = ix.remove(ix.upsert(library.index, after, fresh), rest, gone), ix.build_index(rest)
-    for part in ("postings", "docs", "vocab", "stats"):
-        a, b = ([r.asDict() for r in getattr(x, part).collect()] for x in (kept, built))
-        assert sorted(map(str, a)) == sorted(map(str, b))
-    assert set(ids((r["note_id"],) for r in search(kept, rest, [("q", "saffron")], NOW).collect())) == {"soup", "sun"}
-
-
 def test_index_on_disk(spark, library, tmp_path):
-    library.index.write(str(tmp_path))
+    ix.store_index(library.notes, str(tmp_path))
     again = ix.Index.read(spark, str(tmp_path))
     assert search(again, library.notes, [("q", "onion soup")], NOW).first()["note_id"] == "soup"
 
 
+def test_a_table_of_queries_is_a_list_of_them(spark, library, answers, monkeypatch):
+    asked = [*TOP, "budget -travel", "is:done", "", "the crew"]
+    table = spark.createDataFrame([(q, q) for q in asked] + [("none", None), ("twice", "bread"), ("twice", "soup")], "query_id string, text string")
+    for at_hand in (1000, 3):  # with and without the words known to the driver
+        monkeypatch.setattr(se, "WORDS_AT_HAND", at_hand)
+        found = {q: [] for q in [*asked, "none", "twice"]}
+        for r in sorted(library.search(table, NOW).collect(), key=lambda r: r["place"]):
+            found[r["query_id"]].append((r["note_id"], pytest.approx(r["score"]), r["listing"]))
+        assert all(found[q] == answers[q] for q in asked)
+        assert ids(found["none"]) == ids(answers[""]) and found["twice"][0][0] == "soup"
+    assert library.search(table.limit(0), NOW).collect() == []
+
+
+def test_listing_meets_tags_by_their_paths(library):
+    texts = ["tag:work", "tag:work/crew", "#travel tag:travel/sea", "tag:wor", "in:archive tag:work", "in:all is:pinned", "tag:kitchen tag:garden"]
+    rows = library.search([(t, t) for t in texts], NOW).collect()
+    met = {t: {r["note_id"] for r in rows if r["query_id"] == t} for t in texts}
+    assert met == {"tag:work": {"meet", "budget", "code"}, "tag:work/crew": {"meet"}, "#travel tag:travel/sea": {"sail"}, "tag:wor": set(), "in:archive tag:work": {"old"}, "in:all is:pinned": {"pin"}, "tag:kitchen tag:garden": set()}
+
+
 def test_library_verbs(spark, library):
     one = spark.createDataFrame([("sail",)], "note_id string")
     c = library.trash(one, NOW).counts.first()
@@ -134,3 +143,20 @@ def test_a_stored_index_is_the_built_one(library, tmp_path):
     for name in ("postings", "docs", "vocab", "stats"):
         a, b = getattr(kept, name), getattr(read, name).select(getattr(kept, name).columns)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_phrases_find_their_notes_by_places(spark):
+    texts = ["steam offsite", "team  -- off", "TEAM.\nOff we go", "team of f", "a team's offer", "Équipe naïve d'été", "equipe naive dete", "foo_bar baz", "foo bar baz", "ſteam off ΟΔΟΣ", "off team", "x team off team off", "don't stop", "dont stop", "ΟΔΟΣ μου"]
+    rows = [{"note_id": f"{i:02}", "title": t if i % 2 else "T", "body": t if i % 3 else t + "\nmore steam", "created_at": NOW, "updated_at": NOW, "tags": [], "links": [], "pinned": False, "archived": False, "locked": False, "trashed_at": None, "rev": 1} for i, t in enumerate(texts)]
+    notes = spark.createDataFrame(rows, NOTE).cache()
+    plain = ix.build_index(notes).cache()
+    placed = ix.Index(plain.postings, plain.docs, plain.words, plain.stats, plain.key, places_of(notes)).cache()
+    asked = [(q, q + " team off equipe naive foo bar don t stop dont more steam we go οδος") for q in ['"team off"', '"equipe naive"', '"naive d ete"', '"foo_bar baz"', '"bar baz"', '"don t"', '"dont stop"', '"off we go"', '"team off team"', '"team off" "more steam"', '"am of" -offer', '"οδος μου"', '"zzz yyy"']]
+    table = spark.createDataFrame(asked, "query_id string, text string")
+    want = sorted((r["query_id"], r["note_id"]) for r in search(plain, notes, asked, NOW).collect())
+    for queries in (asked, table):
+        assert sorted((r["query_id"], r["note_id"]) for r in search(placed, notes, queries, NOW).collect()) == want
+    assert {i for q, i in want if q == '"team off"'} >= {"00", "01", "02"}
+    batch = se.Batch.of(spark, asked, NOW)
+    found = candidates(batch.asked.select("query_id", "phrases"), placed.places, True).collect()
+    assert set(want) <= {(r["query_id"], r["note_id"]) for r in found} and len(found) < len(want) + 12

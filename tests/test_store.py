@@ -1,9 +1,13 @@
 """Files, version logs, lifecycle and streaming."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillstack.operators import history
 from quillstack.operators.index import postings
+from quillstack.operators.listing_rules import placed
+from quillstack.operators.segments import SegmentedIndex
 from quillstack.schema import NOTE, VERSION, empty_note, new_id
 from quillstack.sources import notes as nt
 from quillstack.streaming import edits as st
@@ -142,7 +146,8 @@ def test_snapshot_and_index_streams(spark, tmp_path):
         frame(spark, *rows).coalesce(1).write.mode("append").parquet(src)
         st.maintain_index(spark.readStream.schema(NOTE).parquet(src), out, str(tmp_path / "cp2")).awaitTermination()
     final = postings(frame(spark, note("a", body="new words"), note("b", body="stay")))
-    assert sorted(map(tuple, st.newest(spark, f"{out}/postings").collect())) == sorted(map(tuple, final.collect()))
+    kept = SegmentedIndex(spark, out).read()
+    assert sorted(map(tuple, kept.postings.join(kept.docs.select(kept.key), kept.key).select(final.columns).collect())) == sorted(map(tuple, final.collect()))
 
 
 def test_bursts(spark, tmp_path):
@@ -159,3 +164,33 @@ def test_bursts(spark, tmp_path):
         q.awaitTermination()
         got = {(r["note_id"], r["edits"], r["body"]) for r in spark.table(f"b{per_note}").collect()}
         assert got and got <= expected  # the last burst stays open until the watermark passes it
+
+
+def test_bursts_of_the_library_across_ranges(spark):
+    r = random.Random(4)
+    for trial, range_edits in ((0, 1), (1, 3), (2, 7), (3, 10_000)):
+        t, rows = -5000 * trial, []
+        for i in range(120):
+            t += r.choice([0, 1, 5, 9, 10, 11, 500 if trial % 2 else 30])
+            rows.append((r.choice("abc"), t, i, f"b{i}"))
+        df = spark.createDataFrame([*rows, ("a", None, 999, "never")], "note_id string, ms long, event_id long, body string").select("note_id", F.timestamp_millis("ms").alias("ts"), "event_id", "body")
+        want, start, last = {}, None, None
+        for n, t, i, b in sorted(rows, key=lambda x: (x[1], x[2])):
+            start, last = (t if last is None or t - last >= 10 else start), t
+            e = want.setdefault((start, n), [0, None])
+            e[0], e[1] = e[0] + 1, b
+            want[start, "end"] = t + 10
+        found = {(x["from"], x["note_id"]): (x["to"], x["edits"], x["body"]) for x in st.library_bursts(df, "10 milliseconds", range_edits).select(F.unix_millis("from").alias("from"), F.unix_millis("to").alias("to"), "note_id", "edits", "body").collect()}
+        assert found == {k: (want[k[0], "end"], *v) for k, v in want.items() if k[1] != "end"}
+    assert st.coalesce_edits(df.where("ts is null"), per_note=False).collect() == []
+
+
+def test_places_survive_what_is_cached_and_follow_a_locale(spark):
+    titles = ["zebra", "Äpfel", "apfel", "Zebra", "ähre", "Apfel", "ohne", "Öl"]
+    notes = frame(spark, *[note(f"n{i}", title=t, pinned=i == 6) for i, t in enumerate(titles)])
+    by = lambda **how: [titles[int(r["note_id"][1:])] for r in sorted(placed(notes.repartition(5), "title", True, **how).collect(), key=lambda r: r["place"])]
+    assert by() == ["ohne", "Apfel", "Zebra", "apfel", "zebra", "Äpfel", "Öl", "ähre"]
+    assert by(collation="de") == ["ohne", "ähre", "apfel", "Apfel", "Äpfel", "Öl", "zebra", "Zebra"]
+    rows = placed(notes, "title", True)
+    spark.catalog.clearCache()
+    assert sorted(r["place"] for r in rows.collect()) == list(range(1, 9)) and not spark.sparkContext._jsc.getPersistentRDDs()
