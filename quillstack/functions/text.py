@@ -65,6 +65,12 @@ def folds_oddly(c: Column) -> Column:
     return c.rlike(r"[\x{600}-\x{10FFFF}]") & c.rlike(MANY)
 
 
+def folds_by_word(c: Column) -> Column:
+    """Whether the words of a folded text may not be its folded words: with letters of MANY, with combining marks, which
+    part words before they go, or with a capital sigma, whose lower case depends on what follows."""
+    return c.rlike(r"[\x{300}-\x{36F}\x{3A3}\x{600}-\x{10FFFF}]") & (c.rlike(r"[\x{300}-\x{36F}\x{3A3}]") | c.rlike(MANY))
+
+
 @F.pandas_udf(kind("string"))
 def fold_udf(s: pd.Series) -> pd.Series:
     """``fold_text`` for the rare terms with a character of MANY."""

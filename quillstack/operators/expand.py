@@ -32,10 +32,9 @@ def settled(rows: DataFrame, small: bool, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def wanted(asked: DataFrame) -> DataFrame:
+def wanted(asked: DataFrame, terms: DataFrame) -> DataFrame:
     """use, term, i, surface: what the layers look up as it is. Uses: the term itself, its stem, the halves of
-    every split into two of three letters at least, and the term joined with the next one."""
-    terms = asked.select("term").distinct()
+    every split into two of three letters at least, and the term joined with the next one. terms: the distinct ones."""
     use = lambda name, at, surface: F.struct(F.lit(name).alias("use"), at.cast("string").alias("i"), surface.alias("surface"))
     cuts = F.when(F.length("term") >= 6, F.sequence(F.lit(3), F.length("term") - 3)).otherwise(F.array().cast("array<int>"))
     halves = F.flatten(F.transform(cuts, lambda n: F.array(use("head", n, F.substring("term", F.lit(1), n)), use("tail", n, F.substring("term", n + 1, F.length("term"))))))
@@ -101,18 +100,20 @@ def expand(asked: DataFrame, tables: Words, words: list[str] | None = None) -> D
     words: the distinct terms, if they are few and the caller has them. What is looked up as it is comes
     first, in one join with the vocabulary; typos and splits are only for terms that it doesn't know.
     """
-    small = words is not None
-    want = wanted(asked)
-    known = tables.vocab.select(F.col("term").alias("surface"))
-    if small:
-        want = settled(want, True, "wanted")
-        known = known.where(equal_to_some(F.col("surface"), [r["surface"] for r in want.select("surface").distinct().collect()]))
+    small, spark = words is not None, asked.sparkSession
+    of_words = lambda some: spark.createDataFrame([(w,) for w in some], "term string")
+    terms = of_words(words) if small else asked.select("term").distinct()
+    want, known = wanted(asked, terms), tables.vocab.select(F.col("term").alias("surface"))
+    lost = stems = None
+    if small:  # as many rows as the words have letters
+        rows = want.collect()
+        want, stems = spark.createDataFrame(rows, want.schema), sorted({r["surface"] for r in rows if r["use"] == "stem"})
+        known = known.where(equal_to_some(F.col("surface"), [r["surface"] for r in rows]))
     met = settled(want.join(known, "surface"), small, "expand-met")
     own = met.where(F.col("use") == "self").select("term")
-    terms = asked.select("term").distinct()
-    unknown = terms.join(own, "term", "left_anti")
-    lost = sorted(set(words) - {r["term"] for r in own.collect()}) if small else None
-    stems = sorted({r["surface"] for r in want.where(F.col("use") == "stem").collect()}) if small else None
+    if small:
+        lost = sorted(set(words) - {r["term"] for r in own.collect()})
+    unknown = of_words(lost) if small else terms.join(own, "term", "left_anti")
     exact = own.select("term", F.col("term").alias("surface"), F.lit(1.0).alias("weight"))
     stem = met.where(F.col("use") == "stem").select("term", "surface", F.lit(STEM).alias("weight"))
     layers = exact.unionByName(stem).unionByName(kin_layer(terms, tables, stems)).unionByName(prefix_layer(terms, tables, words))

@@ -39,11 +39,12 @@ class Index:
 
     def looked_up(self, surfaces: DataFrame, at_hand: bool) -> DataFrame:
         """Postings with df, the term as surface; read no further than the surfaces reach, if they are at hand."""
-        post, vocab = self.postings, self.vocab.select("term", "df")
+        post, vocab, asked = self.postings, self.vocab.select("term", "df"), surfaces.select(F.col("surface").alias("term"))
         if at_hand:
-            near = equal_to_some(F.col("term"), [r["surface"] for r in surfaces.select("surface").distinct().collect()])
+            some = sorted({r["term"] for r in asked.collect()})
+            near, asked = equal_to_some(F.col("term"), some), surfaces.sparkSession.createDataFrame([(x,) for x in some], "term string")
             post, vocab = post.where(near), vocab.where(near)
-        named = vocab.join(surfaces.select(F.col("surface").alias("term")).distinct(), "term")
+        named = vocab.join(asked if at_hand else asked.distinct(), "term")
         return post.join(named, "term").withColumnRenamed("term", "surface")
 
     @classmethod
@@ -62,14 +63,18 @@ def tokens(notes: DataFrame) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(k).alias("field"), x.alias("text")) for k, x in (("title", F.col("title")), ("body", F.col("body")), ("tag", tag_text(F.col("tags"))))])
     texts = notes.select("note_id", F.explode(fields).alias("f")).select("note_id", "f.field", "f.text")
 
-    def terms(rows: DataFrame, fold) -> DataFrame:
-        words = rows.select("note_id", "field", F.explode(tx.raw_words(F.col("text"))).alias("w")).where("w <> ''")
-        whole = words.select("note_id", "field", F.explode(tx.with_parts(F.col("w"))).alias("raw"))
-        return whole.select("note_id", "field", fold(F.col("raw")).alias("term")).where("term <> ''")
-
-    # The few texts with letters that fold into several go through Python; nothing else does.
-    many = tx.folds_oddly(F.col("text"))
-    return terms(texts.where(~many), tx.fold).unionByName(terms(texts.where(many), tx.fold_udf))
+    def rows(of: DataFrame, words: Column) -> DataFrame:
+        return of.select("note_id", "field", F.explode(words).alias("w")).where("w <> ''")
+
+    # Most texts are folded whole, which leaves words where they were; parts are looked for in the words that have
+    # any. The few texts for which that doesn't hold go word by word, and through Python where letters fold into several.
+    odd = tx.folds_by_word(F.col("text"))
+    even = texts.where(~odd)
+    whole = rows(even, tx.raw_words(tx.fold("text"))).withColumnRenamed("w", "term")
+    cut = rows(even, tx.raw_words(F.col("text"))).where(F.col("w").rlike(tx.HAS_BOUNDARY)).select("note_id", "field", F.explode(tx.compound_parts(F.col("w"))).alias("w"))
+    parts = cut.select("note_id", "field", tx.fold("w").alias("term"))
+    slow = rows(texts.where(odd), tx.raw_words(F.col("text"))).select("note_id", "field", F.explode(tx.with_parts(F.col("w"))).alias("w"))
+    return whole.unionByName(parts).unionByName(slow.select("note_id", "field", tx.fold_udf("w").alias("term"))).where("term <> ''")
 
 
 def postings(notes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import text as tx
 from quillstack.functions import tokens as tk
 from quillstack.functions.fuzzy import osa_distance
+from quillstack.operators import index
 
 
 def column(spark, values, f, name="x"):
@@ -120,3 +122,19 @@ def test_snippets_keep_their_offsets():
     assert "[[" not in text and "**" not in text and "stack." in text and len(text) < 260
     assert tk.snippet("one\ntwo", {"zzz"}) == ("two", [])
     assert tk.highlight_ranges("getUserId", {"getuserid", "get", "id"}) == [[0, 9]]
+
+
+def test_index_tokens_are_those_of_the_row_tokeniser(spark):
+    r = random.Random(1)
+    letters = ["a", "B", "c", "D", "É", "é", "é", "ß", "Σ", "ς", "σ", "'", "’", "_", " ", "1", "22", "-", ".", "x", "YZ", "日", "が", "؀", "`", "K", "ﬁ", "İ", "ı"]
+    texts = ["".join(r.choices(letters[: r.randint(6, len(letters))], k=r.randint(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(str(i), "", t, []) for i, t in enumerate(texts)], "note_id string, title string, body string, tags array<string>")
+    found = {i: Counter() for i in range(len(texts))}
+    for row in index.tokens(df).collect():
+        found[int(row["note_id"])][row["term"]] += 1
+    for i, t in enumerate(texts):
+        want = Counter()
+        for word in tk._WORD.findall(t):
+            word = word.rstrip("'’_")
+            want.update([tx.fold_text(word), *(tx.fold_text(word[a:b]) for a, b in tk.compound_spans(word))])
+        assert found[i] == Counter({k: n for k, n in want.items() if k})
