@@ -412,6 +412,19 @@ def tag_extract(spark, d):
     return notes(spark, d).select("note_id", F.sort_array(links.extract_tags(F.col("body"))).alias("tags"))
 
 
+_TAGGED = sq.DOC_NOTES.replace("coalesce(text, '') ||", "'#' || replace(coalesce(text, ''), ' ', ' #') ||")
+_IN_ORDER = sq.TAGS.replace("list_sort(list_distinct(", "((").replace("tags AS (\n  SELECT", "found AS (\n  SELECT", 1)
+
+
+@query(f"WITH {_TAGGED},{_IN_ORDER}, kept AS (SELECT note_id, list_filter(tags, lambda t, i: list_position(tags, t) = i) AS tags FROM found) SELECT note_id, len(tags)::INT AS n, md5(array_to_string(tags, ' ')) AS in_order FROM kept")
+def tags_first_seen(spark, d):
+    """Distinct tags in the order in which they first appear, of texts with every word a tag."""
+    rows = notes(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.coalesce("text", F.lit("")).alias("text")), "note_id")
+    body = F.concat(F.lit("#"), F.replace("text", F.lit(" "), F.lit(" #")), F.expr("substring(body, length(text) + 1)"))
+    tags = links.extract_tags(body)
+    return rows.select("note_id", tags.alias("tags")).select("note_id", F.size("tags").alias("n"), F.md5(F.array_join("tags", " ")).alias("in_order"))
+
+
 @query(f"WITH {sq.DOC_NOTES} SELECT note_id, trim(t) AS target, {sq.key('t')} AS key, trim(t) AS label, (instr(body, '[[' || t || ']]') - 1)::INT AS \"start\", (instr(body, '[[' || t || ']]') + length(t) + 3)::INT AS \"end\" FROM (SELECT note_id, body, unnest(regexp_extract_all({sq.CLEAN}, '\\[\\[([^\\]|\\n]+)(?:\\|([^\\]\\n]*))?\\]\\]', 1)) AS t FROM notes)")
 def link_extract(spark, d):
     return notes(spark, d).select("note_id", F.explode(links.extract_links(F.col("body"))).alias("l")).select("note_id", "l.*")

@@ -35,8 +35,8 @@ class Library:
     def counts(self) -> DataFrame:
         return links.library_counts(self.notes)
 
-    def search(self, texts: list[tuple[str, str]], now: int, **options) -> DataFrame:
-        return search(self.index, self.notes, texts, now, **options)
+    def search(self, queries: list[tuple[str, str]] | DataFrame, now: int, **options) -> DataFrame:
+        return search(self.index, self.notes, queries, now, **options)
 
     def listing(self, key: str = "updated", ascending: bool = False) -> DataFrame:
         return links.sort_notes(self.notes.where("trashed_at is null and not archived"), key, ascending)

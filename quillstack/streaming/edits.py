@@ -90,21 +90,39 @@ def _swap(spark: SparkSession, rows: DataFrame, path: str, batch: int) -> str:
     return where
 
 
+def _complete(spark: SparkSession, path: str) -> dict[int, str]:
+    """The complete snapshots under ``path`` by their batch."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().toString() for s in fs.listStatus(hadoop.Path(path))] if fs.exists(hadoop.Path(path)) else []
+    return {int(n.rpartition("=")[2]): n for n in names if "batch=" in n and fs.exists(hadoop.Path(n + "/_SUCCESS"))}
+
+
 def newest(spark: SparkSession, path: str) -> DataFrame | None:
     """The last complete snapshot under ``path``."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    names = [s.getPath().toString() for s in fs.listStatus(fs_path)]
-    done = sorted(n for n in names if "batch=" in n and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS")))
-    return spark.read.parquet(done[-1]) if done else None
+    return newest_before(spark, path, 1 << 62)
+
+
+def newest_before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """The last complete snapshot of a batch before ``number``."""
+    found = _complete(spark, path)
+    last = max((n for n in found if n < number), default=None)
+    return None if last is None else spark.read.parquet(found[last])
+
+
+def _drop_old(spark: SparkSession, path: str, number: int) -> None:
+    """Removes the snapshots that not even a repetition of batch ``number`` reads: all but its own and the one before."""
+    found = _complete(spark, path)
+    for n in sorted(n for n in found if n < number)[:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(found[n])
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def maintain_snapshot(stream: DataFrame, path: str, checkpoint: str):
     """A query that folds a stream of versions (note_id, rev, at, title, body) into a snapshot of the newest ones.
 
-    The log of the batch is appended before the snapshot moves on; replays write the same files again.
+    The log of the batch is appended before the snapshot moves on; replays write the same files again. The
+    snapshot before is kept for that, older ones are removed.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -113,21 +131,11 @@ def maintain_snapshot(stream: DataFrame, path: str, checkpoint: str):
         before = newest_before(spark, f"{path}/snapshot", number)
         rows = batch if before is None else before.unionByName(batch)
         _swap(spark, latest(rows), f"{path}/snapshot", number)
+        _drop_old(spark, f"{path}/snapshot", number)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The last complete snapshot of a batch before ``number``."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    names = sorted(s.getPath().toString() for s in fs.listStatus(fs_path))
-    done = [n for n in names if "batch=" in n and int(n.rpartition("=")[2]) < number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS"))]
-    return spark.read.parquet(done[-1]) if done else None
-
-
 def maintain_index(stream: DataFrame, path: str, checkpoint: str):
     """A query that keeps a searchable index (``SegmentedIndex``) for a stream of changed notes.
 

@@ -136,11 +136,12 @@ def test_ids():
 def test_snapshot_and_index_streams(spark, tmp_path):
     schema = "note_id string, rev int, at long, title string, body string"
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    for batch in ([("a", 2, 20, "t", "second"), ("b", 1, 5, "t", "b")], [("a", 1, 10, "t", "first"), ("b", 2, 6, "t", "b2")]):
+    for batch in ([("c", 1, 1, "t", "c")], [("a", 2, 20, "t", "second"), ("b", 1, 5, "t", "b")], [("a", 1, 10, "t", "first"), ("b", 2, 6, "t", "b2")]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         st.maintain_snapshot(stream, out, str(tmp_path / "cp")).awaitTermination()
-    assert {r["note_id"]: r["body"] for r in st.newest(spark, f"{out}/snapshot").collect()} == {"a": "second", "b": "b2"}
+    assert {r["note_id"]: r["body"] for r in st.newest(spark, f"{out}/snapshot").collect()} == {"a": "second", "b": "b2", "c": "c"}
+    assert len(list((tmp_path / "out" / "snapshot").glob("batch=*"))) == 2 and len(list((tmp_path / "out" / "log").glob("batch=*"))) == 3
     src, out = str(tmp_path / "notes"), str(tmp_path / "index")
     for rows in ([note("a", body="old words"), note("b", body="stay")], [note("a", body="new words", updated_at=2000, rev=2)]):
         frame(spark, *rows).coalesce(1).write.mode("append").parquet(src)
