@@ -129,6 +129,23 @@ def test_exports(spark):
     assert len({n.lower() for n in names.values()}) == 7
 
 
+def test_export_digest(spark, monkeypatch):
+    import hashlib
+
+    from quillstack import catalog
+
+    rows = frame(spark, *[note(f"{i}", title=f"t{i}", body="ü" * i, updated_at=i % 7, trashed_at=1 if i % 5 == 0 else None) for i in range(40)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        monkeypatch.setattr(catalog, "notes", lambda spark, d: rows)
+        found = catalog.export_all(spark, "")
+        assert "collect_list" not in found._jdf.queryExecution().toString()  # never there as a whole
+        assert [r["digest"] for r in found.collect()] == [hashlib.md5(history.export_all(rows).first()[0].encode()).hexdigest()]
+        assert history.export_digest(rows.where("note_id = '0'")).collect() == [(None,)]  # as string_agg of nothing
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ids():
     assert new_id(1_700_000_000_000, lambda: 0.5).endswith("-" + "i" * 8) and len(new_id(1)) == 18 and new_id(35, lambda: 0).startswith("00000000z-")
 
