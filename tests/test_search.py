@@ -1,6 +1,7 @@
 """Ranked search over a small collection."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,22 @@ def test_phrases_find_their_notes_by_places(spark):
     batch = se.Batch.of(spark, asked, NOW)
     found = candidates(batch.asked.select("query_id", "phrases"), placed.places, True).collect()
     assert set(want) <= {(r["query_id"], r["note_id"]) for r in found} and len(found) < len(want) + 12
+
+
+def test_large_batches_meet_postings_in_parts(library, spark, monkeypatch):
+    """Whether queries go to the postings or meet them by exchanges, and in however many parts, answers are the same; what a posting gives is dealt out before queries multiply it."""
+    asked = [(q, q) for q in ["onion soup", "boats", "budget -travel", "garden -travel", '"garden wall" -travel', "#work/money budget"]]
+    shown = lambda rows: sorted((r["query_id"], r["place"], r["note_id"], round(r["score"], 9)) for r in rows.collect())
+    notes, plain = library.notes, library.index
+    first = shown(search(plain, notes, asked, NOW))
+    table = spark.createDataFrame(asked, "query_id string, text string")
+    monkeypatch.setattr(se, "WORDS_AT_HAND", 3)
+    placed = ix.Index(plain.postings, plain.docs, plain.words, plain.stats, plain.key, places_of(notes))
+    for index, held, pairs in ((plain, 1_000_000, 20), (placed, 1_000_000, 1_000_000), (plain, 0, 20)):
+        monkeypatch.setattr(se, "EXPANSIONS_HELD", held)
+        monkeypatch.setattr(se, "PAIRS_HELD", pairs)
+        rows = search(index, notes, table, NOW)
+        if held and index is plain:  # pairs of query and note are never sent
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(note_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+, note_id", plan)
+        assert shown(rows) == first
