@@ -38,7 +38,7 @@ def terms_of(text: Column) -> Column:
     """The terms of a text in order, A to Z in lower case."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.filter(F.split(low, BETWEEN), lambda t: t != "")
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -51,9 +51,9 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it)."""
     rows = docs.select(*[empty_text(c).alias(c) for c in GROUP], F.sort_array(terms_of(empty_text())).alias("t"))
-    fresh = lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("t", i - 1) != t, F.lit(True)).cast("int").alias("first"))
-    each = rows.select(*GROUP, F.explode(F.transform("t", fresh)).alias("x"))
-    return each.groupBy(*GROUP, F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("docs"))
+    each = rows.select(*GROUP, "t", F.posexplode("t").alias("i", "term"))
+    first = F.coalesce(F.get("t", F.col("i") - 1) != F.col("term"), F.lit(True)).cast("int")  # of its document
+    return each.groupBy(*GROUP, "term").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("docs"))
 
 
 def term_shares(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:

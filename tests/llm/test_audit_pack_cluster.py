@@ -271,3 +271,13 @@ def test_no_vectors_and_large_ones(spark):
     data = [(i, [s * 3e6 * (1 - i / 50)] * 2) for i, s in enumerate([1, -1] * 6)]
     rows_ = spark.createDataFrame([*data, (99, [1e200, 0.0])], kind)
     assert got(ball_kmeans.cluster_vectors(rows_, 3, 2, dim=2)) == lloyd(data, 3, 2, 2)
+
+
+def test_terms_are_counted_in_compiled_code(spark):
+    """Functions of each element of an array are interpreted; terms are counted from plain rows."""
+    from quillstack.llm.divergence import term_counts
+
+    rows = spark.createDataFrame([("b a, B", "x", "s"), ("a--c1c", "x", "s"), ("", "x", "s"), (None, "x", "s")], "text string, lang string, source string")
+    found = term_counts(rows)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["term"], r["n"], r["docs"]) for r in found.collect()) == [("a", 2, 2), ("b", 2, 1), ("c", 2, 1)]
